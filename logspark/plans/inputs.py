@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.operators import enrichment, grouping, parsing
 from logspark.operators.scale import cut, number_rows
 
 SYSLOG_YEAR = 2024
@@ -35,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an instant instead of a zoneless time, and the number in ``props``."""
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -78,7 +79,7 @@ def _build_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.upper(lvl), F.lit(" "), msg))
     )
     lines = (
-        _events(spark, sf_dir)
+        events(spark, sf_dir)
         .withColumn("lvl", level)
         .withColumn("msg", message)
         .select(F.col("user_id").alias("file_id"), "event_id", raw.alias("raw"))
@@ -111,7 +112,7 @@ def _build_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", 202)
         .otherwise(200)
     )
-    return _events(spark, sf_dir).select(
+    return events(spark, sf_dir).select(
         "event_id",
         "ts",
         F.when(kind == "purchase", "POST").otherwise("GET").alias("method"),
@@ -165,3 +166,80 @@ def pasted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("paste-"), F.col("doc_id").cast("string"), F.lit(".log")).alias("filename"),
         F.col("text").alias("content"),
     )
+
+
+# --- stored results of earlier steps --------------------------------------------------
+
+
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse_log(log_lines(spark, sf_dir), SYSLOG_YEAR)
+
+
+def _build_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error groups with tenant, stable id and the format of their file."""
+    formats = parsing.detect_formats(log_lines(spark, sf_dir)).select("file_id", "format")
+    groups = grouping.error_groups(parsed_lines(spark, sf_dir))
+    natural_key = F.concat_ws("|", F.col("file_id").cast("string"), "fingerprint")
+    return groups.join(formats, "file_id").select(
+        "*",
+        (F.col("file_id") % TENANTS).alias("user_id"),
+        F.sha2(natural_key, 256).alias("group_id"),
+    )
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "groups", _build_groups)
+
+
+def _build_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analysis run per file; the last log time stands in for its creation."""
+    parsed = parsed_lines(spark, sf_dir)
+    created = parsed.groupBy("file_id").agg(F.max("ts").alias("created_at"))
+    status = F.when(F.col("file_id") % 17 == 16, "failed").otherwise("completed")
+    return grouping.run_counters(parsed).join(created, "file_id").select(
+        "*", (F.col("file_id") % TENANTS).alias("user_id"), status.alias("status")
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "runs", _build_runs)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of the runs."""
+    name = F.concat(F.lit("app-"), F.col("file_id").cast("string"), F.lit(".log"))
+    return runs(spark, sf_dir).select("file_id", name.alias("filename"))
+
+
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(
+        spark, sf_dir, "insights", lambda s, d: enrichment.enrich(groups(s, d))
+    )
+
+
+def enriched_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with their insight payload and refined severity."""
+    return stored(
+        spark,
+        sf_dir,
+        "enriched_groups",
+        lambda s, d: enrichment.refine_severity(groups(s, d), insights(s, d)),
+    )
+
+
+QUESTIONS = [
+    "why did the database time out?",
+    "which worker ran out of memory?",
+    "redis pool exhausted",
+    "disk quota on which volume?",
+    "upstream 502 errors",
+    "certificate renewal of the ingress",
+]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six questions about every file."""
+    asked = F.posexplode(F.array(*[F.lit(x) for x in QUESTIONS])).alias("n", "question")
+    return runs(spark, sf_dir).select("file_id", asked).select(
+        (F.col("file_id") * len(QUESTIONS) + F.col("n")).alias("question_id"), "file_id", "question"
+    )
