@@ -7,6 +7,8 @@ depend on the order in which Spark adds the terms.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,22 +28,29 @@ def bucket_counts(text: Column, dim: int = fixed.VECTOR_DIM) -> Column:
     A text is one row, so counting needs no shuffle: sort the buckets, and the
     count of a bucket is the distance between first positions.
     """
-    buckets = F.array_sort(F.transform(tokens(text, fixed.VECTOR_TOKEN), lambda t: token_bucket(t, dim)))
-    return runs(buckets)
+    hashed = F.transform(tokens(text, fixed.VECTOR_TOKEN), lambda t: token_bucket(t, dim))
+    return let(F.array_sort(hashed), runs)
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    A column used inside a lambda is evaluated again for every element; the
+    variable of a one-element ``transform`` is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def runs(sorted_values: Column) -> Column:
-    """Run lengths of a sorted array as ``array<struct<bucket, n>>``."""
-    distinct = F.array_distinct(sorted_values)
-    starts = F.transform(distinct, lambda x: F.array_position(sorted_values, x))
-    ends = F.concat(
+
+def runs(ordered: Column) -> Column:
+    """Run lengths of a sorted array variable as ``array<struct<bucket, n>>``."""
+    distinct = F.array_distinct(ordered)
+    starts = F.transform(distinct, lambda x: F.array_position(ordered, x))
+    next_starts = F.concat(
         F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))),
-        F.array((F.size(sorted_values) + 1).cast("long")),
-    )
-    return F.transform(
-        distinct,
-        lambda x, i: F.struct(x.alias("bucket"), (F.get(ends, i) - F.get(starts, i)).alias("n")),
+        F.array((F.size(ordered) + 1).cast("long")),
     )
+    lengths = F.zip_with(next_starts, starts, lambda after, start: after - start)
+    return F.zip_with(distinct, lengths, lambda x, n: F.struct(x.alias("bucket"), n.alias("n")))
 
 
 def squared_norm(counts: Column) -> Column:

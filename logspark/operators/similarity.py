@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark import fixed
-from logspark.functions.vectors import bucket_counts, cosine, squared_norm
+from logspark.functions.vectors import bucket_counts, cosine, let, squared_norm
 from logspark.operators.enrichment import top_groups
 from logspark.operators.scale import cut
 
@@ -78,22 +78,26 @@ def _prefix(ranks: Column, threshold: float) -> Column:
     )
     bound = F.lit(threshold * threshold - 1e-9) * F.col("norm2")
 
-    def tail(i: Column) -> Column:
-        rest = F.slice(ordered, i + 1, F.size(ordered))
-        return F.aggregate(rest, F.lit(0).cast("long"), lambda acc, c: acc + c["n"] * c["n"])
+    def kept(items: Column) -> Column:
+        def tail(i: Column) -> Column:
+            rest = F.slice(items, i + 1, F.size(items))
+            return F.aggregate(rest, F.lit(0).cast("long"), lambda acc, c: acc + c["n"] * c["n"])
 
-    kept = F.filter(ordered, lambda c, i: tail(i) >= bound)
-    return F.transform(kept, lambda c: c["bucket"])
+        return F.filter(items, lambda c, i: tail(i) >= bound)
+
+    return F.transform(let(ordered, kept), lambda c: c["bucket"])
 
 
 def _dot(left: Column, right: Column) -> Column:
     """Dot product of two count lists through a bucket map of the right one."""
-    weights = F.map_from_entries(right)
-    return F.aggregate(
-        left,
-        F.lit(0).cast("long"),
-        lambda acc, c: acc + c["n"] * F.coalesce(F.try_element_at(weights, c["bucket"]), F.lit(0)),
-    )
+    def summed(weights: Column) -> Column:
+        return F.aggregate(
+            left,
+            F.lit(0).cast("long"),
+            lambda acc, c: acc + c["n"] * F.coalesce(F.try_element_at(weights, c["bucket"]), F.lit(0)),
+        )
+
+    return let(F.map_from_entries(right), summed)
 
 
 def similar_pairs(

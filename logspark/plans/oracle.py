@@ -36,7 +36,8 @@ def build(name: str) -> str:
     if not ordered:
         return final.strip()
     body = ",\n".join(f"{p} AS MATERIALIZED ({PARTS[p][1].strip()})" for p in ordered)
-    return f"WITH {body}\n{final.strip()}"
+    text = final.strip()
+    return f"WITH {body},\n{text[5:]}" if text.startswith("WITH ") else f"WITH {body}\n{text}"
 
 
 def all_queries() -> dict[str, str]:
