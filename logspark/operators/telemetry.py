@@ -141,8 +141,9 @@ def sliding(steps: DataFrame, keys: list[str], window_s: int, step_s: int) -> Da
     if window_s % step_s:
         raise ValueError("the window must be a multiple of the step")
     covering = F.explode(F.sequence(F.col("step") + 1, F.col("step") + window_s // step_s))
-    spread = steps.select(*keys, (covering * step_s).alias("end_s"), "requests", "errors", "seconds")
-    return spread.groupBy(*keys, "end_s").agg(
+    spread = steps.select(*keys, covering.alias("_end"), "requests", "errors", "seconds")
+    end_s = (F.col("_end") * step_s).alias("end_s")
+    return spread.groupBy(*keys, end_s).agg(
         F.sum("requests").alias("requests"),
         F.sum("errors").alias("errors"),
         F.sum("seconds").alias("seconds"),

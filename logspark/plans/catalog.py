@@ -11,6 +11,7 @@ from logspark.plans import (
     incident_queries,
     ingest_queries,
     search_queries,
+    stream_queries,
     telemetry_queries,
 )
 
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **search_queries.QUERIES,
     **incident_queries.QUERIES,
     **telemetry_queries.QUERIES,
+    **stream_queries.QUERIES,
 }

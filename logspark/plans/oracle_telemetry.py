@@ -130,3 +130,37 @@ SELECT {route("regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)")} AS route, c
 FROM pages GROUP BY ALL
 """,
 )
+
+# --- final states of the streams ---------------------------------------------------------
+
+query(
+    "stream_error_groups",
+    ["groups"],
+    """
+SELECT file_id, fingerprint, level, template, severity, n AS "count",
+  strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen
+FROM groups
+""",
+)
+query(
+    "stream_red",
+    ["measured"],
+    f"""
+SELECT end_s, method, route, requests, errors, cast(cast(seconds AS decimal(18,6)) AS varchar) AS seconds
+FROM ({windows('method, route', 6)})
+""",
+)
+query("stream_alerts", ["measured"], alerts("route", _RATIO, 0.25, 3 * HOUR))
+query(
+    "stream_rate_limit",
+    ["admission"],
+    """
+SELECT path, client_ip, us, count(*) AS hits, count(CASE WHEN admitted THEN 1 END) AS admitted,
+  count(CASE WHEN NOT admitted THEN 1 END) AS rejected FROM admission GROUP BY ALL
+""",
+)
+query(
+    "stream_dedup",
+    ["measured"],
+    "SELECT method, route, status, count(*) AS requests FROM measured GROUP BY ALL",
+)
