@@ -5,7 +5,7 @@ from __future__ import annotations
 from logspark import fixed
 from logspark.plans.inputs import QUESTIONS
 from logspark.plans.oracle import lines_of, part, q, query, strings, strip
-from logspark.plans.search_queries import WIDE_MAX_CHUNKS
+from logspark.plans.search_queries import KNN_LIMIT, WIDE_MAX_CHUNKS
 
 
 def buckets_of(text: str) -> str:
@@ -78,6 +78,19 @@ FROM embeddings
 """,
 )
 
+query(
+    "vector_knn",
+    [],
+    f"""
+WITH s AS (SELECT a.label AS tenant, a.vec_id AS query_id, b.vec_id AS match_id,
+  list_dot_product(a.embedding::double[], b.embedding::double[]) AS score
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT cast(tenant AS bigint) AS tenant, query_id, match_id, round(score, 4) AS score,
+  cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS int) AS rank
+FROM s QUALIFY rank <= {KNN_LIMIT}
+""",
+)
+
 
 def chunks_sql(lines: str, max_chunks: int) -> str:
     """Windows with text from ``file_id, line_no, raw`` by a range join."""

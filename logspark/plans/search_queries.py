@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.operators import retrieval, similarity
+from logspark.operators import knn, retrieval, similarity
 from logspark.plans import inputs
 
 
@@ -48,6 +48,20 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KNN_LIMIT = 5
+
+
+def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other embeddings of every embedding within its label."""
+    points = inputs.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.col("label").cast("long").alias("tenant"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    found = knn.nearest_neighbours(points, points, KNN_LIMIT, skip_same_id=True)
+    return found.withColumn("score", F.round("score", 4))
+
+
 def _shown_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select(
         "file_id", "chunk_no", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text_md5")
@@ -97,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "template_index": template_index,
     "similar_incidents": similar_incidents,
     "vector_upsert": vector_upsert,
+    "vector_knn": vector_knn,
     "line_chunks": line_chunks,
     "line_chunks_wide": line_chunks_wide,
     "chunk_retrieval": chunk_retrieval,
