@@ -7,13 +7,11 @@ depend on the order in which Spark adds the terms.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logspark import fixed
-from logspark.functions.text import tokens
+from logspark.functions.text import let, tokens
 
 
 def token_bucket(token: Column, dim: int = fixed.VECTOR_DIM) -> Column:
@@ -32,15 +30,6 @@ def bucket_counts(text: Column, dim: int = fixed.VECTOR_DIM) -> Column:
     return let(F.array_sort(hashed), runs)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``.
-
-    A column used inside a lambda is evaluated again for every element; the
-    variable of a one-element ``transform`` is not.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def runs(ordered: Column) -> Column:
     """Run lengths of a sorted array variable as ``array<struct<bucket, n>>``."""
     distinct = F.array_distinct(ordered)
@@ -50,7 +39,8 @@ def runs(ordered: Column) -> Column:
         F.array((F.size(ordered) + 1).cast("long")),
     )
     lengths = F.zip_with(next_starts, starts, lambda after, start: after - start)
-    return F.zip_with(distinct, lengths, lambda x, n: F.struct(x.alias("bucket"), n.alias("n")))
+    counted = F.zip_with(distinct, lengths, lambda x, n: F.struct(x.alias("bucket"), n.alias("n")))
+    return F.slice(counted, F.lit(1), F.size(distinct))  # an empty text has one padded end
 
 
 def squared_norm(counts: Column) -> Column:

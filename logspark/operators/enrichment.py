@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logspark import fixed
 from logspark.functions.guards import INSIGHT_PAYLOAD, filter_commands, insight_problems
@@ -156,10 +157,11 @@ def python_scorer(score: Callable[[list[str]], list[tuple[str, int, int]]], mode
 
 
 def parse_payload(json: Column) -> Column:
-    """A payload struct from JSON text; null when the text is not an object."""
+    """A payload struct from JSON text; null when the text is not one object."""
     text = F.btrim(json)
-    looks_whole = text.startswith("{") & text.endswith("}")
-    return F.when(looks_whole, F.from_json(text, INSIGHT_PAYLOAD, {"mode": "PERMISSIVE"}))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(INSIGHT_PAYLOAD))
+    only = F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+    return F.when(text.startswith("{") & text.endswith("}"), only)
 
 
 def validate_payloads(scored: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark import fixed
-from logspark.functions.text import is_blank, lookup, normalize_level, parse_timestamp, strip
+from logspark.functions.text import is_blank, let, lookup, normalize_level, parse_timestamp, strip
 from logspark.operators.scale import join_to_many
 from logspark.sources.lines import counted_lines, head_sample
 
@@ -61,24 +61,45 @@ def _captured(line: Column, pattern: str, groups: int) -> Column:
 
 
 def _json_object(line: Column) -> Column:
-    return F.when(
-        line.startswith("{") & line.endswith("}"), F.from_json(line, "map<string,string>")
-    )
+    """The object a line consists of, or null.
+
+    The JSON reader stops after the first value and ignores what follows.  Read
+    as the only element of a list, a line with trailing text is malformed.
+    """
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>")
+    only = F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+    return F.when(line.startswith("{") & line.endswith("}"), only)
+
+
+def _json_pairs(line: Column) -> Column:
+    """Keys and values, last pair first, so that a lookup finds the last duplicate."""
+
+    def pairs(obj: Column) -> Column:
+        return F.struct(
+            F.reverse(F.map_keys(obj)).alias("keys"), F.reverse(F.map_values(obj)).alias("vals")
+        )
+
+    return let(_json_object(line), lambda obj: F.when(obj.isNotNull(), pairs(obj)))
+
+
+def _value_of(pairs: Column, key: str) -> Column:
+    """Value of a key in a pair list; null when the key is absent."""
+    return F.get(pairs["vals"], (F.array_position(pairs["keys"], key) - 1).cast("int"))
 
 
-def _first_present(obj: Column, keys: list[str]) -> Column:
+def _first_present(pairs: Column, keys: list[str]) -> Column:
     """Value of the first key that exists, even when that value is null."""
-    cases = F.when(F.map_contains_key(obj, keys[0]), F.try_element_at(obj, F.lit(keys[0])))
+    cases = F.when(F.array_contains(pairs["keys"], keys[0]), _value_of(pairs, keys[0]))
     for key in keys[1:]:
-        cases = cases.when(F.map_contains_key(obj, key), F.try_element_at(obj, F.lit(key)))
+        cases = cases.when(F.array_contains(pairs["keys"], key), _value_of(pairs, key))
     return cases
 
 
-def _json_fields(line: Column, raw: Column, obj: Column, year: int) -> Column:
+def _json_fields(line: Column, raw: Column, pairs: Column, year: int) -> Column:
     return _fields(
-        normalize_level(_first_present(obj, fixed.JSON_LEVEL_KEYS)),
-        _first_present(obj, fixed.JSON_TIME_KEYS),
-        F.coalesce(_first_present(obj, fixed.JSON_MESSAGE_KEYS), line),
+        normalize_level(_first_present(pairs, fixed.JSON_LEVEL_KEYS)),
+        _first_present(pairs, fixed.JSON_TIME_KEYS),
+        F.coalesce(_first_present(pairs, fixed.JSON_MESSAGE_KEYS), line),
         line,
     )
 
@@ -101,10 +122,7 @@ def _logfmt_matched(pairs: Column) -> Column:
 
 
 def _logfmt_value(pairs: Column, *keys: str) -> Column:
-    found = [
-        F.get(pairs["vals"], (F.array_position(pairs["keys"], k) - 1).cast("int")) for k in keys
-    ]
-    return F.coalesce(*found)
+    return F.coalesce(*[_value_of(pairs, key) for key in keys])
 
 
 def _without_quotes(text: Column) -> Column:
@@ -163,7 +181,7 @@ def _plain_fields(line: Column, raw: Column, fields: Column, year: int) -> Colum
 # --- registry ---------------------------------------------------------------------
 
 REGISTRY: list[LogFormat] = [
-    LogFormat("json", _json_object, lambda obj: obj.isNotNull(), _json_fields),
+    LogFormat("json", _json_pairs, lambda pairs: pairs.isNotNull(), _json_fields),
     LogFormat("logfmt", _logfmt_pairs, _logfmt_matched, _logfmt_fields, clean=_logfmt_unquote),
     LogFormat(
         "syslog",

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark import fixed
-from logspark.functions.vectors import bucket_counts, cosine, let, squared_norm
+from logspark.functions.text import let
+from logspark.functions.vectors import bucket_counts, cosine, squared_norm
 from logspark.operators.enrichment import top_groups
 from logspark.operators.scale import cut
 

@@ -41,14 +41,15 @@ def manifest_of_files(spark: SparkSession, path: str, user_id: str) -> DataFrame
     """Manifest rows of uploaded files; content is read only within the size limit.
 
     The size comes from the file listing, so an oversized file is rejected
-    without reading it, and the hash of the others needs the bytes once.
+    without reading it, and the hash of the others needs the bytes once.  Spark
+    does not list empty files, so an empty upload never gets a row.
     """
     files = spark.read.format("binaryFile").load(path)
     within = F.col("length") <= fixed.MAX_UPLOAD_BYTES
     accepted = files.filter(within).withColumn("content_hash", F.sha2("content", 256)).drop("content")
     oversized = files.filter(~within).drop("content").withColumn("content_hash", F.lit(None).cast("string"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    reason = F.when(~within, F.lit("too large")).when(F.col("length") == 0, F.lit("empty"))
+    reason = F.when(~within, F.lit("too large"))
     return accepted.unionByName(oversized).select(
         F.col("path").alias("file_id"),
         F.lit(user_id).alias("user_id"),

@@ -38,7 +38,7 @@ def rows_of(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tupl
     return [columns[i] for i in order], sorted(plain, key=repr)
 
 
-def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
+def compare(spark, con, query, sql: str, sf_dir: str, allow_empty: bool = False) -> str | None:
     """None when equal, otherwise the first difference."""
     result = query(spark, sf_dir)
     left_columns, left = rows_of(result.columns, [tuple(r) for r in result.collect()])
@@ -49,7 +49,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     if len(left) != len(right):
         extra = [r for r in left if r not in set(right)][:2], [r for r in right if r not in set(left)][:2]
         return f"rows {len(left)} != {len(right)}: {extra}"
-    if not left:
+    if not left and not allow_empty:
         return "no rows"
     for a, b in zip(left, right, strict=True):
         if a != b or [type(x) for x in a] != [type(x) for x in b]:
