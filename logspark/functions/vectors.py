@@ -24,23 +24,32 @@ def bucket_counts(text: Column, dim: int = fixed.VECTOR_DIM) -> Column:
     """``array<struct<bucket, n>>`` of one text, ordered by bucket, inside the row.
 
     A text is one row, so counting needs no shuffle: sort the buckets, and the
-    count of a bucket is the distance between first positions.
+    count of a bucket is the length of its run.
     """
     hashed = F.transform(tokens(text, fixed.VECTOR_TOKEN), lambda t: token_bucket(t, dim))
-    return let(F.array_sort(hashed), runs)
+    return let(F.sort_array(hashed), runs)
 
 
 def runs(ordered: Column) -> Column:
     """Run lengths of a sorted array variable as ``array<struct<bucket, n>>``."""
-    distinct = F.array_distinct(ordered)
-    starts = F.transform(distinct, lambda x: F.array_position(ordered, x))
-    next_starts = F.concat(
-        F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))),
-        F.array((F.size(ordered) + 1).cast("long")),
-    )
-    lengths = F.zip_with(next_starts, starts, lambda after, start: after - start)
-    counted = F.zip_with(distinct, lengths, lambda x, n: F.struct(x.alias("bucket"), n.alias("n")))
-    return F.slice(counted, F.lit(1), F.size(distinct))  # an empty text has one padded end
+
+    def starts_run(x: Column, i: Column) -> Column:
+        return F.when(F.coalesce(F.get(ordered, i - 1) != x, F.lit(True)), i)
+
+    def measured(starts: Column) -> Column:
+        ends = F.concat(
+            F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered))
+        )
+        counted = F.zip_with(
+            starts,
+            ends,
+            lambda start, end: F.struct(
+                F.get(ordered, start).alias("bucket"), (end - start).cast("long").alias("n")
+            ),
+        )
+        return F.slice(counted, F.lit(1), F.size(starts))  # an empty text has one padded end
+
+    return let(F.array_compact(F.transform(ordered, starts_run)), measured)
 
 
 def squared_norm(counts: Column) -> Column:

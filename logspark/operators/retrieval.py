@@ -108,15 +108,19 @@ def chunk_buckets(windowed: DataFrame) -> DataFrame:
 def _term_matches(terms: DataFrame, wanted: DataFrame) -> DataFrame:
     """``file_id, token, term`` where one is a prefix of the other, or both are equal.
 
-    Works on the vocabulary of a file, not on its windows.  A longer term is cut
-    to the lengths that the file's tokens have; a longer token is cut to every
-    length.  Both ways become an equality join.
+    Works on the vocabulary of a file, not on its windows.  Related words share
+    their first two letters, so other terms are dropped by an equality join.  A
+    longer term is cut to the lengths that tokens with its first letters have; a
+    longer token is cut to every length.  Both ways become an equality join.
     """
     vocabulary = terms.select("file_id", "term").distinct()
-    lengths = wanted.groupBy("file_id").agg(F.collect_set(F.length("token")).alias("lengths"))
+    lengths = wanted.groupBy("file_id", F.substring("token", 1, 2).alias("head")).agg(
+        F.collect_set(F.length("token")).alias("lengths")
+    )
     usable = F.filter("lengths", lambda n: n <= F.length("term"))
     heads = (
-        join_to_many(vocabulary, lengths, ["file_id"], "term", "token_lengths")
+        vocabulary.withColumn("head", F.substring("term", 1, 2))
+        .join(lengths, ["file_id", "head"])
         .select("file_id", "term", F.explode(usable).alias("n"))
         .select("file_id", "term", F.expr("substring(term, 1, n)").alias("token"))
     )

@@ -104,6 +104,20 @@ def error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of four long files: each holds a quarter of all lines."""
+    parsed = parsing.parse_log(inputs.long_log_lines(spark, sf_dir), SYSLOG_YEAR)
+    return grouping.error_groups(parsed).select(
+        "file_id",
+        "level",
+        "template",
+        "count",
+        shown_time("first_seen"),
+        shown_time("last_seen"),
+        F.array_join("sample_lines", "\n").alias("sample_lines"),
+    )
+
+
 def group_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = grouping.error_lines(inputs.parsed_lines(spark, sf_dir))
     return grouping.group_samples(errors).withColumn(
@@ -127,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_plain_lines": _parse_query("plain"),
     "message_templates": message_templates,
     "error_groups": error_groups,
+    "long_file_groups": long_file_groups,
     "group_samples": group_samples,
     "run_counters": run_counters,
 }

@@ -348,3 +348,15 @@ FROM parsed p LEFT JOIN errors e USING (file_id, line_no) GROUP BY p.file_id
 )
 
 query("run_counters", ["counters"], "SELECT * FROM counters")
+
+query(
+    "long_file_groups",
+    ["long_log_lines"],
+    """
+WITH l AS (SELECT *, split_part(raw, ' ', 3) AS word, substr(raw, 1, 19) AS stamp FROM long_log_lines)
+SELECT file_id, lower(word) AS level, 'shipment of order <n> part <n> delayed <n> h' AS template, count(*) AS "count",
+  min(stamp) AS first_seen, max(stamp) AS last_seen,
+  array_to_string(list(raw ORDER BY line_no)[1:5], chr(10)) AS sample_lines
+FROM l WHERE word IN ('ERROR', 'WARNING') GROUP BY file_id, word
+""",
+)
