@@ -84,14 +84,29 @@ def template_rules(rule_set: str = "compat") -> list[tuple[str, str]]:
     raise ValueError(f"unknown template rule set: {rule_set}")
 
 
+# a character without which a rule cannot match; most messages have few of them
+_NEEDED = {"<uuid>": "-", "<ts>": ":", "<ip>": ".", "<path>": "/"}
+
+
+def _apply_rule(text: Column, pattern: str, mark: str) -> Column:
+    """Replace by one rule; a character search spares most texts the regex."""
+    replaced = lambda t: F.regexp_replace(t, F.lit(pattern), F.lit(mark))
+    needed = pattern[0] if mark == "<str>" else _NEEDED.get(mark)
+    if needed is None:
+        return replaced(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit(needed)), replaced(t)).otherwise(t))
+
+
 def template_of(message: Column, rule_set: str = "compat") -> Column:
-    normalised = reduce(
-        lambda text, rule: F.regexp_replace(text, F.lit(rule[0]), F.lit(rule[1])),
-        template_rules(rule_set),
-        F.lower(strip(message)),
+    """The message with everything variable replaced by marks, cut to a length.
+
+    The result is null-free, which lets the planner drop null checks that would
+    repeat the rules.
+    """
+    marked = reduce(
+        lambda text, rule: _apply_rule(text, *rule), template_rules(rule_set), F.lower(strip(message))
     )
-    # a null-free result lets the planner drop null checks that would repeat the rules
-    return F.coalesce(F.substring(strip(normalised), 1, fixed.TEMPLATE_CHARS), F.lit(""))
+    return F.coalesce(F.substring(strip(marked), 1, fixed.TEMPLATE_CHARS), F.lit(""))
 
 
 def fingerprint(level: Column, template: Column) -> Column:

@@ -224,7 +224,8 @@ def answers(windowed: DataFrame, retrieved: DataFrame, questions: DataFrame) ->
 
     Each question has at most ``k`` retrieved windows, so its row stays small.
     """
-    shown = retrieved_texts(windowed, retrieved).withColumn("text", scrub(F.col("text")))
+    kept = cut(retrieved, "retrieved")  # a few rows per question, read twice below
+    shown = retrieved_texts(windowed, kept).withColumn("text", scrub(F.col("text")))
     entry = F.struct("rank", "start_line", "end_line", "text")
     ranked = shown.groupBy("question_id").agg(F.array_sort(F.collect_list(entry)).alias("found"))
     joined = questions.join(ranked, "question_id", "left")
