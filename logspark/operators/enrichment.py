@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from logspark import fixed
 from logspark.functions.guards import INSIGHT_PAYLOAD, filter_commands, insight_problems
 from logspark.functions.text import fence, severity_of_level
-from logspark.operators.scale import join_to_many
+from logspark.operators.scale import cut, join_to_many
 
 Scorer = Callable[[DataFrame], DataFrame]
 CACHE_KEY = ["user_id", "fingerprint"]
@@ -207,7 +207,7 @@ def enrich(
     run, and the other runs take that insight as a cache hit.  Scored payloads
     must pass validation; a failing one yields no insight and no failed run.
     """
-    top = top_groups(groups, max_groups)
+    top = cut(top_groups(groups, max_groups), "top_groups")  # a few rows per run, read three times
     if cache is not None:
         top = with_cache(top, cache)
     else:

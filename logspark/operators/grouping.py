@@ -22,7 +22,12 @@ def error_lines(parsed: DataFrame, rule_set: str = "compat") -> DataFrame:
     """Lines of the grouped levels with their template; the filter comes first."""
     kept = parsed.filter(in_list(F.col("level"), fixed.GROUPED_LEVELS))
     return kept.select(
-        *IDENTITY[:2], template_of(F.col("message"), rule_set).alias("template"), "line_no", "ts", "text"
+        "file_id",
+        "level",
+        template_of(F.col("message"), rule_set).alias("template"),
+        "line_no",
+        "ts",
+        F.substring("text", 1, fixed.SAMPLE_CHARS).alias("text"),  # all a sample ever shows
     )
 
 
@@ -41,14 +46,14 @@ def group_counts(errors: DataFrame) -> DataFrame:
 
 
 def group_samples(errors: DataFrame, k: int = fixed.SAMPLES_PER_GROUP) -> DataFrame:
-    """The first ``k`` lines of each group in file order, cut to a length.
+    """The first ``k`` lines of each group in file order.
 
     The rank filter becomes a group limit that runs before the shuffle, so a
     group sends at most ``k`` rows per task however many lines it has.
     """
     order = Window.partitionBy(*IDENTITY).orderBy("line_no")
     first = (
-        errors.select(*IDENTITY, "line_no", F.substring("text", 1, fixed.SAMPLE_CHARS).alias("text"))
+        errors.select(*IDENTITY, "line_no", "text")
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= k)
     )

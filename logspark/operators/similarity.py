@@ -212,8 +212,9 @@ def similar_incidents(
     seed_groups: int = fixed.SIMILAR_SEED_GROUPS,
 ) -> DataFrame:
     """Similar past groups per run: over its largest groups, first match per group kept."""
-    seeds = top_groups(groups, seed_groups).select(
-        "file_id", "user_id", "group_id", "template", "group_rank"
+    largest = top_groups(groups, seed_groups)
+    seeds = cut(
+        largest.select("file_id", "user_id", "group_id", "template", "group_rank"), "seed_groups"
     )
     found = similar_groups(seeds, history, limit)
     shown = found.withColumn("score", F.round("score", 3))
