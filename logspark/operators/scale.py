@@ -33,8 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/logspark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/logspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the tables this application has stored; call it when all results are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

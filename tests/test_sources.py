@@ -3,7 +3,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from logspark.operators.scale import join_to_many, number_rows
+from logspark.operators.scale import cut, join_to_many, new_path, number_rows, shared_dir
 from logspark.sources import lines, manifest, sinks
 
 
@@ -91,3 +91,10 @@ def test_batch_sink_replaces_a_replayed_batch(spark):
     sinks.write_batch(rows, path, "one")
     sinks.write_batch(rows, path, "two")
     assert sinks.read_batches(spark, path).count() == 20
+
+
+def test_cuts_go_to_the_configured_folder(spark):
+    stored = cut(spark.range(3), "three")
+    assert stored.count() == 3
+    assert shared_dir(spark) in stored.inputFiles()[0]
+    assert new_path(spark, "a") != new_path(spark, "a")
