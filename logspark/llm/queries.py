@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import common, packing, records
+from logspark.llm import common, minhash, packing, records
 from logspark.operators.scale import new_path
 
 SEQUENCE_TOKENS = 4096
@@ -33,9 +33,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("length", F.col("length").cast("long")).select(columns)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all texts at a Jaccard similarity of at least 0.85."""
+    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_records": op5_token_records,
     "op7_packing": op7_packing,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {}
