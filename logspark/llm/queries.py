@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import common, minhash, packing, records
+from logspark.llm import common, line_dedup, minhash, packing, records
 from logspark.operators.scale import new_path
 
 SEQUENCE_TOKENS = 4096
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicate_lines(docs)
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every text as token records, read the files back through the index."""
     folder = new_path(spark, "records")
@@ -39,6 +45,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_token_records": op5_token_records,
     "op7_packing": op7_packing,
     "op9_minhash": op9_minhash,
