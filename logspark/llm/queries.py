@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import common, line_dedup, minhash, packing, records
+from logspark.llm import common, line_dedup, minhash, packing, quality, records
 from logspark.operators.scale import new_path
 
 SEQUENCE_TOKENS = 4096
@@ -20,6 +20,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(docs)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learnt from the labels that are not held out."""
+    return quality.quality_scores(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every text as token records, read the files back through the index."""
     folder = new_path(spark, "records")
@@ -46,6 +51,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_quality": op4_quality,
     "op5_token_records": op5_token_records,
     "op7_packing": op7_packing,
     "op9_minhash": op9_minhash,
