@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import common, line_dedup, minhash, packing, quality, records
+from logspark.llm import common, hilbert, line_dedup, minhash, mixing, packing, quality, records
 from logspark.operators.scale import new_path
 
 SEQUENCE_TOKENS = 4096
@@ -33,6 +33,22 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(index, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight equal runs of a Hilbert curve over source, language, length and id."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    placed = hilbert.shard_rows(docs, ["source", "lang", "n_chars", "doc_id"], shards=8)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("shard_number").alias("shard"),
+        F.col("shard_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every text into sequences of at most 4096 tokens."""
     docs = common.read_table(spark, sf_dir, "documents")
@@ -49,12 +65,25 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents with the weights 5, 2 and 1 over their sources."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    sized = common.stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "mix-sizes")
+    mixed = mixing.mix(sized, pattern=(5, 2, 1), most=3)
+    taken = F.aggregate("mix_taken", F.lit(0).cast("long"), lambda words, one: words + one["words"])
+    return mixed.select(
+        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_quality": op4_quality,
     "op5_token_records": op5_token_records,
+    "op6_hilbert": op6_hilbert,
     "op7_packing": op7_packing,
     "op9_minhash": op9_minhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
