@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import common, hilbert, line_dedup, minhash, mixing, packing, quality, records
+from logspark.llm import (
+    ann_forest,
+    common,
+    embedding_dedup,
+    hilbert,
+    license_scan,
+    license_texts,
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    records,
+)
 from logspark.operators.scale import new_path
 
 SEQUENCE_TOKENS = 4096
@@ -20,6 +33,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(docs)
 
 
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector among all others."""
+    rows = common.read_table(spark, sf_dir, "embeddings")
+    return ann_forest.search(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of at least 0.95."""
+    return embedding_dedup.near_duplicates(common.read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learnt from the labels that are not held out."""
     return quality.quality_scores(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
@@ -60,6 +84,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("length", F.col("length").cast("long")).select(columns)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every text."""
+    return license_scan.scan(common.read_table(spark, sf_dir, "documents"), license_texts.TEMPLATES)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all texts at a Jaccard similarity of at least 0.85."""
     return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), percent=85)
@@ -78,10 +107,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ann_forest": op2_ann_forest,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
     "op5_token_records": op5_token_records,
     "op6_hilbert": op6_hilbert,
     "op7_packing": op7_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
 }
