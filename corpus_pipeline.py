@@ -1,19 +1,72 @@
-"""The training-data pipeline over ``documents``: one operator per stage, each on all that the stage before kept."""
+"""The training-data pipeline over ``documents``: one operator per stage, each on all that the stage before kept.
+
+Rows are documents until the last stage, which returns packed pieces of token ids.
+An empty table passes through every stage; null and empty texts are dropped where they
+hold nothing to train on (by the mix, which takes no words of them).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logspark.llm import common, line_dedup, minhash, mixing, packing, quality
+
+QUALITY = 0.3
+SEQUENCE_TOKENS = 4096
+WEIGHTS = (5, 2, 1)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose quality score is below ``QUALITY``."""
+    _, model = quality.fit_on(docs, common.read_table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model).where(F.col("quality_score") >= QUALITY).drop("quality_score")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete passages that an earlier document holds; a document of which no word is left goes."""
+    found = line_dedup.deduplicate_lines(docs)
+    emptied = (F.col("lines_deleted") > 0) & ~F.col("text").rlike(mixing.WORD)
+    found = found.where(~emptied).withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(docs.columns)
+
+
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each source's documents as often as its target asks, shuffled in shards; a document taken twice is two rows."""
+    mixed = mixing.mix(docs.withColumn("size", mixing.word_count("text")), WEIGHTS, whole=True)
+    return mixing.taken_rows(mixed).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their token ids, sequence and place there."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = common.stored(packing.cut_documents(docs, tokenizer, end_id=1, capacity=SEQUENCE_TOKENS), "pieces")
+    places = packing.pack(pieces.select("row", "piece", "length"), SEQUENCE_TOKENS).drop("length")
+    return pieces.join(places, ["row", "piece"]).select("doc_id", "piece", "start", "length", "sequence_id", "offset", "ids")
 
-from logspark.llm import common
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("minhash near-dedup", minhash_stage),
+    ("mixing to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
+#: Scores, alignment, tokens and the hashed draw have no SQL form; tests hold each stage against a plain one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of ``sf_dir``."""
+    """All stages in order over the documents of ``sf_dir``, each stored before the next."""
     docs = common.read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{number}")
     return docs

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from logspark.llm import common, words
 from logspark.llm.line_dedup import line_hashes
@@ -251,14 +252,35 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+def _append_score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = []
+        for _, data, offsets in words.text_groups(batch.column("text")):
+            table = statistics(data, offsets)
+            scores.append(model.score(table) if model else np.full(len(table), 0.5))
+        if scores:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, "quality_score"])
 
-    ``labels`` has (doc_id, quality); rows that are held out are never learnt from.
-    """
+
+def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with ``quality_score`` added to each row; nothing is joined or shuffled."""
+    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    return docs.mapInArrow(lambda batches: _append_score(batches, model), schema)
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, Model | None]:
+    """(stored statistics of every text, model); rows that are held out are never learnt from."""
     table = common.stored(text_statistics(docs).withColumn("held_out", held_out()), "statistics")
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label"))
     labelled = table.where(~F.col("held_out")).join(known, "doc_id").select("doc_id", "statistics", "label")
-    model = fit(labelled, max_rows)
+    return table, fit(labelled, max_rows)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+
+    ``labels`` has (doc_id, quality).
+    """
+    table, model = fit_on(docs, labels, max_rows)
     scored = table.mapInArrow(lambda batches: _score(batches, model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
