@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +67,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         seen = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def smallest_reachable(linked: np.ndarray) -> np.ndarray:
+    """Smallest row reachable by links, for each row of a symmetric matrix."""
+    label = np.arange(len(linked))
+    while True:
+        lower = np.where(linked, label[None, :], len(linked)).min(axis=1, initial=len(linked))
+        new = np.minimum(label, lower)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

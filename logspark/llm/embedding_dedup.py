@@ -59,18 +59,6 @@ def _sign(batches, width: int, bits: int, tables: int):
         yield pa.record_batch({**{c: batch.column(c) for c in ("rep", "copies", "embedding")}, "signs": signs})
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """Smallest row reachable by links, for each row of a symmetric matrix."""
-    label = np.arange(len(linked))
-    while True:
-        lower = np.where(linked, label[None, :], len(linked)).min(axis=1, initial=len(linked))
-        new = np.minimum(label, lower)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _links(group: pa.Table, threshold: float) -> pa.Table:
     """Counts and forest links inside one pair of blocks of one bucket."""
     order = np.argsort(group.column("rep").to_numpy(), kind="stable")
@@ -92,7 +80,7 @@ def _links(group: pa.Table, threshold: float) -> pa.Table:
     linked[:] = False
     linked[a, b] = True
     some = links > 0
-    root = rep[_forest(linked)]
+    root = rep[common.smallest_reachable(linked)]
     return pa.table({"rep": pa.array(rep[some]), "links": pa.array(links[some]), "root": pa.array(root[some])})
 
 

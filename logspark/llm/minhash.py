@@ -7,10 +7,11 @@ each further coordinate.  Coordinates are cut into bands; the number of bands fo
 from the threshold, so that a pair at the threshold is missed with at most ``MISS``.
 
 Texts with equal sets form one class, which its smallest document id stands for.  In a
-band's bucket every class is paired with the smallest one only, those pairs are
-checked on full sets, and what is still in different components of a bucket is paired
-in full and checked too.  So a large group of near copies costs a star, and no link
-that decides a component is lost.
+band's bucket every class is tied to the smallest one only, and what these ties connect is
+a cluster.  A cluster is dealt into blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES``
+hashes; a task compares the full sets of one pair of blocks by counting what they share, and
+returns a spanning forest of the links.  So the candidate pairs of a large group of near copies
+are never rows, no task holds the group, and no link is lost.
 
 Rows without words have an empty set and link with nothing; null and empty texts are
 such rows.  Rows with a null id are returned and link with nothing.  Rows that share an
@@ -35,8 +36,11 @@ MISS = 1e-5
 POSITIONS = 1 << 20
 _CHUNK = 1 << 14
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
-SET_SCHEMA = "doc_id long, shingles binary"
-CHECKED_SCHEMA = "a long, b long, shared long, either long"
+SET_SCHEMA = "doc_id long, cluster long, blocks long, shingles binary"
+LINK_SCHEMA = "a long, b long"
+BLOCK = 128
+BLOCK_SHINGLES = 1 << 18
+_COLUMNS = 4096
 
 
 def bands_for(threshold: float) -> int:
@@ -104,34 +108,54 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Re
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, sets in shingle_sets(batch.column("text")):
-            held = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.record_batch({"doc_id": batch.column("doc_id").slice(row, len(sets)), "shingles": held})
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        shared, either = [], []
-        for i in range(len(batch)):
-            a = np.frombuffer(left[i].as_buffer(), np.uint64)
-            b = np.frombuffer(right[i].as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([a, b]))
-            same = int((both[1:] == both[:-1]).sum())
-            shared.append(same)
-            either.append(len(both) - same)
-        yield pa.record_batch(
-            {"a": batch.column("a"), "b": batch.column("b"), "shared": pa.array(shared, pa.int64()), "either": pa.array(either, pa.int64())}
-        )
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
-    """Links among candidate pairs (a, b): both texts' full sets are compared."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-    sets = common.stored(texts.mapInArrow(_sets, SET_SCHEMA), f"{name}-sets")
-    joined = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
-    checked = joined.select("a", "b", "left", "right").mapInArrow(_compare, CHECKED_SCHEMA)
-    return common.stored(checked.where(f"100 * shared >= {percent} * either").select("a", "b"), f"{name}-links")
+            kept = {c: batch.column(c).slice(row, len(sets)) for c in ("doc_id", "cluster", "blocks")}
+            yield pa.record_batch({**kept, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections; members of one set only are left out before they are counted."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common_column = np.cumsum(holders > 1) - 1
+    several = holders[column] > 1
+    owner, column = owner[several], common_column[column[several]]
+    shared = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        shared += part @ part.T
+    return shared.astype(np.int64)
+
+
+def _links(group: pa.Table, percent: int) -> pa.Table:
+    """Forest links inside one pair of blocks of one cluster."""
+    group = group.take(pa.array(np.argsort(group.column("doc_id").to_numpy(), kind="stable")))
+    ids = group.column("doc_id").to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    shared = shared_counts(sets)
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    root = ids[common.smallest_reachable(linked)]
+    return pa.table({"a": pa.array(ids[ids != root]), "b": pa.array(root[ids != root])})
+
+
+def _verified(ties: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold on full sets and connect all that is linked inside the clusters of ``ties``."""
+    clusters = common.components(ties, "minhash-ties").toDF("doc_id", "cluster")
+    clusters = clusters.join(classes.select("doc_id", "n_shingles"), "doc_id")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("hashes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("hashes") / BLOCK_SHINGLES))
+    members = clusters.select("doc_id", "cluster").join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
+    texts = docs.join(members.distinct().hint("merge"), "doc_id").select("doc_id", "cluster", "blocks", "text")
+    sets = common.stored(texts.mapInArrow(_sets, SET_SCHEMA), "minhash-sets")
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    grouped = dealt.select("cluster", "low", "high", "doc_id", "shingles").groupBy("cluster", "low", "high")
+    return common.stored(grouped.applyInArrow(lambda group: _links(group, percent), LINK_SCHEMA), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -148,31 +172,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("one"))
     classes = common.stored(classes.select("key1", "key2", "one.*"), "minhash-classes")
 
-    banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    banded = classes.select("doc_id", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
-    members = common.stored(banded.join(leaders.drop("last"), "band"), "minhash-buckets")
-    star = members.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = common.stored(star, "minhash-stars")
-    links = _verified(star, docs, percent, "minhash-stars")
-    labels = common.components(links, "minhash-rounds")
-
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = common.stored(labelled.join(split.select("band"), "band"), "minhash-apart")
-    left, right = apart.alias("l"), apart.alias("r")
-    alike = F.expr(f"l.component < r.component and 100 * least(l.n_shingles, r.n_shingles) >= {percent} * greatest(l.n_shingles, r.n_shingles)")
-    rest = left.join(right, (F.col("l.band") == F.col("r.band")) & alike)
-    rest = rest.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
-    rest = common.stored(rest.join(star, ["a", "b"], "left_anti"), "minhash-rest")
-    more = _verified(rest, docs, percent, "minhash-rest")
-    roots = labels.toDF("node", "root")
-    joins = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    joins = joins.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    merged = common.components(joins, "minhash-merges").toDF("root", "merged")
-    everyone = classes.select("key1", "key2", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    everyone = everyone.withColumn("root", F.coalesce("root", "doc_id")).join(merged, "root", "left")
-    everyone = everyone.select("key1", "key2", F.coalesce("merged", "root").alias("found"), F.lit(True).alias("known"))
+    leaders = common.stored(leaders, "minhash-leaders")  # as a table of its own it lets Spark split a frequent band's rows
+    ties = banded.join(leaders.drop("last"), "band").where("doc_id > leader")
+    ties = ties.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    links = _verified(ties, classes, docs, percent)
+    labels = common.components(links, "minhash-rounds").toDF("doc_id", "component")
+    everyone = classes.select("key1", "key2", "doc_id").join(labels, "doc_id", "left")
+    everyone = everyone.select("key1", "key2", F.coalesce("component", "doc_id").alias("found"), F.lit(True).alias("known"))
     result = signed.drop("bands").withColumn("known", F.expr("n_shingles > 0 and doc_id is not null"))
     result = result.join(everyone, ["key1", "key2", "known"], "left")
     result = result.withColumn("component_id", F.coalesce("found", "doc_id"))

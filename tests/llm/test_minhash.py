@@ -75,6 +75,14 @@ def test_groups_chains_and_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shared_counts_match_sets():
+    source = np.random.default_rng(1)
+    sets = [np.unique(source.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 4000, 6000, 6000)]
+    expected = [[len(set(a.tolist()) & set(b.tolist())) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    found = minhash.shared_counts(sets)
+    assert all(found[i, j] == expected[i][j] for i in range(6) for j in range(6) if i != j)
+
+
 def test_signatures_estimate_jaccard():
     first = np.arange(2000, dtype=np.uint64)
     second = np.arange(300, 2300, dtype=np.uint64)
