@@ -7,104 +7,71 @@ recurrence along time, which a window frame cannot express.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.operators.scale import cut
-
 KEY = ["path", "client_ip"]
+ADMITTED = "path string, client_ip string, us long, hits long, admitted long, rejected long"
 
 
-def _admit(hits: Column, before: Column, times: int, seconds: int) -> Column:
-    """Admitted times of one block, after the ones in ``before``.
+class SlidingLog:
+    """Times of admitted hits of one key, at most ``times`` of them."""
 
-    ``hits`` is an array of ``us, n`` ordered by time.  The accumulator holds
-    admitted times only, so it stays short however many hits are rejected.
-    """
-    span = seconds * 1_000_000
+    def __init__(self, times: int, seconds: int, recent: list[int] | None = None):
+        self.times, self.span = times, seconds * 1_000_000
+        self.recent = deque(recent or [])
 
-    def step(admitted: Column, hit: Column) -> Column:
-        recent = F.slice(admitted, F.greatest(F.size(admitted) - times + 1, F.lit(1)), times)
-        used = F.size(F.filter(recent, lambda t: hit["us"] - t <= span))
-        free = F.greatest(F.lit(times) - used, F.lit(0))
-        taken = F.least(free, hit["n"])
-        return F.when(taken > 0, F.concat(admitted, F.array_repeat(hit["us"], taken))).otherwise(admitted)
+    def admit(self, us: int, hits: int) -> int:
+        """How many of ``hits`` at one instant are admitted; instants must not go back."""
+        while self.recent and us - self.recent[0] > self.span:
+            self.recent.popleft()
+        taken = min(hits, self.times - len(self.recent))
+        self.recent.extend([us] * taken)
+        return taken
 
-    return F.aggregate(hits, before, step)
 
+def _independent_parts(instants: DataFrame, seconds: int) -> DataFrame:
+    """Add ``_part``: runs of a key's instants between silences longer than the window.
 
-def hit_blocks(requests: DataFrame, times: int, seconds: int, block_s: int) -> DataFrame:
-    """Hits per key and time block, with the place of the block in its chain.
-
-    Hits at one instant are a count; at most ``times`` of them can be admitted,
-    so a block holds at most ``times`` per tick of the log's clock.  A block
-    depends on the block before only if that one is adjacent and ends within
-    ``seconds`` of its first hit; otherwise a new chain starts.
+    No admitted hit reaches over such a silence, so parts are independent.  Silences
+    are looked for between time buckets as long as the window, so the ordered pass
+    sees one row per key and busy bucket, not per hit.
     """
-    if block_s < seconds:
-        raise ValueError("a block must be at least as long as the window")
-    us = F.unix_micros("ts")
-    instants = requests.groupBy(*KEY, us.alias("us")).agg(F.count(F.lit(1)).alias("hits"))
-    block = F.floor(F.col("us") / (block_s * 1_000_000)).cast("long")
-    entry = F.struct("us", F.least("hits", F.lit(times)).cast("int").alias("n"))
-    blocks = instants.groupBy(*KEY, block.alias("block")).agg(
-        F.array_sort(F.collect_list(entry)).alias("hits"),
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
-    )
-    in_time = Window.partitionBy(*KEY).orderBy("block")
-    linked = (F.lag("block").over(in_time) == F.col("block") - 1) & (
-        F.col("first_us") - F.lag("last_us").over(in_time) <= seconds * 1_000_000
-    )
-    starts = F.when(F.coalesce(linked, F.lit(False)), None).otherwise(F.col("block"))
-    chain = F.last(starts, ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.select(*KEY, "block", "hits", (F.col("block") - chain).alias("depth"))
-
-
-def admitted_hits(
-    requests: DataFrame, times: int, seconds: int, block_s: int | None = None
-) -> DataFrame:
+    span = seconds * 1_000_000
+    bucketed = instants.withColumn("_bucket", F.floor(F.col("us") / span).cast("long"))
+    buckets = bucketed.groupBy(*KEY, "_bucket").agg(F.min("us").alias("_first"), F.max("us").alias("_last"))
+    in_time = Window.partitionBy(*KEY).orderBy("_bucket")
+    apart = F.coalesce(F.col("_first") - F.lag("_last").over(in_time) > span, F.lit(True))
+    starts = buckets.withColumn("_start", F.when(apart, F.col("_bucket")))
+    part = F.last("_start", ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
+    return bucketed.join(starts.select(*KEY, "_bucket", part.alias("_part")), [*KEY, "_bucket"]).drop("_bucket")
+
+
+def _fold(frames: Iterator[pd.DataFrame], times: int, seconds: int) -> Iterator[pd.DataFrame]:
+    """Admit rows that come ordered by part and time; the state is one part's log."""
+    current, log = None, SlidingLog(times, seconds)
+    for frame in frames:
+        admitted = []
+        parts = zip(frame["path"], frame["client_ip"], frame["_part"], strict=True)
+        for part, us, hits in zip(parts, frame["us"].tolist(), frame["hits"].tolist(), strict=True):
+            if part != current:
+                current, log = part, SlidingLog(times, seconds)
+            admitted.append(log.admit(us, hits))
+        frame = frame.drop(columns="_part").assign(admitted=admitted)
+        yield frame.assign(rejected=frame["hits"] - frame["admitted"])
+
+
+def admitted_hits(requests: DataFrame, times: int, seconds: int) -> DataFrame:
     """Per key and instant: ``hits, admitted, rejected``.
 
-    Blocks at the same depth of their chains are independent and run together;
-    each round hands the last admitted times of its blocks to the next round.
-    The number of rounds is the longest unbroken chain of busy blocks.  A longer
-    ``block_s`` means fewer rounds and larger blocks.
+    Each part is read once, in time order, with a state of at most ``times``
+    values.  A key that is never silent for longer than the window is one part.
     """
-    block_s = block_s or 60 * seconds
-    blocks = cut(hit_blocks(requests, times, seconds, block_s), "hit_blocks")
-    deepest = blocks.agg(F.max("depth")).first()[0]
-    none = F.array().cast("array<bigint>")
-    done: list[DataFrame] = []
-    for depth in range(0, (deepest if deepest is not None else -1) + 1):
-        current = blocks.filter(F.col("depth") == depth)
-        if done:
-            state = F.slice("admitted", F.greatest(F.size("admitted") - times + 1, F.lit(1)), times)
-            carried = done[-1].select(*KEY, (F.col("block") + 1).alias("block"), state.alias("before"))
-            current = current.join(carried, [*KEY, "block"], "left")
-        else:
-            current = current.withColumn("before", none)
-        before = F.coalesce("before", none)
-        folded = current.select(
-            *KEY, "block", before.alias("_before"), _admit(F.col("hits"), before, times, seconds).alias("admitted")
-        )
-        done.append(cut(folded, f"admitted-{depth}"))
-    taken = [
-        d.select(*KEY, F.explode(F.slice("admitted", F.size("_before") + 1, F.size("admitted"))).alias("us"))
-        for d in done
-    ]
-    instants = requests.groupBy(*KEY, F.unix_micros("ts").alias("us")).agg(
-        F.count(F.lit(1)).alias("hits")
-    )
-    if not taken:
-        return instants.withColumn("admitted", F.lit(0)).withColumn("rejected", F.col("hits"))
-    counted = reduce(DataFrame.unionByName, taken).groupBy(*KEY, "us").agg(
-        F.count(F.lit(1)).alias("admitted")
-    )
-    joined = instants.join(counted, [*KEY, "us"], "left")
-    admitted = F.coalesce("admitted", F.lit(0))
-    return joined.select(
-        *KEY, "us", "hits", admitted.alias("admitted"), (F.col("hits") - admitted).alias("rejected")
-    )
+    instants = requests.groupBy(*KEY, F.unix_micros("ts").alias("us")).agg(F.count(F.lit(1)).alias("hits"))
+    parts = _independent_parts(instants, seconds)
+    dealt = parts.repartition(*KEY, "_part").sortWithinPartitions(*KEY, "_part", "us")
+    return dealt.select(*KEY, "us", "hits", "_part").mapInPandas(lambda frames: _fold(frames, times, seconds), ADMITTED)

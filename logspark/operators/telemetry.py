@@ -6,10 +6,13 @@ step; only those rows are copied into the windows that cover them.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark import fixed
+from logspark.operators.scale import number_rows
 
 SERIES = ["method", "route"]
 
@@ -167,15 +170,12 @@ def sustained(
 ) -> DataFrame:
     """Intervals in which a condition held at every step for at least ``hold_s``.
 
-    ``evaluations`` has one row per key and ``end_s``, so a key has as many rows
-    as there are steps in time, however many requests there were.
+    ``evaluations`` has one row per key and ``end_s``, a multiple of ``step_s`` apart.
+    Rows are numbered by ranges, so one long series is spread over many tasks.
     """
-    held = evaluations.filter(condition)
-    in_time = Window.partitionBy(*keys).orderBy("end_s") if keys else Window.orderBy("end_s")
-    broken = F.coalesce(F.col("end_s") - F.lag("end_s").over(in_time) != step_s, F.lit(True))
-    islands = held.withColumn("_broken", broken.cast("int")).withColumn(
-        "_island", F.sum("_broken").over(in_time.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    held = number_rows(evaluations.filter(condition), keys, ["end_s"], "_n")
+    # Steps without a gap keep the same distance from their number.
+    islands = held.withColumn("_island", F.floor(F.col("end_s") / step_s) - F.col("_n"))
     spans = islands.groupBy(*keys, "_island").agg(
         F.min("end_s").alias("pending_s"), F.max("end_s").alias("until_s"), F.max("value").alias("peak")
     )
@@ -222,9 +222,14 @@ def latency_alerts(
     return sustained(values, keys, F.col("value") > limit, step_s, hold_s)
 
 
-def down_gaps(requests: DataFrame, source: str, hold_s: int = 60) -> DataFrame:
+def down_gaps(
+    requests: DataFrame, source: str, hold_s: int = 60, as_of: datetime | None = None
+) -> DataFrame:
     """Silences longer than ``hold_s`` between consecutive signs of life of a source.
 
+    With ``as_of`` a source that has been silent since then is down as well; its
+    ``back_us`` is null and the silence counts up to ``as_of``.
+
     Rows are reduced to first and last time per source and bucket of ``hold_s``.
     Within a bucket no silence can exceed ``hold_s``, so comparing neighbouring
     buckets finds every gap, and a busy source has one row per bucket.
@@ -235,10 +240,15 @@ def down_gaps(requests: DataFrame, source: str, hold_s: int = 60) -> DataFrame:
         F.min(seen).alias("_first"), F.max(seen).alias("_last")
     )
     before = F.lag("_last").over(Window.partitionBy(source).orderBy("_bucket"))
-    gaps = buckets.withColumn("_before", before)
-    return gaps.filter(F.col("_first") - F.col("_before") > hold_s * 1_000_000).select(
-        source,
-        F.col("_before").alias("last_seen_us"),
-        F.col("_first").alias("back_us"),
-        ((F.col("_first") - F.col("_before")) / 1_000_000).alias("gap_s"),
+    gaps = buckets.select(
+        source, before.alias("last_seen_us"), F.col("_first").alias("back_us"), F.col("_first").alias("_until")
+    )
+    if as_of is not None:
+        now = F.unix_micros(F.lit(as_of).cast("timestamp"))
+        silent = requests.groupBy(source).agg(F.max(seen).alias("last_seen_us"))
+        open_ended = silent.select(source, "last_seen_us", F.lit(None).cast("long").alias("back_us"), now.alias("_until"))
+        gaps = gaps.unionByName(open_ended)
+    silence = F.col("_until") - F.col("last_seen_us")
+    return gaps.filter(silence > hold_s * 1_000_000).select(
+        source, "last_seen_us", "back_us", (silence / 1_000_000).alias("gap_s")
     )

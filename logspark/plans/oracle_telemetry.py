@@ -92,6 +92,10 @@ WITH l AS (SELECT client_ip, epoch_us(ts) AS back_us,
              lag(epoch_us(ts)) OVER (PARTITION BY client_ip ORDER BY ts) AS last_seen_us FROM request_log)
 SELECT client_ip, last_seen_us, back_us, round((back_us - last_seen_us) / 1000000, 3) AS gap_s
 FROM l WHERE back_us - last_seen_us > {2 * DAY * 1_000_000}
+UNION ALL
+SELECT client_ip, max(epoch_us(ts)), NULL, round(((SELECT max(epoch_us(ts)) FROM request_log) - max(epoch_us(ts))) / 1000000, 3)
+FROM request_log GROUP BY client_ip
+HAVING (SELECT max(epoch_us(ts)) FROM request_log) - max(epoch_us(ts)) > {2 * DAY * 1_000_000}
 """,
 )
 

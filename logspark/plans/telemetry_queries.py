@@ -69,8 +69,10 @@ def service_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def down_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients that were silent for more than two days."""
-    rows = telemetry.down_gaps(inputs.request_log(spark, sf_dir), "client_ip", 2 * DAY)
+    """Clients that were silent for more than two days, up to the last request of any client."""
+    requests = inputs.request_log(spark, sf_dir)
+    now = requests.agg(F.max("ts")).first()[0]
+    rows = telemetry.down_gaps(requests, "client_ip", 2 * DAY, as_of=now)
     return rows.withColumn("gap_s", F.round("gap_s", 3))
 
 
@@ -79,9 +81,7 @@ RATE_TIMES, RATE_SECONDS = 2, 3 * DAY
 
 def rate_limited_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hits in three days per path and client."""
-    return ratelimit.admitted_hits(
-        inputs.request_log(spark, sf_dir), RATE_TIMES, RATE_SECONDS, block_s=6 * DAY
-    )
+    return ratelimit.admitted_hits(inputs.request_log(spark, sf_dir), RATE_TIMES, RATE_SECONDS)
 
 
 def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:

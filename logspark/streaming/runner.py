@@ -5,19 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logspark.operators.scale import new_path
+from logspark.operators.scale import cut, new_path
 
 
-def read_table_stream(spark: SparkSession, table: DataFrame, files_per_trigger: int = 8) -> DataFrame:
+def in_files(table: DataFrame, key: str, files: int, name: str) -> DataFrame:
+    """A stored copy whose rows are dealt by a hash, so that every file covers the whole time."""
+    return cut(table.repartition(files, F.xxhash64(key)), name)
+
+
+def _folder(table: DataFrame) -> str:
+    return table.inputFiles()[0].rsplit("/", 1)[0]
+
+
+def append_marker(table: DataFrame, time: str, days: int) -> None:
+    """Add a last row, ``days`` after all others, so that a stream over the table passes its end.
+
+    Its texts are null and its numbers 0; with it a finished replay moves the watermark as a live stream would.
+    """
+    end = table.agg(F.max(time)).first()[0]
+    moved = F.lit(end).cast("timestamp") + F.expr(f"INTERVAL {days} DAYS")
+    other = {kind: None if kind == "string" else 0 for _, kind in table.dtypes}
+    columns = [moved.alias(c) if c == time else F.lit(other[kind]).cast(kind).alias(c) for c, kind in table.dtypes]
+    table.sparkSession.range(1).select(columns).write.mode("append").parquet(_folder(table))
+
+
+def read_table_stream(spark: SparkSession, table: DataFrame, files_per_trigger: int = 1) -> DataFrame:
     """Stream the files of a stored table; each micro-batch takes a bounded number."""
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    folder = _folder(table)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "update") -> str:
+def run_to_table(stream: DataFrame, name: str, mode: str = "update", then=None) -> str:
     """Process everything available; each micro-batch replaces its own folder.
 
+    ``then`` runs after that, to add input, and the stream goes on from its checkpoint.
+
     A replayed micro-batch has the same id and overwrites the same folder, so
     a crash between write and commit does not store rows twice.
     """
@@ -27,14 +50,20 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "update") -> str:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    def run() -> None:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if then is not None:
+        then()
+        run()
     return path
 
 
