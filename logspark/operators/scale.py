@@ -11,19 +11,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+HOT_KEY_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage, readable by every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master, where
-    driver and executors share one machine, falls back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a session inside one
+    process, where driver and executors are the same, gets a folder of its own when
+    none is set; every other master must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if spark.sparkContext.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="logspark-")
@@ -59,13 +62,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise a narrow table and broadcast it only when its row count allows.
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of all rows as text, which bounds what a broadcast of them would hold."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
-    Returns the table and whether it is marked for broadcast.
+
+def checked_broadcast(df: DataFrame, name: str, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Store a table and mark it for broadcast only when its measured size allows.
+
+    Returns the table and whether it is marked.
     """
     table = cut(df, name)
-    if table.count() <= max_rows:
+    if row_bytes(table) <= max_bytes:
         return F.broadcast(table), True
     return table, False
 
@@ -76,21 +84,27 @@ def join_to_many(
     key: list[str],
     spread_on: str,
     name: str,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_KEY_ROWS,
     ways: int = 64,
 ) -> DataFrame:
     """Left join a table with one row per ``key`` onto rows whose keys may be hot.
 
-    A small ``one`` side is broadcast after its size is checked.  Beyond that,
-    rows are salted by ``spread_on`` and ``one`` is repeated per salt, so a key
-    that holds a large share of the rows is spread over ``ways`` tasks.
+    A small ``one`` side is broadcast after its bytes are measured.  Beyond that, the
+    keys with more than ``hot_rows`` rows are found by a partial count; only their
+    rows are salted by ``spread_on``, and only their rows of ``one`` are repeated.
+    There are at most (rows / ``hot_rows``) such keys.
     """
-    table, small = checked_broadcast(one, name, max_rows)
+    table, small = checked_broadcast(one, name, max_bytes)
     if small:
         return many.join(table, key, "left")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(ways)).cast("int"))
-    return salted.join(table.withColumn("_salt", salts), [*key, "_salt"], "left").drop("_salt")
+    counts = many.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = cut(counts.select(*key, F.lit(ways).alias("_ways")), f"{name}_hot")
+    marked = many.join(F.broadcast(hot), key, "left").withColumn("_ways", F.coalesce("_ways", F.lit(1)))
+    salted = marked.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.col("_ways")).cast("int")).drop("_ways")
+    repeated = table.join(F.broadcast(hot), key, "left")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))
+    return salted.join(repeated.withColumn("_salt", salts).drop("_ways"), [*key, "_salt"], "left").drop("_salt")
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -122,7 +136,6 @@ def _positions_to_numbers(
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
-    table, _ = checked_broadcast(offsets, "offsets")
-    numbered = rows.join(table, [*group, part])
+    numbered = join_to_many(rows, offsets, [*group, part], position, "offsets")
     number = F.col("_before") + F.col(position) - F.col("_first") + 1
     return numbered.withColumn(name, number).drop("_before", "_first")

@@ -56,7 +56,7 @@ def test_join_to_many_is_the_same_with_and_without_broadcast(spark):
     many = spark.range(1000).selectExpr("id % 10 as k", "id")
     one = spark.range(8).selectExpr("id as k", "id * 2 as v")
     small = join_to_many(many, one, ["k"], "id", "t")
-    salted = join_to_many(many, one, ["k"], "id", "t", max_rows=1, ways=4)
+    salted = join_to_many(many, one, ["k"], "id", "t", max_bytes=1, hot_rows=50, ways=4)
     assert sorted(small.collect()) == sorted(salted.select(*small.columns).collect())
     assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
 
