@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from logspark import fixed
 
+STRICT_JSON = {"allowSingleQuotes": "false"}  # the reader accepts single quotes unless told not to
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
@@ -97,8 +99,12 @@ def _apply_rule(text: Column, pattern: str, mark: str) -> Column:
     return let(text, lambda t: F.when(F.contains(t, F.lit(needed)), replaced(t)).otherwise(t))
 
 
-def template_of(message: Column, rule_set: str = "compat") -> Column:
-    """The message with everything variable replaced by marks, cut to a length.
+def _first(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def template_of(message: Column, rule_set: str = "compat", max_chars: int | None = None) -> Column:
+    """The message with everything variable replaced by marks; ``max_chars`` keeps only its beginning.
 
     The result is null-free, which lets the planner drop null checks that would
     repeat the rules.
@@ -106,7 +112,7 @@ def template_of(message: Column, rule_set: str = "compat") -> Column:
     marked = reduce(
         lambda text, rule: _apply_rule(text, *rule), template_rules(rule_set), F.lower(strip(message))
     )
-    return F.coalesce(F.substring(strip(marked), 1, fixed.TEMPLATE_CHARS), F.lit(""))
+    return F.coalesce(_first(strip(marked), max_chars), F.lit(""))
 
 
 def fingerprint(level: Column, template: Column) -> Column:
@@ -126,13 +132,13 @@ def question_tokens(question: Column) -> Column:
     return F.array_except(retrieval_tokens(question), stop_words)
 
 
-def scrub(text: Column) -> Column:
-    """Neutralise fence look-alikes, then cap the length."""
+def scrub(text: Column, max_chars: int | None = None) -> Column:
+    """Neutralise fence look-alikes; ``max_chars`` keeps only the beginning."""
     clean = F.regexp_replace(text, F.lit(fixed.FENCE_LOOKALIKE), F.lit(fixed.FENCE_REPLACEMENT))
-    return F.substring(clean, 1, fixed.SCRUB_CHARS)
+    return _first(clean, max_chars)
 
 
 def fence(lines: Column) -> Column:
     """Wrap an array of scrubbed lines in the data fence."""
-    body = F.array_join(F.transform(lines, scrub), "\n")
+    body = F.array_join(F.transform(lines, lambda line: scrub(line)), "\n")
     return F.concat(F.lit(fixed.FENCE_OPEN + "\n"), body, F.lit("\n" + fixed.FENCE_CLOSE))

@@ -18,15 +18,17 @@ from pyspark.sql import types as T
 
 from logspark import fixed
 from logspark.functions.guards import INSIGHT_PAYLOAD, filter_commands, insight_problems
-from logspark.functions.text import fence, severity_of_level
-from logspark.operators.scale import cut, join_to_many
+from logspark.functions.text import STRICT_JSON, fence, severity_of_level
+from logspark.operators.scale import cut, join_to_many, number_rows
 
 Scorer = Callable[[DataFrame], DataFrame]
 CACHE_KEY = ["user_id", "fingerprint"]
 
 
-def top_groups(groups: DataFrame, n: int, run: str = "file_id") -> DataFrame:
-    """The ``n`` most frequent groups of every run; ties by fingerprint."""
+def top_groups(groups: DataFrame, n: int | None, run: str = "file_id") -> DataFrame:
+    """The ``n`` most frequent groups of every run, or all, with their rank; ties by fingerprint."""
+    if n is None:
+        return number_rows(groups, [run], [F.desc("count"), F.asc("fingerprint")], "group_rank")
     order = Window.partitionBy(run).orderBy(F.desc("count"), F.asc("fingerprint"))
     ranked = groups.withColumn("group_rank", F.row_number().over(order))
     return ranked.filter(F.col("group_rank") <= n)
@@ -159,7 +161,7 @@ def python_scorer(score: Callable[[list[str]], list[tuple[str, int, int]]], mode
 def parse_payload(json: Column) -> Column:
     """A payload struct from JSON text; null when the text is not one object."""
     text = F.btrim(json)
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(INSIGHT_PAYLOAD))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(INSIGHT_PAYLOAD), STRICT_JSON)
     only = F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
     return F.when(text.startswith("{") & text.endswith("}"), only)
 
@@ -199,15 +201,16 @@ def enrich(
     groups: DataFrame,
     cache: DataFrame | None = None,
     scorer: Scorer = classify,
-    max_groups: int = fixed.ENRICHED_GROUPS_PER_RUN,
+    max_groups: int | None = None,
 ) -> DataFrame:
-    """Insights for the top groups of every run.
+    """Insights for all groups of every run, or its ``max_groups`` largest.
 
     A problem that many runs of a tenant share is scored once, for the earliest
     run, and the other runs take that insight as a cache hit.  Scored payloads
     must pass validation; a failing one yields no insight and no failed run.
     """
-    top = cut(top_groups(groups, max_groups), "top_groups")  # a few rows per run, read three times
+    picked = groups if max_groups is None else top_groups(groups, max_groups)
+    top = cut(picked, "top_groups")  # read three times
     if cache is not None:
         top = with_cache(top, cache)
     else:

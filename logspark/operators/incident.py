@@ -138,7 +138,7 @@ def trace_steps(investigations: DataFrame) -> DataFrame:
 
 
 def latest_per_run(investigations: DataFrame, version: str = "created_at") -> DataFrame:
-    """The newest investigation of every run."""
-    order = Window.partitionBy(RUN).orderBy(F.desc(version))
+    """The newest investigation of every run; equal versions go by a hash of their content."""
+    order = Window.partitionBy(RUN).orderBy(F.desc(version), F.desc(F.xxhash64(F.to_json(F.struct("*")))))
     ranked = investigations.withColumn("_rank", F.row_number().over(order))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark import fixed
-from logspark.functions.text import is_blank, let, lookup, normalize_level, parse_timestamp, strip
+from logspark.functions.text import STRICT_JSON, is_blank, let, lookup, normalize_level, parse_timestamp, strip
 from logspark.operators.scale import join_to_many
 from logspark.sources.lines import counted_lines, head_sample
 
@@ -66,7 +66,7 @@ def _json_object(line: Column) -> Column:
     The JSON reader stops after the first value and ignores what follows.  Read
     as the only element of a list, a line with trailing text is malformed.
     """
-    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>")
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", STRICT_JSON)
     only = F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
     return F.when(line.startswith("{") & line.endswith("}"), only)
 
@@ -209,14 +209,17 @@ def _best_format(scores: list[tuple[str, Column]], fallback: str) -> Column:
     return F.when(best >= fixed.MIN_FORMAT_SCORE, ladder).otherwise(F.lit(fallback))
 
 
-def detect_formats(lines: DataFrame, registry: list[LogFormat] = REGISTRY) -> DataFrame:
-    """One row per file with a head sample: ``file_id, format`` and the scores.
+def detect_formats(
+    lines: DataFrame, registry: list[LogFormat] = REGISTRY, head_lines: int | None = None
+) -> DataFrame:
+    """One row per file with lines: ``file_id, format`` and the scores.
 
-    The head filter runs before the shuffle, so at most 50 lines per file move.
+    All lines count unless ``head_lines`` names a sample.  Shares are partial sums, so
+    a row per file and task moves.
     """
     specific = registry[:-1]
     line = strip(F.col("raw"))
-    sample = head_sample(lines).select(
+    sample = head_sample(lines, head_lines).select(
         "file_id", *[f.matched(f.extract(line)).cast("int").alias(f.name) for f in specific]
     )
     scored = sample.groupBy("file_id").agg(*[F.avg(f.name).alias(f.name) for f in specific])
@@ -228,9 +231,12 @@ def detect_formats(lines: DataFrame, registry: list[LogFormat] = REGISTRY) -> Da
     )
 
 
-def format_of_text(lines: Column, registry: list[LogFormat] = REGISTRY) -> Column:
+def format_of_text(
+    lines: Column, registry: list[LogFormat] = REGISTRY, head_lines: int | None = None
+) -> Column:
     """Format of an array of lines inside one row: a pasted text needs no shuffle."""
-    sample = F.filter(F.slice(lines, 1, fixed.HEAD_LINES), lambda x: ~is_blank(x))
+    head = lines if head_lines is None else F.slice(lines, 1, head_lines)
+    sample = F.filter(head, lambda x: ~is_blank(x))
     total = F.size(sample)
 
     def score(fmt: LogFormat) -> Column:

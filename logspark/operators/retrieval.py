@@ -25,13 +25,17 @@ def _ceil_div(a: Column, b: Column) -> Column:
     return F.ceil(a / b).cast("long")
 
 
-def window_shapes(lines: DataFrame, max_chunks: int = fixed.MAX_CHUNKS) -> DataFrame:
-    """``file_id, total, stride, window, last_chunk``: long files get wider windows."""
+def window_shapes(lines: DataFrame, max_chunks: int | None = None) -> DataFrame:
+    """``file_id, total, stride, window, last_chunk``.
+
+    Windows have one width whatever the length of the file.  Only a caller that names
+    ``max_chunks`` gets wider ones, and with them fewer, in files beyond it.
+    """
     step = fixed.WINDOW_LINES - fixed.OVERLAP_LINES
     total = F.col("total")
     naive = F.greatest(F.lit(1), F.floor((total - fixed.OVERLAP_LINES) / step))
-    wide = naive > max_chunks
-    wider = F.greatest(F.lit(step), F.floor(total / max_chunks)).cast("long")
+    wide = F.lit(False) if max_chunks is None else naive > max_chunks
+    wider = F.lit(step) if max_chunks is None else F.greatest(F.lit(step), F.floor(total / max_chunks)).cast("long")
     shaped = (
         lines.groupBy("file_id")
         .agg(F.max("line_no").alias("total"))
@@ -47,8 +51,8 @@ def window_shapes(lines: DataFrame, max_chunks: int = fixed.MAX_CHUNKS) -> DataF
     return shaped.withColumn("last_chunk", last)
 
 
-def windowed_lines(lines: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Non-blank lines, cut to a length, once per window they belong to.
+def windowed_lines(lines: DataFrame, shapes: DataFrame, line_chars: int | None = None) -> DataFrame:
+    """Non-blank lines, whole unless ``line_chars`` cuts them, once per window they belong to.
 
     A line belongs to at most two windows, found by arithmetic on its number.
     Lines of files that ``shapes`` does not list are left out.
@@ -59,7 +63,7 @@ def windowed_lines(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     high = F.least(F.col("last_chunk"), F.floor(at / F.col("stride")))
     numbers = F.when(low <= high, F.sequence(low, high))
     chunk_no = F.explode(numbers).alias("chunk_no")
-    text = F.substring("raw", 1, fixed.CHUNK_LINE_CHARS).alias("text")
+    text = (F.col("raw") if line_chars is None else F.substring("raw", 1, line_chars)).alias("text")
     placed = joined.select("file_id", "line_no", text, "stride", "window", "total", chunk_no)
     start = F.col("chunk_no") * F.col("stride")
     return placed.filter(~is_blank(F.col("text"))).select(
@@ -77,11 +81,11 @@ def _joined_text() -> Column:
 
 
 def chunk_texts(windowed: DataFrame) -> DataFrame:
-    """One row per window with its range and text; a window holds a bounded line count."""
+    """One row per window with its range and text; a window holds 40 lines unless ``max_chunks`` widened it."""
     return windowed.groupBy(*CHUNK, "start_line", "end_line").agg(_joined_text().alias("text"))
 
 
-def line_chunks(lines: DataFrame, max_chunks: int = fixed.MAX_CHUNKS) -> DataFrame:
+def line_chunks(lines: DataFrame, max_chunks: int | None = None) -> DataFrame:
     """The windows of every file with range and text."""
     return chunk_texts(windowed_lines(lines, window_shapes(lines, max_chunks)))
 
@@ -180,7 +184,7 @@ def score_chunks(windowed: DataFrame, questions: DataFrame) -> DataFrame:
     return joined.select("question_id", *CHUNK, score.alias("score"))
 
 
-def asked_windows(lines: DataFrame, questions: DataFrame, max_chunks: int = fixed.MAX_CHUNKS) -> tuple[DataFrame, DataFrame]:
+def asked_windows(lines: DataFrame, questions: DataFrame, max_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Window shapes and windowed lines of the files that have a question."""
     asked = questions.select("file_id").distinct()
     shapes = window_shapes(lines, max_chunks).join(asked, "file_id", "left_semi")
@@ -219,9 +223,11 @@ def retrieved_texts(windowed: DataFrame, retrieved: DataFrame) -> DataFrame:
     return retrieved.join(texts, CHUNK)
 
 
-def answers(windowed: DataFrame, retrieved: DataFrame, questions: DataFrame) -> DataFrame:
+def answers(windowed: DataFrame, retrieved: DataFrame, questions: DataFrame, quote_chars: int | None = None) -> DataFrame:
     """Per question: citations, context block and an extractive answer, or a refusal.
 
+    The answer quotes the best window's first line, whole unless ``quote_chars`` cuts it.
+
     Each question has at most ``k`` retrieved windows, so its row stays small.
     """
     kept = cut(retrieved, "retrieved")  # a few rows per question, read twice below
@@ -243,7 +249,8 @@ def answers(windowed: DataFrame, retrieved: DataFrame, questions: DataFrame) ->
         scrub(F.col("question")),
     )
     best = F.get("found", F.lit(0))
-    quote = F.substring(F.substring_index(best["text"], "\n", 1), 1, fixed.ANSWER_QUOTE_CHARS)
+    quote = F.substring_index(best["text"], "\n", 1)
+    quote = quote if quote_chars is None else F.substring(quote, 1, quote_chars)
     answer = F.format_string(fixed.ANSWER_TEXT, best["start_line"], best["end_line"], quote)
     answered = F.col("found").isNotNull()
     no_citations = F.array().cast("array<struct<start_line:bigint,end_line:bigint>>")

@@ -13,7 +13,7 @@ from logspark import fixed
 from logspark.functions.text import let
 from logspark.functions.vectors import bucket_counts, cosine, squared_norm
 from logspark.operators.enrichment import top_groups
-from logspark.operators.scale import cut
+from logspark.operators.scale import checked_broadcast, cut
 
 
 def embed(texts: DataFrame, key: list[str], text: str, dim: int = fixed.VECTOR_DIM) -> DataFrame:
@@ -40,10 +40,20 @@ def template_index(groups: DataFrame) -> DataFrame:
 
 
 def upsert_points(stored: DataFrame, new: DataFrame, version: str = "version") -> DataFrame:
-    """The last written point per id out of stored and new points."""
-    order = Window.partitionBy("id").orderBy(F.desc(version))
-    merged = stored.unionByName(new).withColumn("_rank", F.row_number().over(order))
-    return merged.filter(F.col("_rank") == 1).drop("_rank")
+    """The last written point per id out of stored and new points.
+
+    Among new points with one id and version the one with the larger content hash stays;
+    a new point replaces a stored one of the same version.  Only the new points are
+    ordered; the store is filtered by their ids, which are broadcast if they are small,
+    so that an upsert of a small batch does not shuffle the store.
+    """
+    order = Window.partitionBy("id").orderBy(F.desc(version), F.desc(F.xxhash64(F.to_json(F.struct("*")))))
+    ranked = new.withColumn("_rank", F.row_number().over(order))
+    newest = cut(ranked.filter(F.col("_rank") == 1).drop("_rank"), "new_points")
+    written, _ = checked_broadcast(newest.select(F.col("id").alias("_id"), F.col(version).alias("_written")), "new_ids")
+    old = stored.join(written, (F.col("id") == F.col("_id")) & (F.col(version) <= F.col("_written")), "left_anti")
+    newer = old.join(written, F.col("id") == F.col("_id"), "left_semi").select(F.col("id").alias("_id"))
+    return old.unionByName(newest.join(newer.distinct(), F.col("id") == F.col("_id"), "left_anti"))
 
 
 # --- exact threshold join --------------------------------------------------------------
@@ -209,13 +219,11 @@ def similar_incidents(
     groups: DataFrame,
     history: DataFrame,
     limit: int = fixed.SIMILAR_LIMIT,
-    seed_groups: int = fixed.SIMILAR_SEED_GROUPS,
+    seed_groups: int | None = None,
 ) -> DataFrame:
-    """Similar past groups per run: over its largest groups, first match per group kept."""
-    largest = top_groups(groups, seed_groups)
-    seeds = cut(
-        largest.select("file_id", "user_id", "group_id", "template", "group_rank"), "seed_groups"
-    )
+    """Similar past groups per run, over all its groups or the ``seed_groups`` largest; the first match per group is kept."""
+    narrow = groups.select("file_id", "user_id", "group_id", "template", "count", "fingerprint")
+    seeds = cut(top_groups(narrow, seed_groups).drop("count", "fingerprint"), "seed_groups")
     found = similar_groups(seeds, history, limit)
     shown = found.withColumn("score", F.round("score", 3))
     in_turn = [F.asc("group_rank"), F.asc("match_rank")]

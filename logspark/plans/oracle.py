@@ -98,7 +98,7 @@ def template_of(x: str) -> str:
     expr = f"lower({strip(x)})"
     for pattern, mark in fixed.TEMPLATE_RULES:
         expr = f"regexp_replace({expr}, {q(pattern)}, {q(mark)}, 'g')"
-    return f"substr({strip(expr)}, 1, {fixed.TEMPLATE_CHARS})"
+    return strip(expr)
 
 
 def lines_of(text: str) -> str:
@@ -187,7 +187,7 @@ part(
     ["log_lines"],
     f"""
 WITH head AS (SELECT file_id, {strip('raw')} AS line FROM log_lines
-              WHERE line_no <= {fixed.HEAD_LINES} AND {strip('raw')} <> ''),
+              WHERE {strip('raw')} <> ''),
 keyed AS (SELECT *, regexp_extract_all(line, {q(fixed.LOGFMT_PAIR)}, 1) AS keys FROM head),
 scored AS (SELECT file_id,
   avg(CASE WHEN line[1] = '{{' AND json_valid(line) THEN 1.0 ELSE 0.0 END) AS json_score,
@@ -284,7 +284,7 @@ SELECT file_id, file_id % 5 AS user_id, format, sha256(level || '|' || template)
   sha256(cast(file_id AS varchar) || '|' || sha256(level || '|' || template)) AS group_id,
   level, template, {severity_of('level')} AS severity, count(*) AS n,
   min(ts) AS first_seen, max(ts) AS last_seen,
-  list(substr(text, 1, {fixed.SAMPLE_CHARS}) ORDER BY line_no)[1:{fixed.SAMPLES_PER_GROUP}] AS samples
+  list(text ORDER BY line_no)[1:{fixed.SAMPLES_PER_GROUP}] AS samples
 FROM errors GROUP BY file_id, format, level, template
 """,
 )

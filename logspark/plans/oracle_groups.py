@@ -192,8 +192,7 @@ part(
     "insights",
     ["classified"],
     f"""
-WITH top AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, fingerprint) AS group_rank FROM classified
-             QUALIFY group_rank <= {fixed.ENRICHED_GROUPS_PER_RUN}),
+WITH top AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, fingerprint) AS group_rank FROM classified),
 scored AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY user_id, fingerprint ORDER BY file_id) = 1)
 SELECT t.group_id, t.file_id, s.group_id <> t.group_id AS from_cache, s.error_type, s.insight_severity, s.root_cause,
   s.explanation, s.suggested_fix, {kept('s.offered')} AS commands,
@@ -223,7 +222,7 @@ SELECT group_id, file_id, severity, from_cache, error_type, explanation,
 
 def _fence(lines: str) -> str:
     scrubbed = (
-        f"substr(regexp_replace(x, {q(fixed.FENCE_LOOKALIKE)}, {q(fixed.FENCE_REPLACEMENT)}, 'g'), 1, {fixed.SCRUB_CHARS})"
+        f"regexp_replace(x, {q(fixed.FENCE_LOOKALIKE)}, {q(fixed.FENCE_REPLACEMENT)}, 'g')"
     )
     return (
         f"{q(fixed.FENCE_OPEN)} || chr(10) || array_to_string(list_transform({lines}, lambda x: {scrubbed}), chr(10)) "

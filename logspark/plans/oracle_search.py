@@ -5,7 +5,7 @@ from __future__ import annotations
 from logspark import fixed
 from logspark.plans.inputs import QUESTIONS
 from logspark.plans.oracle import lines_of, part, q, query, strings, strip
-from logspark.plans.search_queries import KNN_LIMIT, WIDE_MAX_CHUNKS
+from logspark.plans.search_queries import KNN_LIMIT
 
 
 def buckets_of(text: str) -> str:
@@ -52,8 +52,7 @@ WITH dots AS (SELECT a.template AS t1, b.template AS t2, sum(a.n * b.n) AS dot
               FROM template_vectors a JOIN template_vectors b USING (bucket) GROUP BY ALL),
 pairs AS (SELECT t1, t2, cast(dot AS double) / sqrt(cast(x.norm2 * y.norm2 AS double)) AS score
           FROM dots JOIN template_norms x ON x.template = t1 JOIN template_norms y ON y.template = t2),
-seeds AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, fingerprint) AS group_rank FROM enriched
-          QUALIFY group_rank <= {fixed.SIMILAR_SEED_GROUPS}),
+seeds AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, fingerprint) AS group_rank FROM enriched),
 found AS (SELECT s.user_id, s.file_id, s.group_id AS seed_group_id, s.group_rank, h.group_id AS match_group_id,
             h.file_id AS match_file_id, h.template AS match_template, h.severity AS match_severity, p.score,
             row_number() OVER (PARTITION BY s.group_id ORDER BY p.score DESC, h.group_id) AS match_rank
@@ -92,17 +91,17 @@ FROM s QUALIFY rank <= {KNN_LIMIT}
 )
 
 
-def chunks_sql(lines: str, max_chunks: int) -> str:
+def chunks_sql(lines: str) -> str:
     """Windows with text from ``file_id, line_no, raw`` by a range join."""
     return f"""
 WITH t AS (SELECT file_id, max(line_no) AS total FROM {lines} GROUP BY file_id),
-s AS (SELECT *, CASE WHEN greatest(1, (total - 10) // 30) > {max_chunks} THEN greatest(30, total // {max_chunks}) ELSE 30 END AS stride FROM t),
+s AS (SELECT *, 30 AS stride FROM t),
 w AS (SELECT *, stride + 10 AS win, greatest(0, cast(ceil((total - stride - 10) / stride) AS bigint)) AS last_chunk FROM s),
 c AS (SELECT file_id, total, stride, win, unnest(range(last_chunk + 1)) AS chunk_no FROM w),
 r AS (SELECT file_id, chunk_no, chunk_no * stride + 1 AS start_line, least(chunk_no * stride + win, total) AS end_line FROM c)
-SELECT r.file_id, r.chunk_no, r.start_line, r.end_line, string_agg(substr(l.raw, 1, 500), chr(10) ORDER BY l.line_no) AS text
+SELECT r.file_id, r.chunk_no, r.start_line, r.end_line, string_agg(l.raw, chr(10) ORDER BY l.line_no) AS text
 FROM r JOIN {lines} l ON l.file_id = r.file_id AND l.line_no BETWEEN r.start_line AND r.end_line
-WHERE {strip('substr(l.raw, 1, 500)')} <> '' GROUP BY r.file_id, r.chunk_no, r.start_line, r.end_line
+WHERE {strip('l.raw')} <> '' GROUP BY r.file_id, r.chunk_no, r.start_line, r.end_line
 """
 
 
@@ -114,9 +113,9 @@ WITH l AS (SELECT doc_id AS file_id, {lines_of('text')} AS lines FROM documents)
 SELECT file_id, unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS raw FROM l
 """,
 )
-part("document_chunks", ["document_lines"], chunks_sql("document_lines", fixed.MAX_CHUNKS))
-part("wide_chunks", ["long_log_lines"], chunks_sql("long_log_lines", WIDE_MAX_CHUNKS))
-part("log_chunks", ["log_lines"], chunks_sql("log_lines", fixed.MAX_CHUNKS))
+part("document_chunks", ["document_lines"], chunks_sql("document_lines"))
+part("wide_chunks", ["long_log_lines"], chunks_sql("long_log_lines"))
+part("log_chunks", ["log_lines"], chunks_sql("log_lines"))
 
 for _name, _part in (("line_chunks", "document_chunks"), ("line_chunks_wide", "wide_chunks")):
     query(
@@ -178,8 +177,7 @@ query(
 
 
 def scrub(text: str) -> str:
-    clean = f"regexp_replace({text}, {q(fixed.FENCE_LOOKALIKE)}, {q(fixed.FENCE_REPLACEMENT)}, 'g')"
-    return f"substr({clean}, 1, {fixed.SCRUB_CHARS})"
+    return f"regexp_replace({text}, {q(fixed.FENCE_LOOKALIKE)}, {q(fixed.FENCE_REPLACEMENT)}, 'g')"
 
 
 query(
@@ -194,7 +192,7 @@ SELECT qs.question_id, a.question_id IS NOT NULL AS answered, coalesce(a.citatio
   sha256('Retrieved log excerpts:' || chr(10) || {q(fixed.FENCE_OPEN)} || chr(10) || a.body || chr(10) || {q(fixed.FENCE_CLOSE)}
     || chr(10) || chr(10) || 'Question: ' || {scrub('qs.question')}) AS context_sha,
   CASE WHEN a.question_id IS NULL THEN {q(fixed.REFUSAL)} ELSE
-    'Based on [lines ' || best.s || '-' || best.e || '], the log shows: "' || substr(string_split(best.t, chr(10))[1], 1, {fixed.ANSWER_QUOTE_CHARS})
+    'Based on [lines ' || best.s || '-' || best.e || '], the log shows: "' || string_split(best.t, chr(10))[1]
     || '". This is the relevant evidence for your question.' END AS answer
 FROM questions qs LEFT JOIN a ON a.question_id = qs.question_id
 """,

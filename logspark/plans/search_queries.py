@@ -75,13 +75,10 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_chunks(retrieval.line_chunks(lines_of_texts(inputs.pasted_texts(spark, sf_dir))))
 
 
-WIDE_MAX_CHUNKS = 100
-
-
 def line_chunks_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows over long files, with a cap that the smallest data reaches as well."""
+    """Windows over long files: as many as the file needs."""
     lines = inputs.long_log_lines(spark, sf_dir)
-    return _shown_chunks(retrieval.line_chunks(lines, max_chunks=WIDE_MAX_CHUNKS))
+    return _shown_chunks(retrieval.line_chunks(lines))
 
 
 def chunk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:

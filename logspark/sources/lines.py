@@ -52,9 +52,10 @@ def read_large_files(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("file_id", "line_no", "raw")
 
 
-def head_sample(lines: DataFrame) -> DataFrame:
-    """The non-blank lines among the first physical lines of every file."""
-    return lines.filter((F.col("line_no") <= fixed.HEAD_LINES) & ~is_blank(F.col("raw")))
+def head_sample(lines: DataFrame, head_lines: int | None = None) -> DataFrame:
+    """The non-blank lines of every file, or of its first ``head_lines`` physical lines."""
+    whole = counted_lines(lines)
+    return whole if head_lines is None else whole.filter(F.col("line_no") <= head_lines)
 
 
 def counted_lines(lines: DataFrame) -> DataFrame:
