@@ -161,6 +161,7 @@ def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = common.stored(hashed, "lines")
     holders = lines.select(F.struct("id", "version").alias("doc"), F.explode(F.array_distinct("lines")).alias("line")).where("line != 0")
     firsts = holders.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = common.stored(firsts, "line-firsts")  # as a table of its own it lets Spark split a frequent line's rows
     pairs = holders.join(firsts, "line").where("doc > first").select("first.*", "doc").distinct()
     pairs = common.stored(pairs.select(F.col("id").alias("first_id"), F.col("version").alias("first_version"), "doc.*"), "line-pairs")
     firsts = lines.select(F.col("id").alias("first_id"), F.col("version").alias("first_version"), F.col("lines").alias("first_lines"))
@@ -179,7 +180,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     deleted = common.stored(shared_blocks(source, min_words), "line-deletions").toDF("_id", "_version", "_deleted")
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda line, i: ~F.array_contains("_deleted", i))
-    joined = named.join(deleted, ["_id", "_version"], "left")
+    joined = named.join(deleted.hint("merge"), ["_id", "_version"], "left")
     before = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
     return (
         joined.withColumn("lines_before", before)
