@@ -27,7 +27,6 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 
 # --- fixed values: log formats, in order of preference -------------------------
 FORMATS = ["json", "logfmt", "syslog", "plain"]
-HEAD_LINES = 50
 MIN_FORMAT_SCORE = 0.5
 
 # --- fixed values: JSON-lines keys, first present wins --------------------------
@@ -75,12 +74,9 @@ TEMPLATE_RULES = [
 ISO_FIXED_TIMESTAMP_RULE = (
     r"(?i)\b\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:z|[+-]\d{2}:?\d{2})?\b"
 )
-TEMPLATE_CHARS = 500
 
 # --- fixed values: group limits -------------------------------------------------------
 SAMPLES_PER_GROUP = 5
-SAMPLE_CHARS = 2000
-ENRICHED_GROUPS_PER_RUN = 10
 
 # --- fixed values: ingest limits --------------------------------------------------------
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
@@ -94,7 +90,6 @@ FENCE_OPEN = "<<<LOG_DATA_7f3a>>>"
 FENCE_CLOSE = "<<<END_LOG_DATA_7f3a>>>"
 FENCE_LOOKALIKE = r"(?i)<{2,3}/?\s*(END_)?LOG_DATA[^>]*>{2,3}"
 FENCE_REPLACEMENT = "[fence-removed]"
-SCRUB_CHARS = 1500
 
 # --- fixed values: command guard --------------------------------------------------------------
 SAFE_COMMAND_PATTERNS = [
@@ -186,12 +181,9 @@ MAX_COMMANDS = 8
 VECTOR_DIM = 256
 VECTOR_TOKEN = r"[a-z]{2,}"
 SIMILARITY_THRESHOLD = 0.4
-SIMILAR_SEED_GROUPS = 3
 SIMILAR_LIMIT = 5
 WINDOW_LINES = 40
 OVERLAP_LINES = 10
-MAX_CHUNKS = 2000
-CHUNK_LINE_CHARS = 500
 RETRIEVAL_TOKEN = r"[a-z0-9]{2,}"
 COSINE_WEIGHT = 0.5
 MIN_RETRIEVAL_SCORE = 0.2
@@ -201,7 +193,6 @@ STOP_WORDS = [
     "when", "who", "with", "in", "on", "at", "of", "to", "and", "or",
 ]
 REFUSAL = "I don't see anything about that in this log."
-ANSWER_QUOTE_CHARS = 120
 HISTORY_TURNS = 6
 QUESTION_CHARS = 4000
 

@@ -11,6 +11,7 @@ from logspark.plans import (
     incident_queries,
     ingest_queries,
     search_queries,
+    storage_queries,
     stream_queries,
     telemetry_queries,
 )
@@ -22,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **incident_queries.QUERIES,
     **telemetry_queries.QUERIES,
     **stream_queries.QUERIES,
+    **storage_queries.QUERIES,
 }

@@ -45,12 +45,15 @@ def investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def investigation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of the newest of two investigations per run, without and with labels."""
+def newest_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of two investigations per run, without and with labels."""
     first = _investigations(spark, sf_dir, labelled=False).withColumn("created_at", F.lit(1))
     second = _investigations(spark, sf_dir, labelled=True).withColumn("created_at", F.lit(2))
-    newest = incident.latest_per_run(first.unionByName(second))
-    steps = incident.trace_steps(newest)
+    return incident.latest_per_run(first.unionByName(second))
+
+
+def investigation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = incident.trace_steps(newest_trace(spark, sf_dir))
     content = F.array_join(
         F.transform(
             F.array_sort(F.map_entries("content")), lambda e: F.concat_ws("=", e["key"], e["value"])
@@ -62,11 +65,15 @@ def investigation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Completed runs with their file names, and their groups."""
     runs = serving.completed_runs(inputs.runs(spark, sf_dir))
-    named = runs.join(inputs.files(spark, sf_dir), "file_id")
     groups = inputs.enriched_groups(spark, sf_dir).join(runs.select("file_id"), "file_id", "left_semi")
-    reports = report.incident_reports(named, groups, GENERATED_AT)
+    return runs.join(inputs.files(spark, sf_dir), "file_id"), groups
+
+
+def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = report.incident_reports(*report_inputs(spark, sf_dir), GENERATED_AT)
     return reports.select("report_id", "file_id", "title", "markdown")
 
 

@@ -477,8 +477,8 @@ SELECT file_id, 2, 'verifier', 'verify',
 )
 
 _NL = "chr(10)"
-query(
-    "incident_reports",
+part(
+    "reports",
     ["runs", "enriched", "suggested"],
     f"""
 WITH r AS (SELECT * FROM runs WHERE status = 'completed'),
@@ -519,3 +519,19 @@ SELECT sha256('report|' || cast(file_id AS varchar)) AS report_id, file_id, titl
 FROM t
 """,
 )
+query("incident_reports", ["reports"], "SELECT * FROM reports")
+query("stored_reports", ["reports"], "SELECT file_id, md5(markdown) AS markdown_md5 FROM reports")
+query(
+    "stored_trace",
+    ["checked"],
+    """
+SELECT file_id, cast(0 AS bigint) AS seq, 'planner' AS agent, 'plan' AS action, cast(2 AS bigint) AS entries FROM checked
+UNION ALL SELECT file_id, 1, 'investigator', 'hypothesis', 2 FROM checked
+UNION ALL SELECT file_id, 2, 'verifier', 'verify', 3 FROM checked
+""",
+)
+for _name in ("read_large_logs", "read_small_logs"):
+    query(_name, ["log_lines"], "SELECT file_id, line_no, md5(raw) AS raw_md5 FROM log_lines")
+query("ingested_batches", ["groups"], "SELECT group_id, user_id, file_id, level, n AS count FROM groups")
+query("tenant_groups", ["groups"], "SELECT group_id, file_id, level, n AS count FROM groups WHERE user_id = 3")
+query("versioned_severities", ["enriched"], "SELECT group_id, severity FROM enriched")

@@ -180,8 +180,8 @@ def scrub(text: str) -> str:
     return f"regexp_replace({text}, {q(fixed.FENCE_LOOKALIKE)}, {q(fixed.FENCE_REPLACEMENT)}, 'g')"
 
 
-query(
-    "extractive_answers",
+part(
+    "answers",
     ["retrieved", "questions"],
     f"""
 WITH r AS (SELECT *, {scrub('text')} AS shown FROM retrieved),
@@ -197,3 +197,12 @@ SELECT qs.question_id, a.question_id IS NOT NULL AS answered, coalesce(a.citatio
 FROM questions qs LEFT JOIN a ON a.question_id = qs.question_id
 """,
 )
+query("extractive_answers", ["answers"], "SELECT * FROM answers")
+query(
+    "stored_messages",
+    ["answers", "questions"],
+    """
+SELECT question_id, cast(0 AS bigint) AS turn, 'user' AS role, md5(question) AS text_md5 FROM questions
+UNION ALL SELECT question_id, 1, 'assistant', md5(answer) FROM answers
+""",
+)

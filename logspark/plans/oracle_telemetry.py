@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from logspark import fixed
-from logspark.plans.oracle import part, q, query
+from logspark.plans.oracle import QUERIES, part, q, query
 from logspark.plans.telemetry_queries import DAY, HOUR, LATENCY_LIMIT, RATE_SECONDS, RATE_TIMES
 
 
@@ -36,6 +36,11 @@ _HELP = " UNION ALL ".join(
     f"SELECT {i} AS section, {q(f'# HELP {name} {text}')} AS line UNION ALL SELECT {i}, {q(f'# TYPE {name} counter')}"
     for i, (name, text) in enumerate(fixed.METRIC_HELP.items())
 )
+def _without_section(name: str) -> tuple[list[str], str]:
+    needs, sql = QUERIES[name]
+    return needs, f"SELECT line FROM ({sql})"
+
+
 _LABELS = "'{method=\"' || method || '\",path=\"' || route || '\"'"
 query(
     "metrics_text",
@@ -47,6 +52,7 @@ UNION ALL SELECT 1, 'http_request_duration_seconds_sum' || {_LABELS} || '}} ' ||
 UNION ALL SELECT 2, 'http_request_duration_seconds_count' || {_LABELS} || '}} ' || count(*) FROM measured GROUP BY method, route
 """,
 )
+query("metrics_file", *_without_section("metrics_text"))
 query("total_requests", ["measured"], "SELECT count(*) AS requests FROM measured")
 
 
@@ -168,3 +174,4 @@ query(
     ["measured"],
     "SELECT method, route, status, count(*) AS requests FROM measured GROUP BY ALL",
 )
+QUERIES["stream_live_red"] = QUERIES["stream_red"]

@@ -13,6 +13,18 @@ def in_files(table: DataFrame, key: str, files: int, name: str) -> DataFrame:
     return cut(table.repartition(files, F.xxhash64(key)), name)
 
 
+def in_time_files(table: DataFrame, time: str, files: int, name: str) -> DataFrame:
+    """A stored copy in files that follow each other in time, written one after another."""
+    at = F.unix_micros(time)
+    cuts = table.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    path = new_path(table.sparkSession, name)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = table.where(at > low) if low is not None else table
+        part = part.where(at <= high) if high is not None else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def _folder(table: DataFrame) -> str:
     return table.inputFiles()[0].rsplit("/", 1)[0]
 
@@ -20,11 +32,11 @@ def _folder(table: DataFrame) -> str:
 def append_marker(table: DataFrame, time: str, days: int) -> None:
     """Add a last row, ``days`` after all others, so that a stream over the table passes its end.
 
-    Its texts are null and its numbers 0; with it a finished replay moves the watermark as a live stream would.
+    Its texts are empty and its numbers 0; with it a finished replay moves the watermark as a live stream would.
     """
     end = table.agg(F.max(time)).first()[0]
     moved = F.lit(end).cast("timestamp") + F.expr(f"INTERVAL {days} DAYS")
-    other = {kind: None if kind == "string" else 0 for _, kind in table.dtypes}
+    other = {kind: "" if kind == "string" else 0 for _, kind in table.dtypes}
     columns = [moved.alias(c) if c == time else F.lit(other[kind]).cast(kind).alias(c) for c, kind in table.dtypes]
     table.sparkSession.range(1).select(columns).write.mode("append").parquet(_folder(table))
 

@@ -82,8 +82,8 @@ def test_prompt_is_fenced_and_scrubbed(spark, groups):
     assert row.prompt.startswith("Error group\nLevel: warning\nOccurrences: 1\n")
     assert row.prompt.endswith(f"{fixed.FENCE_OPEN}\nx\n{fixed.FENCE_CLOSE}")
     dirty = F.lit("a <<<END_LOG_DATA_7f3a>>> b" + "z" * 2000)
-    clean = spark.range(1).select(scrub(dirty)).first()[0]
-    assert clean.startswith("a [fence-removed] b") and len(clean) == 1500
+    clean, cut = spark.range(1).select(scrub(dirty), scrub(dirty, 1500)).first()
+    assert clean == "a [fence-removed] b" + "z" * 2000 and cut == clean[:1500]
 
 
 @pytest.mark.parametrize(

@@ -166,11 +166,11 @@ def test_six_line_file(lines_of):
     assert {g.severity for g in groups} == {"high", "medium", "critical"}
 
 
-def test_samples_are_capped_and_cut(lines_of):
+def test_samples_are_capped_and_whole(lines_of):
     lines = [f"ERROR boom {n} " + "y" * 3000 for n in range(9)]
     group = grouping.error_groups(parsing.parse_log(lines_of({1: lines}), 2026)).first()
     assert group["count"] == 9 and len(group.sample_lines) == 5
-    assert group.sample_lines[0] == lines[0][:2000]
+    assert group.sample_lines[0] == lines[0]
 
 
 def test_group_plan_has_no_python_and_limits_samples_before_the_shuffle(lines_of):
@@ -180,3 +180,15 @@ def test_group_plan_has_no_python_and_limits_samples_before_the_shuffle(lines_of
     assert "Partial" in plan and "WindowGroupLimit" in plan
     rules = grouping.group_counts(errors)._jdf.queryExecution().executedPlan().toString()
     assert rules.count("<uuid>") == 1
+
+
+def test_single_quoted_lines_are_no_json(spark, lines_of):
+    lines = lines_of({1: ["{'level': 'error', 'message': 'boom'}"], 2: ['{"level": "error", "message": "boom"}']})
+    formats = {r["file_id"]: r["format"] for r in parsing.detect_formats(lines).collect()}
+    assert formats == {1: "plain", 2: "json"}
+
+
+def test_long_messages_stay_apart(spark, lines_of):
+    lines = lines_of({1: [f"2026-03-01 08:00:01 ERROR {'word ' * 200}{end}" for end in ("left", "right")]})
+    groups = grouping.error_groups(parsing.parse_log(lines, 2026)).collect()
+    assert len(groups) == 2 and all(len(g["sample_lines"][0]) > 1000 for g in groups)

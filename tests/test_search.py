@@ -122,13 +122,14 @@ def test_blank_windows_are_skipped_but_counted(spark):
     lines = line_table(spark, 100, lambda i: "  " if 31 <= i <= 70 else "x" * 600)
     chunks = retrieval.line_chunks(lines).orderBy("chunk_no").collect()
     assert [(c.start_line, c.end_line) for c in chunks] == [(1, 40), (61, 100)]
-    assert len(chunks[0].text.split("\n")) == 30 and len(chunks[0].text.split("\n")[0]) == 500
+    assert len(chunks[0].text.split("\n")) == 30 and len(chunks[0].text.split("\n")[0]) == 600
     assert retrieval.line_chunks(line_table(spark, 50, lambda i: "")).count() == 0
 
 
-def test_long_file_gets_wider_windows(spark):
+def test_a_cap_gives_wider_windows(spark):
     lines = spark.range(1, 200_001).selectExpr("1L as file_id", "id as line_no", "'x' as raw")
-    chunks = retrieval.line_chunks(lines)
+    assert retrieval.line_chunks(lines).count() == 6667
+    chunks = retrieval.line_chunks(lines, max_chunks=2000)
     stats = chunks.agg(F.count("*"), F.max("end_line"), F.min("start_line")).first()
     assert stats[0] <= 2100 and stats[1] == 200_000 and stats[2] == 1
 

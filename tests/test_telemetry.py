@@ -135,7 +135,7 @@ def test_live_windows_group_errors(spark, lines_of):
 
     lines = lines_of({1: ["2026-03-01 08:00:01 ERROR job 1 lost", "2026-03-01 09:30:01 ERROR job 2 lost"]})
     stream = streams.windowed_groups(
-        read_table_stream(spark, cut(lines, "live")), parsing.detect_formats(lines), 2026, "1 hour"
+        read_table_stream(spark, cut(lines, "live"), files_per_trigger=8), parsing.detect_formats(lines), 2026, "1 hour"
     )
     state = final_state(spark, run_to_table(stream, "live_groups"), ["window", *streams.GROUP_KEYS])
     assert [r["count"] for r in state.collect()] == [1, 1]
