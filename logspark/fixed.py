@@ -199,7 +199,6 @@ QUESTION_CHARS = 4000
 # --- fixed values: causal check ----------------------------------------------------------------------
 PLAN_SUBJECTS = 5
 DOWNSTREAM_LABELS = 4
-MAX_STEPS = 8
 CONFIDENCE_VERIFIED = 0.85
 CONFIDENCE_FIRST_FAILURE = 0.6
 CONFIDENCE_NONE = 0.4

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,32 +110,44 @@ def investigate(runs: DataFrame, events: DataFrame, require_dated: bool = False)
     return checked.withColumn("conclusion", F.concat_ws(" ", "hypothesis", "note"))
 
 
-def trace_steps(investigations: DataFrame) -> DataFrame:
-    """Ordered steps of every investigation, exploded with a zero-based ``seq``."""
+class Step(NamedTuple):
+    """One step of a trace: who did what, and its content from an investigation's columns."""
+
+    agent: str
+    action: str
+    content: Callable[[], dict[str, Column]]
+
+
+STEPS = [
+    Step("planner", "plan", lambda: {"questions": F.to_json("plan"), "event_count": F.col("event_count")}),
+    Step(
+        "investigator",
+        "hypothesis",
+        lambda: {"hypothesis": F.col("hypothesis"), "findings": F.to_json("findings")},
+    ),
+    Step(
+        "verifier",
+        "verify",
+        lambda: {"verified": F.col("verified"), "confidence": F.col("confidence"), "note": F.col("note")},
+    ),
+]
+
 
-    def step(agent: str, action: str, **content: Column) -> Column:
-        pairs = [x for name, value in content.items() for x in (F.lit(name), value.cast("string"))]
+def trace_steps(
+    investigations: DataFrame, steps: list[Step] = STEPS, max_steps: int | None = None
+) -> DataFrame:
+    """Ordered steps of every investigation, exploded with a zero-based ``seq``.
+
+    A further step is a further entry of ``steps``; ``max_steps`` keeps the first ones.
+    """
+
+    def shown(step: Step) -> Column:
+        pairs = [x for name, value in step.content().items() for x in (F.lit(name), value.cast("string"))]
         return F.struct(
-            F.lit(agent).alias("agent"), F.lit(action).alias("action"), F.create_map(*pairs).alias("content")
+            F.lit(step.agent).alias("agent"), F.lit(step.action).alias("action"), F.create_map(*pairs).alias("content")
         )
 
-    steps = F.array(
-        step("planner", "plan", questions=F.to_json("plan"), event_count=F.col("event_count")),
-        step(
-            "investigator",
-            "hypothesis",
-            hypothesis=F.col("hypothesis"),
-            findings=F.to_json("findings"),
-        ),
-        step(
-            "verifier",
-            "verify",
-            verified=F.col("verified"),
-            confidence=F.col("confidence"),
-            note=F.col("note"),
-        ),
-    )
-    kept = F.slice(steps, 1, fixed.MAX_STEPS)
+    kept = F.array(*[shown(step) for step in steps[:max_steps]])
     exploded = investigations.select("*", F.posexplode(kept).alias("seq", "_step"))
     return exploded.select(*investigations.columns, "seq", "_step.agent", "_step.action", "_step.content")
 

@@ -1,6 +1,7 @@
 """Exact nearest neighbours of dense unit vectors within a tenant.
 
-Vectors are assigned to the nearest of a fixed number of pivots.  Every query
+Vectors are assigned to the nearest of some pivots, whose number follows the square root of the
+number of points up to ``MOST_PIVOTS``.  Every query
 first searches its own cell, which gives a lower bound for its k-th best score.
 It then visits only the cells that can beat this bound by the triangle
 inequality on angles.  Queries and points meet as blocks of bounded size, and a
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from logspark.operators.scale import cut, join_to_many
 
 CELL = ["tenant", "cell"]
+LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
 _SLACK = 1e-6  # covers rounding of angles; a wider bound only visits more cells
 
 
@@ -41,10 +43,21 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 yield frame.assign(cell=cell, angle=angles[np.arange(len(cell)), cell])
 
     return rows.select("id", "tenant", "vector").mapInPandas(
-        batches, "id long, tenant long, vector array<double>, cell int, angle double"
+        batches, f"{_ids(rows)}, vector array<double>, cell int, angle double"
     )
 
 
+def _ids(rows: DataFrame, name: str = "id") -> str:
+    """Schema of id and tenant, which may be numbers or strings."""
+    kinds = dict(rows.dtypes)
+    return f"{name} {kinds['id']}, tenant {kinds['tenant']}"
+
+
+def _sortable(ids: np.ndarray) -> np.ndarray:
+    ids = np.asarray(ids)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
 def _packed(rows: DataFrame, block_rows: int, tag: str) -> DataFrame:
     """Pack vectors of a cell into blocks of about ``block_rows``, one row per block.
 
@@ -59,7 +72,7 @@ def _packed(rows: DataFrame, block_rows: int, tag: str) -> DataFrame:
     ).drop("block")
 
 
-def _best_in_blocks(pairs: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
+def _best_in_blocks(pairs: DataFrame, k: int, skip_same_id: bool, kinds: tuple[str, str, str]) -> DataFrame:
     """The best ``k`` points of a block for every query of the other block."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,7 +80,7 @@ def _best_in_blocks(pairs: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
             for row in frame.itertuples(index=False):
                 queries = np.stack(row.q_vectors)
                 points = np.stack(row.p_vectors)
-                q_ids, p_ids = np.asarray(row.q_ids), np.asarray(row.p_ids)
+                q_ids, p_ids = _sortable(row.q_ids), _sortable(row.p_ids)
                 scores = queries @ points.T
                 if skip_same_id:
                     scores[q_ids[:, None] == p_ids[None, :]] = -np.inf
@@ -83,7 +96,8 @@ def _best_in_blocks(pairs: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
                 )
                 yield found[np.isfinite(found["score"])]
 
-    return pairs.mapInPandas(batches, "tenant long, query_id long, match_id long, score double")
+    tenant, query, match = kinds
+    return pairs.mapInPandas(batches, f"tenant {tenant}, query_id {query}, match_id {match}, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -134,7 +148,7 @@ def _cells_to_visit(queries: DataFrame, cells: DataFrame, bounds: DataFrame, piv
             yield frame[["id", "tenant", "vector"]].assign(targets=targets)
 
     visits = joined.select("id", "tenant", "vector", "cell", "bound", "cells").mapInPandas(
-        batches, "id long, tenant long, vector array<double>, targets array<int>"
+        batches, f"{_ids(queries)}, vector array<double>, targets array<int>"
     )
     return visits.select("id", "tenant", "vector", F.explode("targets").alias("cell"))
 
@@ -144,21 +158,24 @@ def nearest_neighbours(
     points: DataFrame,
     k: int,
     skip_same_id: bool = False,
-    n_pivots: int = 64,
+    n_pivots: int | None = None,
     block_rows: int = 512,
 ) -> DataFrame:
     """``tenant, query_id, match_id, score, rank``: exact top ``k`` by cosine.
 
-    Both sides have ``id long, tenant long, vector`` with unit vectors; ties go to
-    the smaller id.
+    Both sides have ``id, tenant, vector`` with unit vectors; ids and tenants are numbers
+    or strings, and ties go to the smaller id.
     """
+    if n_pivots is None:
+        n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, round(points.count() ** 0.5)))
+    kinds = (dict(points.dtypes)["tenant"], dict(queries.dtypes)["id"], dict(points.dtypes)["id"])
     pivots = _pivots(points, n_pivots)
     assigned = cut(_assign(points, pivots), "knn_points")
     asked = cut(_assign(queries, pivots), "knn_queries")
     point_blocks = cut(_packed(assigned, block_rows, "p"), "knn_blocks")
 
     own = _packed(asked, block_rows, "q").join(point_blocks, CELL)
-    first = cut(_ranked(_best_in_blocks(own, k, skip_same_id), k), "knn_own_cell")
+    first = cut(_ranked(_best_in_blocks(own, k, skip_same_id, kinds), k), "knn_own_cell")
     bounds = (
         first.groupBy("tenant", F.col("query_id").alias("id"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("bound"))
@@ -170,5 +187,5 @@ def nearest_neighbours(
     )
     visits = cut(_cells_to_visit(asked, cells, bounds, pivots), "knn_visits")
     others = _packed(visits, block_rows, "q").join(point_blocks, CELL)
-    found = first.drop("rank").unionByName(_best_in_blocks(others, k, skip_same_id))
+    found = first.drop("rank").unionByName(_best_in_blocks(others, k, skip_same_id, kinds))
     return _ranked(found, k)

@@ -62,6 +62,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows over all cores when the source has fewer splits than that, else leave them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_bytes(df: DataFrame) -> int:
     """Bytes of all rows as text, which bounds what a broadcast of them would hold."""
     return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.operators import knn, retrieval, similarity
+from logspark.operators.scale import spread
 from logspark.plans import inputs
 
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector of every document as ``bucket:count`` pairs with its squared norm."""
-    texts = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     pairs = F.transform("counts", lambda c: F.concat_ws(":", c["bucket"].cast("string"), c["n"].cast("string")))
     return similarity.embed(texts, ["doc_id"], "text").select(
         "doc_id", F.array_join(pairs, " ").alias("vector"), "norm2"

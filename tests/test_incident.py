@@ -97,3 +97,13 @@ def test_report_files_hold_the_assembled_text(spark, groups, runs):
     sinks.write_report_files(runs, groups, "2026-03-02 00:00 UTC", path)
     expected = report.incident_reports(runs, groups, "2026-03-02 00:00 UTC").select("file_id", "markdown")
     assert sorted(report.assemble(sinks.read_report_files(spark, path)).collect()) == sorted(expected.collect())
+
+
+def test_a_trace_takes_further_steps(spark):
+    columns = "file_id long, plan array<string>, event_count long, hypothesis string, findings array<string>, verified boolean, confidence double, note string"
+    found = spark.createDataFrame([(1, ["q"], 2, "h", ["f"], True, 0.5, "n")], columns)
+    review = incident.Step("reviewer", "review", lambda: {"note": F.col("note")})
+    steps = incident.trace_steps(found, [*incident.STEPS, review]).orderBy("seq").collect()
+    assert [s["agent"] for s in steps] == ["planner", "investigator", "verifier", "reviewer"]
+    assert steps[3]["content"] == {"note": "n"}
+    assert incident.trace_steps(found, max_steps=2).count() == 2

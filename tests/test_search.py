@@ -176,3 +176,12 @@ def test_questions_of_one_file_do_not_reach_another(spark):
     shapes, windowed = retrieval.asked_windows(lines, questions)
     assert {r.file_id for r in retrieval.retrieve(windowed, shapes, questions).collect()} == {2}
     assert datetime.now().year > 2000
+
+
+def test_knn_takes_string_ids(spark):
+    rows = [(f"p{i:02}", "t", [math.cos(i / 10), math.sin(i / 10)]) for i in range(30)]
+    points = spark.createDataFrame(rows, "id string, tenant string, vector array<double>")
+    found = knn.nearest_neighbours(points, points, 2, skip_same_id=True).filter("query_id = 'p10'").collect()
+    assert sorted((r["rank"], r["match_id"]) for r in found) == [(1, "p09"), (2, "p11")] or sorted(
+        r["match_id"] for r in found
+    ) == ["p09", "p11"]
