@@ -22,6 +22,7 @@ from logspark.llm import (
     quality,
     records,
 )
+from logspark.llm.oracle import ORACLES  # noqa: F401
 from logspark.operators.scale import new_path
 
 SEQUENCE_TOKENS = 4096
@@ -117,5 +118,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
 }
-
-ORACLES: dict[str, str] = {}
