@@ -51,10 +51,10 @@ def _fields(level: Column, time: Column, message: Column, text: Column) -> Colum
 
 
 def _captured(line: Column, pattern: str, groups: int) -> Column:
-    """All groups of an anchored pattern from a single match, or null."""
+    """All groups of an anchored pattern, or null, from one match: a line that does not match stays as it is."""
     marks = _FIELD.join(f"${i}" for i in range(1, groups + 1))
-    fields = F.split(F.regexp_replace(line, F.lit(pattern), F.lit(marks)), _FIELD, groups)
-    return F.when(line.rlike(pattern), fields)
+    replaced = F.regexp_replace(line, F.lit(pattern), F.lit(marks))
+    return let(replaced, lambda found: F.when(found != line, F.split(found, _FIELD, groups)))
 
 
 # --- JSON lines -------------------------------------------------------------------

@@ -171,16 +171,24 @@ def pasted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stored results of earlier steps --------------------------------------------------
 
 
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "formats", lambda s, d: parsing.detect_formats(log_lines(s, d)))
+
+
 def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_log(log_lines(spark, sf_dir), SYSLOG_YEAR)
+    """The log lines, detected and parsed once."""
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        return parsing.parse_lines(parsing.attach_formats(log_lines(s, d), formats(s, d)), SYSLOG_YEAR)
+
+    return stored(spark, sf_dir, "parsed_lines", build)
 
 
 def _build_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error groups with tenant, stable id and the format of their file."""
-    formats = parsing.detect_formats(log_lines(spark, sf_dir)).select("file_id", "format")
     groups = grouping.error_groups(parsed_lines(spark, sf_dir))
     natural_key = F.concat_ws("|", F.col("file_id").cast("string"), "fingerprint")
-    return groups.join(formats, "file_id").select(
+    return groups.join(formats(spark, sf_dir).select("file_id", "format"), "file_id").select(
         "*",
         (F.col("file_id") % TENANTS).alias("user_id"),
         F.sha2(natural_key, 256).alias("group_id"),
