@@ -4,9 +4,9 @@ A tree splits at each level by the projection on one random direction; the thres
 a node is the median of the sample rows that reach it, or of the level's whole sample
 where a node has too few.  The forest is fitted on at most about ``SAMPLE`` rows and
 then places every row in a leaf of each tree; the depth follows the logarithm of the
-number of rows, so leaves keep their size.  A query walks all trees
-with one queue ordered by the narrowest margin crossed so far and visits the ``PROBES`` best
-leaves of the whole forest.  Candidates in those leaves are ranked by exact cosine on the
+number of rows, so leaves keep their size.  A query walks all trees with one queue ordered
+by the sum of the squared margins crossed so far, which is about the squared distance from
+the query to a node's cell, and visits the ``PROBES`` best leaves of the whole forest.  Candidates in those leaves are ranked by exact cosine on the
 original vectors; each leaf is dealt into blocks of rows and blocks of queries, and every
 block returns only each query's best, so no list of all candidates exists.
 
@@ -19,7 +19,7 @@ table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 from heapq import heappop, heappush
-from math import ceil, log2
+from math import ceil, isnan, log2, nan
 from typing import NamedTuple
 
 import numpy as np
@@ -31,8 +31,8 @@ from logspark.llm import common, vectors
 
 SAMPLE = 16_384
 TREES = 8
-LEAF = 64
-PROBES = 64
+LEAF = 128
+PROBES = 384
 NODE_SAMPLE = 4
 ROW_BLOCK = 1024
 QUERY_BLOCK = 256
@@ -48,8 +48,8 @@ class Forest(NamedTuple):
 
     def cut(self, tree: int, level: int, node: int) -> float:
         known = self.thresholds[tree][level]
-        value = known[node] if node < len(known) else np.nan
-        return self.spare[tree, level] if np.isnan(value) else value
+        value = float(known[node]) if node < len(known) else nan
+        return float(self.spare[tree, level]) if isnan(value) else value
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
         """The leaf of each row (row, tree)."""
@@ -68,15 +68,15 @@ class Forest(NamedTuple):
     def best_leaves(self, unit: np.ndarray, probes: int) -> list[tuple[int, int]]:
         """The (tree, leaf) pairs that one vector should look into, nearest first."""
         depth = self.directions.shape[1]
-        at = self.directions @ unit
+        at = (self.directions @ unit).tolist()
         queue = [(0.0, tree, 0, 0) for tree in range(len(self.directions))]
         found = []
         while queue and len(found) < probes:
             margin, tree, level, node = heappop(queue)
             while level < depth:
-                side = at[tree, level] - self.cut(tree, level, node)
+                side = at[tree][level] - self.cut(tree, level, node)
                 right = side > 0
-                heappush(queue, (max(margin, abs(side)), tree, level + 1, node * 2 + (not right)))
+                heappush(queue, (margin + side * side, tree, level + 1, node * 2 + (not right)))
                 node, level = node * 2 + right, level + 1
             found.append((tree, node))
         return found
@@ -147,27 +147,26 @@ def _nearest(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     unit = vectors.directions(vectors.matrix(rows.column("embedding")))[order]
+    asked = vectors.directions(vectors.matrix(queries.column("query")))
     query_ids = queries.column("query_id").to_numpy()
-    out_query, out_id, out_score = [], [], []
-    for query_id, query in zip(query_ids, vectors.directions(vectors.matrix(queries.column("query"))), strict=True):
-        score = np.einsum("ij,j->i", unit, query)
-        score[ids == query_id] = -np.inf
-        best = np.argsort(-score, kind="stable")
-        best = best[score[best] > -np.inf]
-        first = np.sort(np.unique(ids[best], return_index=True)[1])[:k]
-        best = best[first]
-        out_query.append(np.full(len(best), query_id))
-        out_id.append(ids[best])
-        out_score.append(score[best])
-    if not out_id:
-        out_query, out_id, out_score = [query_ids[:0]], [ids[:0]], [np.zeros(0)]
-    columns = {"query_id": out_query, "vec_id": out_id, "score": out_score}
-    return pa.table({name: pa.array(np.concatenate(parts)) for name, parts in columns.items()})
+    # Each product is summed in the same order, so equal vectors have equal scores.
+    score = np.einsum("ij,kj->ik", asked, unit)
+    score[query_ids[:, None] == ids[None, :]] = -np.inf
+    again = np.append(False, ids[1:] == ids[:-1])
+    if again.any():  # rows with one id count once, with their best score
+        starts = np.flatnonzero(~again)
+        ids, score = ids[starts], np.maximum.reduceat(score, starts, axis=1)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    found = np.take_along_axis(score, best, axis=1)
+    some = found > -np.inf
+    whose = np.broadcast_to(query_ids[:, None], best.shape)
+    return pa.table({"query_id": pa.array(whose[some]), "vec_id": pa.array(ids[best][some]), "score": pa.array(found[some])})
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int, probes: int = PROBES, trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that ``is_query`` marks."""
-    named = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
+    named = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind))
     rows, width, n = vectors.one_width(named.where(vectors.usable()))
     rows = common.stored(rows, "ann-vectors")
     share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
@@ -176,10 +175,10 @@ def search(embeddings: DataFrame, is_query: Column, k: int, probes: int = PROBES
     forest = fit(sample, n, trees)
 
     index = common.stored(
-        rows.mapInArrow(lambda batches: _place(batches, forest), "tree int, leaf long, vec_id long, embedding array<double>"), "ann-index"
+        rows.mapInArrow(lambda batches: _place(batches, forest), f"tree int, leaf long, vec_id long, embedding {kind}"), "ann-index"
     )
     visits = rows.where(is_query).mapInArrow(
-        lambda batches: _probe(batches, forest, probes), "tree int, leaf long, query_id long, query array<double>"
+        lambda batches: _probe(batches, forest, probes), f"tree int, leaf long, query_id long, query {kind}"
     )
     visits = common.stored(visits, "ann-visits")
     sizes = index.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("row_blocks"))
