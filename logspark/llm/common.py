@@ -50,15 +50,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates two steps until nothing changes: every node's larger neighbours are
     linked to its smallest one, then its smaller neighbours are.  Edges never grow
-    in number, chains shorten by a power each round, and each round is stored.
+    in number, chains shorten by a power each round, and each round is stored.  So are the
+    smallest neighbours: joins of two stored tables let Spark split the rows of a node
+    that very many others are linked to.
     """
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _digest(edges)
     while seen[0]:
         both = _both_ways(edges)
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = stored(least, f"{name}-least")
         large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, f"{name}-large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
         small = large.join(least, "a").where("b != m").select("b", "m").union(least)
         edges = stored(small.toDF("a", "b").distinct(), name)
         now = _digest(edges)
