@@ -6,9 +6,15 @@ where a node has too few.  The forest is fitted on at most about ``SAMPLE`` rows
 then places every row in a leaf of each tree; the depth follows the logarithm of the
 number of rows, so leaves keep their size.  A query walks all trees with one queue ordered
 by the sum of the squared margins crossed so far, which is about the squared distance from
-the query to a node's cell, and visits the ``PROBES`` best leaves of the whole forest.  Candidates in those leaves are ranked by exact cosine on the
-original vectors; each leaf is dealt into blocks of rows and blocks of queries, and every
-block returns only each query's best, so no list of all candidates exists.
+the query to a node's cell, and visits the best leaves of the whole forest.  Candidates in
+those leaves are ranked by exact cosine on the original vectors; each leaf is dealt into
+blocks of rows and blocks of queries, and every block returns only each query's best, so no
+list of all candidates exists.
+
+How many leaves a query visits is measured in the run: ``MEASURED`` queries are compared
+with all rows, in blocks, and walk their queues until their true nearest are found.  All
+queries then visit as many leaves as find the share ``RECALL`` of those, and ``PROBES`` at
+least, so recall does not fall as the table grows; the work of a query grows instead.
 
 Vectors that are null, empty, zero, without id, of another width than the commonest, or with null or
 non-finite components neither query nor are found.  Ties go to the smaller id.  Rows with
@@ -18,7 +24,9 @@ table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 from math import ceil, isnan, log2, nan
 from typing import NamedTuple
 
@@ -33,6 +41,9 @@ SAMPLE = 16_384
 TREES = 8
 LEAF = 128
 PROBES = 384
+RECALL = 0.95
+MEASURED = 200
+VISIT_ROWS = 16_384
 NODE_SAMPLE = 4
 ROW_BLOCK = 1024
 QUERY_BLOCK = 256
@@ -65,21 +76,36 @@ class Forest(NamedTuple):
             out[:, tree] = node
         return out
 
-    def best_leaves(self, unit: np.ndarray, probes: int) -> list[tuple[int, int]]:
+    def walk(self, unit: np.ndarray) -> Iterator[tuple[int, int]]:
         """The (tree, leaf) pairs that one vector should look into, nearest first."""
         depth = self.directions.shape[1]
         at = (self.directions @ unit).tolist()
         queue = [(0.0, tree, 0, 0) for tree in range(len(self.directions))]
-        found = []
-        while queue and len(found) < probes:
+        while queue:
             margin, tree, level, node = heappop(queue)
             while level < depth:
                 side = at[tree][level] - self.cut(tree, level, node)
                 right = side > 0
                 heappush(queue, (margin + side * side, tree, level + 1, node * 2 + (not right)))
                 node, level = node * 2 + right, level + 1
-            found.append((tree, node))
-        return found
+            yield tree, node
+
+    def best_leaves(self, unit: np.ndarray, probes: int) -> list[tuple[int, int]]:
+        return list(islice(self.walk(unit), probes))
+
+    def needed(self, unit: np.ndarray, targets: np.ndarray) -> list[int]:
+        """After how many leaves one vector meets each of the rows that lie in ``targets`` (row, tree)."""
+        rows_of: dict[tuple[int, int], list[int]] = {}
+        for row, leaves in enumerate(targets.tolist()):
+            for place in enumerate(leaves):
+                rows_of.setdefault(place, []).append(row)
+        met: dict[int, int] = {}
+        for visited, place in enumerate(self.walk(unit), 1):
+            for row in rows_of.get(place, ()):
+                met.setdefault(row, visited)
+            if len(met) == len(targets):
+                break
+        return list(met.values())
 
 
 def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 31) -> Forest:
@@ -126,8 +152,10 @@ def _place(batches, forest: Forest):
 
 
 def _probe(batches, forest: Forest, probes: int):
-    for batch in batches:
-        if len(batch):
+    step = max(1, VISIT_ROWS // probes)
+    for whole in batches:
+        for start in range(0, len(whole), step):
+            batch = whole.slice(start, step)
             unit = vectors.directions(vectors.matrix(batch.column("embedding")))
             visits = [forest.best_leaves(v, probes) for v in unit]
             rows = pa.array(np.repeat(np.arange(len(batch)), [len(v) for v in visits]))
@@ -163,8 +191,57 @@ def _nearest(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(whose[some]), "vec_id": pa.array(ids[best][some]), "score": pa.array(found[some])})
 
 
-def search(embeddings: DataFrame, is_query: Column, k: int, probes: int = PROBES, trees: int = TREES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that ``is_query`` marks."""
+def _needed(batches, forest: Forest):
+    for batch in batches:
+        for unit, leaves in zip(batch.column("unit").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
+            targets = np.array(leaves).reshape(-1, len(forest.directions))
+            yield pa.record_batch({"needed": pa.array(forest.needed(np.array(unit), targets), pa.int64())})
+
+
+def measured_probes(rows: DataFrame, is_query: Column, k: int, forest: Forest, recall: float = RECALL) -> int:
+    """Leaves to visit so that ``MEASURED`` of the queries find the share ``recall`` of their ``k`` nearest of all rows."""
+    spark = rows.sparkSession
+    picked = rows.where(is_query).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(1)), "embedding").limit(MEASURED)
+    asked = picked.dropDuplicates(["vec_id"]).toArrow().rename_columns(["query_id", "query"])
+    if not asked.num_rows:
+        return PROBES
+
+    def compare(batches):
+        for batch in batches:
+            if len(batch):
+                yield from _nearest(pa.Table.from_batches([batch]), asked, k).to_batches()
+
+    found = rows.select("vec_id", "embedding").mapInArrow(compare, FOUND_SCHEMA)
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id").toArrow().to_pylist()
+    ids = spark.createDataFrame([(i,) for i in sorted({r["vec_id"] for r in best})], "vec_id long")
+    known = rows.select("vec_id", "embedding").join(F.broadcast(ids), "vec_id").distinct().toArrow()
+    copies: dict[int, list[int]] = {}
+    for n, i in enumerate(known.column("vec_id").to_pylist()):
+        copies.setdefault(i, []).append(n)
+    if not best:
+        return PROBES
+    unit = vectors.directions(vectors.matrix(known.column("embedding")))
+    leaves = forest.leaves(unit)
+    queries = dict(zip(asked.column("query_id").to_pylist(), vectors.directions(vectors.matrix(asked.column("query"))), strict=True))
+    targets: dict[int, list[int]] = {}
+    for r in best:  # of rows with one id, the one that gives the score
+        row = max(copies[r["vec_id"]], key=lambda n: float(unit[n] @ queries[r["query_id"]]))
+        targets.setdefault(r["query_id"], []).extend(leaves[row].tolist())
+    walks = spark.createDataFrame([(queries[q].tolist(), at) for q, at in targets.items()], "unit array<double>, leaves array<long>")
+    needed = walks.mapInArrow(lambda batches: _needed(batches, forest), "needed long").toArrow()
+    ranks = np.sort(needed.column("needed").to_numpy())
+    return max(PROBES, int(ranks[ceil(recall * len(ranks)) - 1]))
+
+
+def search(
+    embeddings: DataFrame, is_query: Column, k: int, probes: int | None = None, trees: int = TREES, leaf: int = LEAF
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that ``is_query`` marks.
+
+    ``probes`` fixes the leaves that a query visits instead of measuring them.
+    """
     kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
     named = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind))
     rows, width, n = vectors.one_width(named.where(vectors.usable()))
@@ -172,7 +249,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int, probes: int = PROBES
     share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("embedding").toArrow()
     sample = vectors.directions(vectors.matrix(picked.column(0))) if picked.num_rows else np.zeros((1, max(width, 1)))
-    forest = fit(sample, n, trees)
+    forest = fit(sample, n, trees, leaf)
+    if probes is None:
+        probes = measured_probes(rows, is_query, k, forest)
 
     index = common.stored(
         rows.mapInArrow(lambda batches: _place(batches, forest), f"tree int, leaf long, vec_id long, embedding {kind}"), "ann-index"

@@ -125,3 +125,22 @@ def test_forest_goes_deeper_than_its_sample():
     for i in range(200, 250):  # rows of the sample may lie exactly on a threshold
         assert set(enumerate(leaves[i].tolist())) <= set(forest.best_leaves(unit[i], probes=3)) | set(forest.best_leaves(unit[i], probes=2000))
         assert forest.best_leaves(unit[i], probes=3)[0] in set(enumerate(leaves[i].tolist()))
+
+
+def test_recall_holds_where_few_leaves_are_visited(spark):
+    unit = vectors.directions(np.random.default_rng(7).normal(size=(6000, 48)))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(unit.tolist())], "vec_id long, embedding array<double>")
+    forest = ann_forest.fit(unit, rows=len(unit), leaf=6)
+    leaves = forest.leaves(unit).tolist()
+    score = unit[::30] @ unit.T
+    score[np.arange(200), np.arange(0, 6000, 30)] = -1
+    nearest = np.argsort(-score, axis=1)[:, :5]
+
+    def share(probes):
+        seen = [set(forest.best_leaves(v, probes)) for v in unit[::30]]
+        return np.mean([not seen[q].isdisjoint(enumerate(leaves[j])) for q in range(200) for j in nearest[q]])
+
+    # 384 of 8,192 small leaves are as few as the whole forest has at a hundred thousand rows.
+    assert share(384) < 0.9
+    probes = ann_forest.measured_probes(frame, F.col("vec_id") % 30 == 0, 5, forest)
+    assert 384 < probes < 2048 and share(probes) >= 0.9
