@@ -3,12 +3,16 @@
 A line counts as the sequence of its words, whatever their case and spacing.  A line
 that only one document holds leads nowhere.  Every other line pairs each later holder
 with the first one, so a line in a third of all documents gives one pair for each of
-them, never all pairs, and no line is too frequent to count.  A pair is aligned with patience
+them, never all pairs, and no line is too frequent to count.  Lines of fewer than
+``min_words`` words may stand together in an earlier document that is the first holder of
+none, so the shortest runs of lines with ``min_words`` words are paired in the same way,
+at most two for each line.  A pair is aligned with patience
 diff: lines that occur once on both sides, in their longest common order, are anchors;
 the gaps between them are aligned the same way, and where no line is unique the rarest
 common one is taken.  What stays unaligned is aligned again until nothing new is
 found, so blocks in another order count too.  Aligned blocks of at least ``min_words``
-words are deleted from the later document.
+words are deleted from the later document, and so are runs of as many words that stand in
+the first one but were not aligned.
 
 Documents are ordered by id, nulls last.  Rows with equal id and text are one document
 and are treated alike; rows with equal id and other text follow each other by a hash.
@@ -30,9 +34,10 @@ from pyspark.sql import functions as F
 from logspark.llm import common, words
 
 MIN_WORDS = 10
-LINES_SCHEMA = "id long, version long, lines array<long>, sizes array<int>"
+LINES_SCHEMA = "id long, version long, lines array<long>, sizes array<int>, runs array<long>"
 DELETED_SCHEMA = "id long, version long, deleted array<int>"
 _LAST = (1 << 63) - 1
+_BASE = 0xD1342543DE82EF95
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,10 +59,36 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return total.view(np.int64), sizes, first
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def run_hashes(lines: np.ndarray, sizes: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of runs of lines, first run of each text).
+
+    The runs are the shortest ones of at least ``min_words`` words that begin or end at each
+    line of fewer words.  Blank lines inside count, as in the alignment.  Every line of a
+    block that two texts share lies in such a run of that block, or has ``min_words`` words.
+    """
+    n = len(lines)
+    total = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    short = np.flatnonzero((lines != 0) & (sizes < min_words))
+    end = np.searchsorted(total, total[short] + min_words, "left")
+    begin = np.searchsorted(total, total[short + 1] - min_words, "right") - 1
+    forward, backward = end <= first[text[short] + 1], begin >= first[text[short]]
+    starts = np.concatenate([short[forward], begin[backward]])
+    ends = np.concatenate([end[forward], short[backward] + 1])
+    # A run is a polynomial in the hashes of its lines; powers of the inverse move it to the text's start.
+    power = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)))
+    prefix = np.append(np.uint64(0), np.cumsum(lines.view(np.uint64) * power[:n]))
+    hashes = words.mix((prefix[ends] - prefix[starts]) * back[starts]) | np.uint64(1)
+    found = np.unique(np.stack([text[starts].astype(np.uint64), hashes]), axis=1)
+    return found[1].view(np.int64), np.searchsorted(found[0].astype(np.int64), np.arange(len(first)))
+
+
+def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in words.text_groups(batch.column("text")):
             hashes, sizes, first = line_hashes(data, offsets)
+            runs, first_run = run_hashes(hashes, sizes, first, min_words)
             at = pa.array(first.astype(np.int32))
             yield pa.record_batch(
                 {
@@ -65,6 +96,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "version": batch.column("version").slice(row, len(offsets) - 1),
                     "lines": pa.ListArray.from_arrays(at, pa.array(hashes)),
                     "sizes": pa.ListArray.from_arrays(at, pa.array(sizes.astype(np.int32))),
+                    "runs": pa.ListArray.from_arrays(pa.array(first_run.astype(np.int32)), pa.array(runs)),
                 }
             )
 
@@ -123,8 +155,21 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _runs(lines: list[int], size_of: dict[int, int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the shortest runs of ``min_words`` words that begin or end at each line; lines without a size end them."""
+    for step in (1, -1):
+        for i, x in enumerate(lines):
+            total, j = 0, i
+            while x and 0 <= j < len(lines) and lines[j] in size_of:
+                total += size_of[lines[j]]
+                if total >= min_words:
+                    yield (i, j + 1) if step == 1 else (j, i + 1)
+                    break
+                j += step
+
+
 def shared_lines(first: list[int], later: list[int], sizes: list[int], min_words: int) -> set[int]:
-    """Places in ``later`` that lie in aligned blocks of at least ``min_words`` words."""
+    """Places in ``later`` that lie in blocks of at least ``min_words`` words, aligned or at least in ``first`` as they stand."""
     gone: set[int] = set()
     rest = list(later)
     while True:
@@ -140,10 +185,18 @@ def shared_lines(first: list[int], later: list[int], sizes: list[int], min_words
                 block.append(pair[1])
             before = pair
         if not new:
-            return gone
+            break
         gone |= new
         for j in new:
             rest[j] = -2  # hashes of lines are odd or 0, so this equals none
+    # Repeated lines can lead an alignment past a block, and a block can overlap one that went.
+    if {x for j, x in enumerate(later) if x and j not in gone}.intersection(first):
+        size_of = dict(zip(later, sizes, strict=True))
+        held = {tuple(first[a:b]) for a, b in _runs(first, size_of, min_words)}
+        for a, b in _runs(later, size_of, min_words):
+            if tuple(later[a:b]) in held:
+                gone.update(range(a, b))
+    return gone
 
 
 def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -157,9 +210,9 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
 
 def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, version, deleted): numbers of the lines that go from each document that loses some."""
-    hashed = docs.select("id", "version", "text").mapInArrow(_lines, LINES_SCHEMA).distinct()
+    hashed = docs.select("id", "version", "text").mapInArrow(lambda batches: _lines(batches, min_words), LINES_SCHEMA).distinct()
     lines = common.stored(hashed, "lines")
-    holders = lines.select(F.struct("id", "version").alias("doc"), F.explode(F.array_distinct("lines")).alias("line")).where("line != 0")
+    holders = lines.select(F.struct("id", "version").alias("doc"), F.explode(F.array_union("lines", "runs")).alias("line")).where("line != 0")
     firsts = holders.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = common.stored(firsts, "line-firsts")  # as a table of its own it lets Spark split a frequent line's rows
     pairs = holders.join(firsts, "line").where("doc > first").select("first.*", "doc").distinct()

@@ -82,3 +82,34 @@ def test_copies_and_odd_rows(spark):
     assert [r["text"] for r in found if r["doc_id"] is None] == [""]
     assert expected[1000] == passage and expected[1002] == rows[302][1] and expected[3001] == "short line"
     assert line_dedup.deduplicate_lines(docs.limit(0)).count() == 0
+
+
+def common_blocks(rows, min_words):
+    """Kept lines with words, after the removal of every block that any earlier document holds."""
+    docs = [(i, [norm(x) for x in text.split("\n")]) for i, text in sorted(rows)]
+    kept = {}
+    for n, (i, later) in enumerate(docs):
+        gone = set()
+        for _, first in docs[:n]:
+            for shift in range(-len(first), len(later)):
+                block = []
+                for j in range(len(later) + 1):
+                    if j < len(later) and 0 <= j - shift < len(first) and later[j] == first[j - shift]:
+                        block.append(j)
+                    else:
+                        if sum(len(later[b]) for b in block) >= min_words:
+                            gone.update(block)
+                        block = []
+        kept[i] = [x for j, x in enumerate(later) if x and j not in gone]
+    return kept
+
+
+def test_blocks_of_lines_first_held_elsewhere_go(spark):
+    pick = random.Random(6)
+    lines = ["", *(" ".join(f"w{n}{k}" for k in range(pick.randint(1, 6))) for n in range(30)), "long " * 11]
+    rows = [(i, "\n".join(pick.choices(lines, k=pick.randint(2, 40)))) for i in range(120)]
+    rows += [(1001, "a b c d e f g\nx x"), (1002, "h i j k l m n\ny y"), (1003, "1\na b c d e f g\nh i j k l m n"), (1004, "2\nA b c d e f g\nh i j k l m n\n3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [norm(x) for x in r["text"].split("\n") if norm(x)] for r in line_dedup.deduplicate_lines(docs).collect()}
+    assert found == common_blocks(rows, line_dedup.MIN_WORDS)
+    assert found[1004] == [("2",), ("3",)]
