@@ -13,6 +13,8 @@ from logspark.llm import (
     common,
     embedding_dedup,
     hilbert,
+    importance,
+    lexical,
     license_scan,
     license_texts,
     line_dedup,
@@ -21,6 +23,7 @@ from logspark.llm import (
     packing,
     quality,
     records,
+    toxicity,
 )
 from logspark.llm.oracle import ORACLES  # noqa: F401
 from logspark.operators.scale import new_path
@@ -106,6 +109,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    return lexical.top_documents(docs, common.read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn so that their words are spread as the benchmark's."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    return importance.resample(docs, common.read_table(spark, sf_dir, "benchmark"), percent=10)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labels that are not held out."""
+    return toxicity.toxicity_scores(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ann_forest": op2_ann_forest,
@@ -117,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_importance": op12_importance,
+    "op13_toxicity": op13_toxicity,
 }
