@@ -89,7 +89,10 @@ def message_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = grouping.error_groups(inputs.parsed_lines(spark, sf_dir))
+    return shown_groups(grouping.error_groups(inputs.parsed_lines(spark, sf_dir)))
+
+
+def shown_groups(groups: DataFrame) -> DataFrame:
     return groups.select(
         "file_id",
         "fingerprint",

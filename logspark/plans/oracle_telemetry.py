@@ -73,13 +73,18 @@ query(
 )
 
 
-def alerts(keys: str, value: str, limit: float, hold_s: int) -> str:
+def islands(keys: str, value: str, limit: float) -> str:
     lead = f"{keys}, " if keys else ""
     over = f"PARTITION BY {keys} " if keys else ""
     return f"""
 WITH w AS ({windows(keys, 6)}),
 h AS (SELECT {lead}end_s, {value} AS value FROM w WHERE {value} > {limit}),
-i AS (SELECT *, end_s - {HOUR} * row_number() OVER ({over}ORDER BY end_s) AS island FROM h)
+i AS (SELECT *, end_s - {HOUR} * row_number() OVER ({over}ORDER BY end_s) AS island FROM h)"""
+
+
+def alerts(keys: str, value: str, limit: float, hold_s: int) -> str:
+    lead = f"{keys}, " if keys else ""
+    return f"""{islands(keys, value, limit)}
 SELECT {lead}min(end_s) AS pending_s, min(end_s) + {hold_s} AS firing_s, max(end_s) AS until_s, round(max(value), 6) AS peak
 FROM i GROUP BY {lead}island HAVING max(end_s) - min(end_s) >= {hold_s}
 """
@@ -175,3 +180,27 @@ query(
     "SELECT method, route, status, count(*) AS requests FROM measured GROUP BY ALL",
 )
 QUERIES["stream_live_red"] = QUERIES["stream_red"]
+query(
+    "stream_alert_transitions",
+    ["measured"],
+    f"""{islands("route", _RATIO, 0.25)},
+s AS (SELECT route, min(end_s) AS pending_s, max(end_s) AS until_s, round(max(value), 6) AS peak FROM i GROUP BY route, island)
+SELECT route, 'pending' AS transition, pending_s AS at_s, pending_s, cast(NULL AS double) AS peak FROM s
+UNION ALL SELECT route, 'firing', pending_s + {3 * HOUR}, pending_s, NULL FROM s WHERE until_s - pending_s >= {3 * HOUR}
+UNION ALL SELECT route, CASE WHEN until_s - pending_s >= {3 * HOUR} THEN 'resolved' ELSE 'cancelled' END,
+  until_s + {HOUR}, pending_s, peak FROM s
+""",
+)
+query(
+    "stream_silences",
+    ["request_log"],
+    f"""
+WITH l AS (SELECT client_ip, epoch_us(ts) AS last_seen_us,
+             lead(epoch_us(ts)) OVER (PARTITION BY client_ip ORDER BY ts) AS back_us FROM request_log),
+g AS (SELECT * FROM l WHERE back_us - last_seen_us > {2 * DAY * 1_000_000})
+SELECT client_ip, 'down' AS transition, last_seen_us, cast(NULL AS bigint) AS back_us, cast({2 * DAY} AS double) AS silent_s
+FROM (SELECT * FROM g UNION ALL SELECT * FROM l WHERE back_us IS NULL)
+UNION ALL SELECT client_ip, 'back', last_seen_us, back_us, round((back_us - last_seen_us) / 1000000, 3) FROM g
+""",
+)
+QUERIES["stream_group_samples"] = QUERIES["stream_log_files"] = QUERIES["error_groups"]

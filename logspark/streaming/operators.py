@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logspark import fixed
 from logspark.functions.text import fingerprint, severity_of_level
 from logspark.operators import grouping, parsing, telemetry
-from logspark.operators.ratelimit import SlidingLog
 
 GROUP_KEYS = grouping.IDENTITY
 
@@ -89,52 +84,3 @@ def dedup_redelivered(
 ) -> DataFrame:
     """Drop rows that a replayed task delivers again within the watermark."""
     return rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
-
-
-def streaming_rate_limit(
-    requests: DataFrame, times: int, seconds: int, watermark: str = fixed.WATERMARK
-) -> DataFrame:
-    """Admission of every hit per path and client, in event-time order.
-
-    Hits wait in the state until the watermark has passed them, so the result does
-    not depend on how the input was cut into micro-batches; a hit comes out once no
-    earlier one can arrive.  The state holds the waiting hits and at most ``times``
-    admitted times per key, and is removed when none of them can matter any more.
-    """
-    span_ms = seconds * 1000
-
-    def admit(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        recent, waiting_us, waiting_ids = (list(x) for x in state.get) if state.exists else ([], [], [])
-        passed = state.getCurrentWatermarkMs() * 1000
-        new = [] if state.hasTimedOut else list(frames)
-        pending = pd.DataFrame({"us": waiting_us, "event_id": waiting_ids}, dtype="int64")
-        pending = pd.concat([pending, *(f[["us", "event_id"]] for f in new)]).sort_values(["us", "event_id"])
-        due = pending[pending["us"] < passed]
-        log = SlidingLog(times, seconds, recent)
-        admitted = [log.admit(us, 1) == 1 for us in due["us"].tolist()]
-        later = pending[pending["us"] >= passed]
-        last_ms = (log.recent[-1] // 1000 if log.recent else 0) + span_ms
-        wake_ms = int(later["us"].iloc[0]) // 1000 if len(later) else last_ms
-        if not len(later) and wake_ms < state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-        else:
-            state.update((list(log.recent), later["us"].tolist(), later["event_id"].tolist()))
-            state.setTimeoutTimestamp(max(wake_ms, state.getCurrentWatermarkMs()) + 1)
-        if len(due):
-            yield due.assign(path=key[0], client_ip=key[1], admitted=admitted)[
-                ["path", "client_ip", "us", "event_id", "admitted"]
-            ]
-
-    keyed = requests.withWatermark("ts", watermark).select(
-        "path", "client_ip", "ts", F.unix_micros("ts").alias("us"), "event_id"
-    )
-    return keyed.groupBy("path", "client_ip").applyInPandasWithState(
-        admit,
-        "path string, client_ip string, us long, event_id long, admitted boolean",
-        "recent array<long>, us array<long>, event_id array<long>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )

@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from logspark.operators.scale import cut, new_path
 
 
+ROWS_PER_FILE = 1_000_000
+
+
+def files_per_batch(table: DataFrame, batches: int) -> int:
+    """Files of about ``ROWS_PER_FILE`` rows that each of ``batches`` micro-batches reads, so that tasks follow the data."""
+    return max(1, -(-table.count() // (batches * ROWS_PER_FILE)))
+
+
 def in_files(table: DataFrame, key: str, files: int, name: str) -> DataFrame:
     """A stored copy whose rows are dealt by a hash, so that every file covers the whole time."""
     return cut(table.repartition(files, F.xxhash64(key)), name)
 
 
-def in_time_files(table: DataFrame, time: str, files: int, name: str) -> DataFrame:
-    """A stored copy in files that follow each other in time, written one after another."""
+def in_time_files(table: DataFrame, time: str, ranges: int, name: str, files: int = 1) -> DataFrame:
+    """A stored copy in ranges that follow each other in time, written one after another in ``files`` files each."""
     at = F.unix_micros(time)
-    cuts = table.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    cuts = table.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
     path = new_path(table.sparkSession, name)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = table.where(at > low) if low is not None else table
         part = part.where(at <= high) if high is not None else part
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
