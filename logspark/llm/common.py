@@ -20,21 +20,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have: the wanted ones, lengthened where taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def in_order(df: DataFrame, order: list, name: str, position: str = "position") -> DataFrame:
     """Store rows in a global order with gapless positions from 0; no task sees more than its range.
 
     Rows are range-partitioned and sorted; counts per range give the offsets.  The
     window runs over one row per range, whose number is the shuffle's partition count.
     """
+    at, part, rows, first, before = free_names(df, "_at", "_range", "_rows", "_first", "_before")
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    table = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
-    table = table.withColumn("_range", F.shiftright("_at", 33))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = table.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    number = F.col("_before") + F.col("_at") - F.col("_first")
-    placed = table.join(F.broadcast(ranges.drop("_rows")), "_range")
-    return placed.withColumn(position, number).drop("_at", "_range", "_first", "_before")
+    table = stored(ranged.withColumn(at, F.monotonically_increasing_id()), name)
+    table = table.withColumn(part, F.shiftright(at, 33))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = table.groupBy(part).agg(F.count(F.lit(1)).alias(rows), F.min(at).alias(first))
+    ranges = ranges.withColumn(before, F.coalesce(F.sum(rows).over(earlier), F.lit(0)))
+    number = F.col(before) + F.col(at) - F.col(first)
+    placed = table.join(F.broadcast(ranges.drop(rows)), part)
+    return placed.withColumn(position, number).drop(at, part, first, before)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -104,8 +104,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = common.stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "mix-sizes")
     mixed = mixing.mix(sized, pattern=(5, 2, 1), most=3)
     taken = F.aggregate("mix_taken", F.lit(0).cast("long"), lambda words, one: words + one["words"])
+    drawn = [F.col(f"mix_taken.{c}").alias(f"{c}s") for c in ("shard", "block", "place")]
     return mixed.select(
-        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken")
+        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), *drawn
     )
 
 

@@ -6,10 +6,11 @@ from collections import Counter
 import numpy as np
 import test_line_dedup
 import test_minhash
+import test_mixing_hilbert
 import test_tokens
 
 import corpus_pipeline
-from logspark.llm import common, line_dedup, mixing, queries
+from logspark.llm import common, line_dedup, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -47,7 +48,7 @@ def test_stages_and_run(spark):
         largest[r["source"]] = max(largest[r["source"]], size(r["text"]))
     for r in rows[4]:
         taken[r["source"]] += size(r["text"])
-    goal = mixing.targets([sizes[s] for s in sources], [[5, 2, 1][i % 3] for i in range(len(sources))], 3)
+    goal = test_mixing_hilbert.plain_targets([sizes[s] for s in sources], [[5, 2, 1][i % 3] for i in range(len(sources))], 3)
     assert all(abs(taken[s] - g) <= largest[s] for s, g in zip(sources, goal, strict=True))
     assert {tuple(r) for r in rows[4]} <= {tuple(r) for r in rows[3]}
     assert max(Counter(r["doc_id"] for r in rows[4]).values()) <= 3
