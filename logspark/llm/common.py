@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from logspark.operators.scale import new_path
 
@@ -30,6 +31,24 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def packed_row(docs: DataFrame, but: tuple[str, ...] = ()) -> tuple[Column, list[Column]]:
+    """(a struct ``row`` of all columns except ``but``, the columns that give the input back, in order).
+
+    A table of ``row`` and the columns ``but`` may get others of any name without meeting one of the input.
+    """
+    others = [c for c in docs.columns if c not in but]
+    kinds = [("held", BooleanType()), *[(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)]]
+    row = F.struct(F.lit(True), *[F.col(f"`{c}`") for c in others]).cast(StructType([StructField(*kind) for kind in kinds]))
+    back = [F.col(f"`{c}`") if c in but else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns]
+    return row.alias("row"), back
+
+
+def packed(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """(the columns ``own`` and all others in a struct ``row``, the columns that give the input back, in order)."""
+    row, back = packed_row(docs, own)
+    return docs.select(*own, row), back
+
+
 def in_order(df: DataFrame, order: list, name: str, position: str = "position") -> DataFrame:
     """Store rows in a global order with gapless positions from 0; no task sees more than its range.
 

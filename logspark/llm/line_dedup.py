@@ -226,18 +226,21 @@ def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the shared blocks, plus ``lines_before`` and ``lines_deleted``."""
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_version": F.xxhash64("text")}
-    named = docs.withColumn("text", F.col("text").cast("string")).withColumns(keys)
-    source = named.select(F.col("_id").alias("id"), F.col("_version").alias("version"), "text")
-    deleted = common.stored(shared_blocks(source, min_words), "line-deletions").toDF("_id", "_version", "_deleted")
+    """``docs`` without the shared blocks, plus ``lines_before`` and ``lines_deleted`` (input columns of these names are replaced)."""
+    added = ["lines_before", "lines_deleted"]
+    frame, back = common.packed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added]), ("doc_id", "text"))
+    keys = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "version": F.xxhash64("text")}
+    named = frame.withColumn("text", F.col("text").cast("string")).withColumns(keys)
+    deleted = common.stored(shared_blocks(named.select("id", "version", "text"), min_words), "line-deletions")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda line, i: ~F.array_contains("_deleted", i))
-    joined = named.join(deleted.hint("merge"), ["_id", "_version"], "left")
+    kept = F.filter(split, lambda line, i: ~F.array_contains("deleted", i))
+    joined = named.join(deleted.hint("merge"), ["id", "version"], "left")
     before = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
-    return (
-        joined.withColumn("lines_before", before)
-        .withColumn("lines_deleted", F.coalesce(F.size("_deleted"), F.lit(0)))
-        .withColumn("text", F.when(F.col("_deleted").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .select(*docs.columns, "lines_before", "lines_deleted")
+    rest = joined.select(
+        "doc_id",
+        "row",
+        before.alias("before"),
+        F.coalesce(F.size("deleted"), F.lit(0)).alias("gone"),
+        F.when(F.col("deleted").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )
+    return rest.select(*back, F.col("before").alias("lines_before"), F.col("gone").alias("lines_deleted"))

@@ -215,3 +215,26 @@ def test_shards_of_odd_rows_and_files(spark, tmp_path):
     hilbert.write_shards(placed, folder := new_path(spark, "shards"))
     assert spark.read.parquet(folder).where("shard_number = 2").count() == sum(r["shard"] == 2 for r in found)
     assert hilbert.shard_rows(docs.limit(0), ["source", "n_chars"], shards=8).count() == 0
+
+
+def test_strings_count_whole(spark):
+    """Sources that begin alike are separated, so a file holds few of them."""
+    rows = [(n, None, f"common_crawl_{n % 40:02}", n % 97) for n in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    placed = hilbert.shard_rows(docs, ["source", "n_chars"], shards=16)
+    sources = placed.groupBy("shard_number").agg(F.countDistinct("source").alias("n")).collect()
+    assert max(r["n"] for r in sources) <= 20
+    assert hilbert.bits_for(10**12, 4) > hilbert.bits_for(10**6, 4) == hilbert.LEAST_BITS
+
+
+def test_clashing_columns_of_shards(spark):
+    docs = spark.createDataFrame([(n, f"t{n % 9}", f"s{n % 5}", n % 31) for n in range(300)], "doc_id long, text string, source string, n_chars long")
+    extra = ["_range", "_first", "_cells", "_at", "_rows", "_before", "_curve", "_turned", "_gray", "position", "row", "id", "check", "number", "slot", "d0", "step", "value", "shard_slot"]
+    wide = docs.select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in extra])
+    found = hilbert.shard_rows(wide, ["source", "n_chars"], shards=8)
+    assert found.columns == [*[c for c in wide.columns if c != "shard_slot"], "shard_number", "shard_slot"]
+    for c in extra[:-1]:
+        assert found.where(~F.col(c).eqNullSafe(F.concat_ws("-", F.lit(c), "doc_id"))).count() == 0
+    plain = hilbert.shard_rows(docs, ["source", "n_chars"], shards=8)
+    both = ["doc_id", "shard_number", "shard_slot"]
+    assert sorted(map(tuple, found.select(both).collect())) == sorted(map(tuple, plain.select(both).collect()))

@@ -8,6 +8,7 @@ import test_line_dedup
 import test_minhash
 import test_mixing_hilbert
 import test_tokens
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logspark.llm import common, line_dedup, queries
@@ -74,3 +75,26 @@ def test_odd_documents_pass(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         found = corpus_pipeline.run(spark, folder).collect()
         assert {r["doc_id"] for r in found} == ({None, 4} if picked else set())
+
+
+CLASHING = [
+    "size", "shard", "pass", "words", "place", "block", "lines_deleted", "lines_before", "_kept", "kept_id", "quality_score", "_range", "_first", "_cells", "_id",
+    "_version", "_deleted", "deleted", "id", "version", "row", "key", "_key", "_quota", "mix_taken", "mix_place", "one", "held", "c0", "start", "draw", "dotted.name",
+]
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    wide = docs.select("*", *[F.concat_ws("-", F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING])
+    wide = wide.withColumn("size", F.lit(7))
+    plain, kept = docs, wide
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        plain = common.stored(stage(spark, plain, SF_DIR), f"plain-{number}")
+        kept = common.stored(stage(spark, kept, SF_DIR), f"wide-{number}")
+        assert kept.columns == wide.columns
+        assert sorted(map(tuple, kept.select(docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert kept.where("size != 7").count() == 0
+        for c in CLASHING[1:]:
+            assert kept.where(~F.col(f"`{c}`").eqNullSafe(F.concat_ws("-", F.lit(c), F.col("doc_id")))).count() == 0
+    pieces = corpus_pipeline.packing_stage(spark, kept, SF_DIR)
+    assert pieces.count() == corpus_pipeline.packing_stage(spark, plain, SF_DIR).count()
