@@ -21,27 +21,30 @@ WEIGHTS = (5, 2, 1)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is below ``QUALITY``."""
     _, model = quality.fit_on(docs, common.read_table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model).where(F.col("quality_score") >= QUALITY).drop("quality_score")
+    frame, back = common.packed(docs, ("text",))
+    return quality.with_score(frame, model).where(F.col("quality_score") >= QUALITY).select(back)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete passages that an earlier document holds; a document of which no word is left goes."""
-    found = line_dedup.deduplicate_lines(docs)
+    frame, back = common.packed(docs, ("doc_id", "text", "n_chars"))
+    found = line_dedup.deduplicate_lines(frame)
     emptied = (F.col("lines_deleted") > 0) & ~F.col("text").rlike(mixing.WORD)
-    found = found.where(~emptied).withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(docs.columns)
+    return found.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(back)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    frame, back = common.packed(docs, ("doc_id",))
+    return frame.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's documents as often as its target asks, shuffled in shards; a document taken twice is two rows."""
-    mixed = mixing.mix(docs.withColumn("size", mixing.word_count("text")), WEIGHTS, whole=True)
-    return mixing.taken_rows(mixed).select(docs.columns)
+    row, back = common.packed_row(docs)
+    frame = docs.select("doc_id", "source", mixing.word_count("text").alias("size"), row)
+    return mixing.taken_rows(mixing.mix(frame, WEIGHTS, whole=True)).select(back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
