@@ -99,6 +99,22 @@ def test_rate_limit_equals_a_simulation(spark, times, seconds):
     assert as_result(done) == simulate(rows, times, seconds)
 
 
+@pytest.mark.parametrize(("times", "seconds", "every"), [(3, 20, 7), (1, 10, 1), (4, 50, 3), (2, 9, 20)])
+def test_a_key_that_is_never_silent_is_folded_in_chunks(spark, times, seconds, every):
+    import random
+
+    rng = random.Random(every)
+    rows = [(s, "/login", 200, 0.1, "hot") for s in range(0, 4000, every) for _ in range(rng.choice([0, 1, 1, 3]))]
+    rows += [(s, "/login", 200, 0.1, "calm") for s in range(0, 4000, 500)]
+    requests = request_table(spark, rows)
+    done = ratelimit.admitted_hits(requests, times, seconds, chunk_instants=60)
+    assert as_result(done) == simulate(rows, times, seconds)
+    instants = requests.groupBy(*ratelimit.KEY, F.unix_micros("ts").alias("us")).agg(F.count("*").alias("hits"))
+    parts = ratelimit._independent_parts(instants, seconds, 60)
+    sizes = [r["count"] for r in parts.where("client_ip = 'hot'").groupBy("_part", "_chunk").count().collect()]
+    assert max(sizes) <= 60 + seconds + 1 and (len(sizes) > 3)
+
+
 def test_streaming_red_over_several_batches_equals_batch(spark):
     rows = [((i * 53) % 4000, "/a", 500 if i % 4 == 0 else 200, 0.1, "c") for i in range(400)]
     table = cut(request_table(spark, rows).repartition(5), "red")
