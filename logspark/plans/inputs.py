@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.operators import enrichment, grouping, parsing
-from logspark.operators.scale import cut, number_rows
+from logspark.operators.scale import cut, new_path, number_rows
 
 SYSLOG_YEAR = 2024
 TENANTS = 5
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def stored(
@@ -32,6 +33,16 @@ def stored(
     return _STORED[key]
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder ``name`` for this data folder, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PATHS:
+        path = new_path(spark, name)
+        write(path)
+        _PATHS[key] = path
+    return _PATHS[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

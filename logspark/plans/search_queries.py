@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.operators import knn, retrieval, similarity
+from logspark.operators import inverted, knn, retrieval, similarity
 from logspark.operators.scale import spread
 from logspark.plans import inputs
 
@@ -82,18 +82,21 @@ def line_chunks_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_chunks(retrieval.line_chunks(lines))
 
 
+def _window_index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index over the log lines, built on first use."""
+    return inputs.stored_path(spark, sf_dir, "window_index", lambda path: inverted.write_index(inputs.log_lines(spark, sf_dir), path))
+
+
 def chunk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best windows for six questions about every file."""
-    lines, questions = inputs.log_lines(spark, sf_dir), inputs.questions(spark, sf_dir)
-    shapes, windowed = retrieval.asked_windows(lines, questions)
-    found = retrieval.retrieve(windowed, shapes, questions)
+    found = inverted.search(spark, _window_index(spark, sf_dir), inputs.questions(spark, sf_dir))
     return found.withColumn("score", F.round("score", 4))
 
 
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, questions = inputs.log_lines(spark, sf_dir), inputs.questions(spark, sf_dir)
-    shapes, windowed = retrieval.asked_windows(lines, questions)
-    found = retrieval.retrieve(windowed, shapes, questions)
+    found = inverted.search(spark, _window_index(spark, sf_dir), questions)
+    windowed = retrieval.windowed_lines(lines, retrieval.window_shapes(lines))
     cited = F.transform("citations", lambda c: F.concat_ws("-", c["start_line"], c["end_line"]))
     return retrieval.answers(windowed, found, questions).select(
         "question_id",
