@@ -90,6 +90,19 @@ FROM s QUALIFY rank <= {KNN_LIMIT}
 """,
 )
 
+query(
+    "stored_vector_search",
+    [],
+    f"""
+WITH p AS (SELECT vec_id, label, CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END::double[] AS e FROM embeddings),
+s AS (SELECT a.label AS tenant, a.vec_id AS query_id, b.vec_id AS match_id, list_dot_product(a.embedding::double[], b.e) AS score
+  FROM embeddings a JOIN p b ON a.label = b.label WHERE a.vec_id % 10 = 0)
+SELECT cast(tenant AS bigint) AS tenant, query_id, match_id, round(score, 4) AS score,
+  cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS int) AS rank
+FROM s QUALIFY rank <= {KNN_LIMIT}
+""",
+)
+
 
 def chunks_sql(lines: str) -> str:
     """Windows with text from ``file_id, line_no, raw`` by a range join."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.operators import inverted, knn, retrieval, similarity
-from logspark.operators.scale import spread
+from logspark.operators import inverted, knn, retrieval, similarity, vector_store
+from logspark.operators.scale import new_path, spread
 from logspark.plans import inputs
 
 
@@ -34,21 +34,38 @@ def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_incidents(groups, groups)
 
 
-def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings written twice: even points again, with their vector reversed."""
-    points = inputs.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("label").alias("user_id"), F.col("embedding").alias("vector")
-    )
-    stored = points.withColumn("version", F.lit(1))
-    again = points.filter(F.col("id") % 2 == 0).select(
-        "id", "user_id", F.reverse("vector").alias("vector"), F.lit(2).alias("version")
-    )
-    kept = similarity.upsert_points(stored, again)
-    return kept.select(
-        "id", "user_id", "version", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first_value")
+def _embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.col("label").cast("long").alias("tenant"),
+        F.lit(1).alias("version"),
+        F.col("embedding").cast("array<double>").alias("vector"),
     )
 
 
+def _upserted_store(spark: SparkSession, sf_dir: str) -> vector_store.VectorStore:
+    """Embeddings written twice: even points again, with their vector reversed."""
+    points = _embedding_points(spark, sf_dir)
+    store = vector_store.VectorStore.create(points, new_path(spark, "vectors"))
+    again = points.filter(F.col("id") % 2 == 0)
+    store.upsert(again.withColumn("vector", F.reverse("vector")).withColumn("version", F.lit(2)))
+    store.upsert(again.filter(F.col("id") % 4 == 0))  # an older version changes nothing
+    return store
+
+
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored points after the upserts."""
+    first = F.element_at("vector", 1).cast("double")
+    return _upserted_store(spark, sf_dir).points().select("id", F.col("tenant").cast("int").alias("user_id"), "version", F.round(first, 6).alias("first_value"))
+
+
+def stored_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest stored points of every tenth embedding, after the upserts."""
+    queries = _embedding_points(spark, sf_dir).filter(F.col("id") % 10 == 0)
+    found = _upserted_store(spark, sf_dir).search(queries, KNN_LIMIT)
+    return found.withColumn("score", F.round("score", 4))
+
+
 KNN_LIMIT = 5
 
 
@@ -113,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_incidents": similar_incidents,
     "vector_upsert": vector_upsert,
     "vector_knn": vector_knn,
+    "stored_vector_search": stored_vector_search,
     "line_chunks": line_chunks,
     "line_chunks_wide": line_chunks_wide,
     "chunk_retrieval": chunk_retrieval,
