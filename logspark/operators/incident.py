@@ -42,17 +42,25 @@ def timeline(groups: DataFrame) -> DataFrame:
     return joined.withColumn("is_first_failure", F.col("_first") == F.col("group_id")).drop("_first")
 
 
-def first_events(events: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` events of every run with their position."""
+def first_events(events: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` events of every run with their position, or all of them."""
     order = Window.partitionBy(RUN).orderBy(*timeline_order())
-    return events.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+    placed = events.withColumn("pos", F.row_number().over(order))
+    return placed if n is None else placed.filter(F.col("pos") <= n)
 
 
-def investigate(runs: DataFrame, events: DataFrame, require_dated: bool = False) -> DataFrame:
+def investigate(
+    runs: DataFrame,
+    events: DataFrame,
+    require_dated: bool = False,
+    subjects: int | None = None,
+    downstream_labels: int | None = None,
+) -> DataFrame:
     """One causal check per run: plan, findings, hypothesis, verdict, conclusion.
 
-    Only the first few events of a run matter for the texts; the rest is counted.
-    ``runs`` also lists runs without events.
+    The plan covers all events of a run, or its first ``subjects``; the findings name all
+    later events of the plan, or the first ``downstream_labels``.  A limit keeps a run's row small and lets a rank
+    filter prune before the shuffle.  ``runs`` also lists runs without events.
     """
     totals = events.groupBy(RUN).agg(
         F.count(F.lit(1)).alias("event_count"),
@@ -60,7 +68,7 @@ def investigate(runs: DataFrame, events: DataFrame, require_dated: bool = False)
     )
     entry = F.struct("pos", "label", F.col("count").alias("n"))
     lead = (
-        first_events(events, fixed.PLAN_SUBJECTS)
+        first_events(events, subjects)
         .groupBy(RUN)
         .agg(F.array_sort(F.collect_list(entry)).alias("lead"))
     )
@@ -74,7 +82,7 @@ def investigate(runs: DataFrame, events: DataFrame, require_dated: bool = False)
     )
     labels = F.coalesce("_labels", F.array().cast("array<string>"))
     first = F.get("_labels", F.lit(0))
-    downstream = F.slice(labels, 2, fixed.DOWNSTREAM_LABELS)
+    downstream = F.slice(labels, F.lit(2), F.greatest(F.size(labels), F.lit(1)) if downstream_labels is None else F.lit(downstream_labels))
     has_first, cascade = F.col("event_count") > 0, F.col("event_count") > 1
     supported = has_first & (F.col("dated") > 0 if require_dated else F.lit(True))
     findings = F.array_compact(

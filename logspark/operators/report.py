@@ -91,7 +91,7 @@ def _header(titled: DataFrame, groups: DataFrame, generated_at: str) -> DataFram
     )
 
 
-def _findings(ranked: DataFrame) -> DataFrame:
+def _findings(ranked: DataFrame, sample_lines: int | None) -> DataFrame:
     p = F.col("payload")
     typed = with_command_list(ranked.withColumn("error_type", p["error_type"]))
     heading = F.format_string(
@@ -111,13 +111,14 @@ def _findings(ranked: DataFrame) -> DataFrame:
         "",
         commands,
     )
+    shown_lines = F.col("sample_lines") if sample_lines is None else F.slice("sample_lines", 1, sample_lines)
     samples = F.when(
         F.size("sample_lines") > 0,
         _lines(
             fixed.REPORT_SAMPLES_OPEN,
             "",
             "```",
-            F.array_join(F.slice("sample_lines", 1, fixed.REPORT_SAMPLE_LINES), "\n"),
+            F.array_join(shown_lines, "\n"),
             "```",
             "",
             fixed.REPORT_SAMPLES_CLOSE,
@@ -133,11 +134,11 @@ def _findings(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _prevention(titled: DataFrame, groups: DataFrame) -> DataFrame:
+def _prevention(titled: DataFrame, groups: DataFrame, tip_groups: int | None) -> DataFrame:
     tip = F.format_string(fixed.REPORT_TIP, "payload.error_type", "payload.suggested_fix")
     entry = F.struct("group_rank", tip.alias("tip"))
     tips = (
-        top_groups(groups, fixed.REPORT_TIP_GROUPS)
+        top_groups(groups, tip_groups)
         .filter(F.col("payload").isNotNull())
         .groupBy(RUN)
         .agg(F.array_sort(F.collect_list(entry)).alias("_tips"))
@@ -149,17 +150,26 @@ def _prevention(titled: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def report_parts(runs: DataFrame, groups: DataFrame, generated_at: str) -> DataFrame:
+def report_parts(
+    runs: DataFrame,
+    groups: DataFrame,
+    generated_at: str,
+    sample_lines: int | None = None,
+    tip_groups: int | None = None,
+) -> DataFrame:
     """Ordered text parts ``file_id, section, seq, text`` of every report.
 
+    All sample lines of a group are shown, or the first ``sample_lines``; tips come from all groups
+    of a run, or the ``tip_groups`` largest.
+
     ``runs`` has ``file_id, filename, total_lines, error_lines, group_count`` and
     ``groups`` carries ``payload`` or null and the refined severity.
     """
     titled = report_titles(runs, groups)
     return (
         _header(titled, groups, generated_at)
-        .unionByName(_findings(_ranked(groups)))
-        .unionByName(_prevention(titled, groups))
+        .unionByName(_findings(_ranked(groups), sample_lines))
+        .unionByName(_prevention(titled, groups, tip_groups))
     )
 
 
@@ -181,9 +191,15 @@ def assemble(parts: DataFrame) -> DataFrame:
     return keyed.groupBy(RUN).agg(joined("_order")).withColumnRenamed("text", "markdown")
 
 
-def incident_reports(runs: DataFrame, groups: DataFrame, generated_at: str) -> DataFrame:
+def incident_reports(
+    runs: DataFrame,
+    groups: DataFrame,
+    generated_at: str,
+    sample_lines: int | None = None,
+    tip_groups: int | None = None,
+) -> DataFrame:
     """One report per run; the id depends on the run only, so regenerating keeps it."""
-    documents = assemble(report_parts(runs, groups, generated_at))
+    documents = assemble(report_parts(runs, groups, generated_at, sample_lines, tip_groups))
     titles = report_titles(runs, groups).select(RUN, "title")
     report_id = F.sha2(F.concat(F.lit("report|"), F.col(RUN).cast("string")), 256)
     return titles.join(documents, RUN).select(

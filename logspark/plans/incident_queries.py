@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark import fixed
 from logspark.operators import incident, report, serving
 from logspark.plans import inputs
 from logspark.plans.ingest_queries import shown_time
@@ -29,7 +30,7 @@ def _investigations(spark: SparkSession, sf_dir: str, labelled: bool) -> DataFra
         groups = groups.withColumn("payload", F.when(F.lit(False), F.col("payload")))
     runs = serving.completed_runs(inputs.runs(spark, sf_dir))
     events = incident.timeline(groups).join(runs.select("file_id"), "file_id", "left_semi")
-    return incident.investigate(runs, events)
+    return incident.investigate(runs, events, subjects=fixed.PLAN_SUBJECTS, downstream_labels=fixed.DOWNSTREAM_LABELS)
 
 
 def investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = report.incident_reports(*report_inputs(spark, sf_dir), GENERATED_AT)
+    reports = report.incident_reports(*report_inputs(spark, sf_dir), GENERATED_AT, fixed.REPORT_SAMPLE_LINES, fixed.REPORT_TIP_GROUPS)
     return reports.select("report_id", "file_id", "title", "markdown")
 
 

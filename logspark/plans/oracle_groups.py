@@ -521,6 +521,17 @@ FROM t
 )
 query("incident_reports", ["reports"], "SELECT * FROM reports")
 query("stored_reports", ["reports"], "SELECT file_id, md5(markdown) AS markdown_md5 FROM reports")
+query("exported_reports", ["reports"], "SELECT file_id, md5(markdown || chr(10)) AS markdown_md5 FROM reports")
+query(
+    "uploaded_manifest",
+    ["log_lines"],
+    """
+WITH t AS (SELECT file_id, string_agg(raw || chr(10), '' ORDER BY line_no) AS text FROM log_lines GROUP BY file_id
+           UNION ALL SELECT i, '' FROM (VALUES (-1), (-2)) AS e(i))
+SELECT cast(file_id AS bigint) AS file_id, '.txt' AS suffix, octet_length(encode(text)) AS size_bytes, sha256(text) AS content_hash, 'upload' AS source,
+  CASE WHEN text = '' THEN 'empty' END AS reason FROM t
+""",
+)
 query(
     "stored_trace",
     ["checked"],

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark import fixed
 from logspark.operators import incident, report, retrieval, serving, telemetry
 from logspark.operators.scale import new_path
 from logspark.plans import inputs
 from logspark.plans.incident_queries import GENERATED_AT, newest_trace, report_inputs
 from logspark.sources import lines as line_source
-from logspark.sources import sinks
+from logspark.sources import manifest, sinks
 
 
 def _written_logs(spark: SparkSession, sf_dir: str) -> str:
@@ -72,11 +73,31 @@ def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report parts written as files and put together again."""
     path = new_path(spark, "reports")
     runs, groups = report_inputs(spark, sf_dir)
-    sinks.write_report_files(runs, groups, GENERATED_AT, path)
+    sinks.write_report_files(runs, groups, GENERATED_AT, path, fixed.REPORT_SAMPLE_LINES, fixed.REPORT_TIP_GROUPS)
     whole = report.assemble(sinks.read_report_files(spark, path))
     return whole.select("file_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
 
 
+def exported_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as Markdown files, read back; the text ends with a line end as files do."""
+    path = new_path(spark, "markdown")
+    runs, groups = report_inputs(spark, sf_dir)
+    parts = report.report_parts(runs, groups, GENERATED_AT, fixed.REPORT_SAMPLE_LINES, fixed.REPORT_TIP_GROUPS)
+    sinks.write_report_markdown(parts, path)
+    stored = sinks.read_report_markdown(spark, path)
+    return stored.select(F.col("file_id").cast("long").alias("file_id"), F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
+
+
+def uploaded_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the log files as uploads, two empty ones among them."""
+    path = _written_logs(spark, sf_dir)
+    for number in (-1, -2):
+        spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/file_id={number}")
+    rows = manifest.manifest_of_files(spark, path, "7")
+    number = F.regexp_extract("file_id", r"file_id=(-?[0-9]+)/", 1).cast("long")
+    return rows.select(number.alias("file_id"), "suffix", "size_bytes", "content_hash", "source", "reason")
+
+
 def stored_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Investigation steps, their batch delivered twice."""
     path = new_path(spark, "trace")
@@ -113,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tenant_groups": tenant_groups,
     "versioned_severities": versioned_severities,
     "stored_reports": stored_reports,
+    "exported_reports": exported_reports,
+    "uploaded_manifest": uploaded_manifest,
     "stored_trace": stored_trace,
     "stored_messages": stored_messages,
     "metrics_file": metrics_file,

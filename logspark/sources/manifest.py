@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +44,18 @@ def manifest_of_files(spark: SparkSession, path: str, user_id: str) -> DataFrame
     """Manifest rows of uploaded files; content is read only within the size limit.
 
     The size comes from the file listing, so an oversized file is rejected
-    without reading it, and the hash of the others needs the bytes once.  Spark
-    does not list empty files, so an empty upload never gets a row.
+    without reading it, and the hash of the others needs the bytes once.  Spark's
+    readers pass over empty files, but its listing has them: a listed file
+    that is not read is an empty upload.
     """
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     within = F.col("length") <= fixed.MAX_UPLOAD_BYTES
     accepted = files.filter(within).withColumn("content_hash", F.sha2("content", 256)).drop("content")
     oversized = files.filter(~within).drop("content").withColumn("content_hash", F.lit(None).cast("string"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    reason = F.when(~within, F.lit("too large"))
-    return accepted.unionByName(oversized).select(
+    reason = F.when(~within, F.lit("too large")).when(F.col("length") == 0, F.lit("empty"))
+    rows = accepted.unionByName(oversized).unionByName(_empty_files(spark, files))
+    return rows.select(
         F.col("path").alias("file_id"),
         F.lit(user_id).alias("user_id"),
         F.substring(name, 1, fixed.FILENAME_CHARS).alias("filename"),
@@ -62,6 +67,20 @@ def manifest_of_files(spark: SparkSession, path: str, user_id: str) -> DataFrame
     )
 
 
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Rows of the listed files that the reader of ``files`` passes over."""
+    # The listing writes local paths with three slashes and escapes, the reader with one and none.
+    names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    return empty.select(
+        "path",
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+        F.lit(0).cast("long").alias("length"),
+        F.sha2(F.lit("").cast("binary"), 256).alias("content_hash"),
+    )
+
+
 def split_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted and quarantined files."""
     return manifest.filter(F.col("reason").isNull()), manifest.filter(F.col("reason").isNotNull())

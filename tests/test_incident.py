@@ -76,7 +76,7 @@ def test_trace_has_three_ordered_steps(groups, runs):
 
 
 def test_reports(groups, runs):
-    first = {r.file_id: r for r in report.incident_reports(runs, groups, "2026-03-02 00:00 UTC").collect()}
+    first = {r.file_id: r for r in report.incident_reports(runs, groups, "2026-03-02 00:00 UTC", sample_lines=3, tip_groups=3).collect()}
     text = first[1].markdown
     assert first[1].title == "Incident report — Critical: app.log"
     assert "12,345 lines, 1,205 errors, 3 distinct groups" in text
@@ -88,14 +88,14 @@ def test_reports(groups, runs):
     assert "## Prevention\n\n- Address **Database Connectivity**: fix\n" in text
     assert first[4].title.endswith("clean.log (no errors detected)") and "spread: none." in first[4].markdown
     assert "The most frequent issue occurred 1 times: `only one`." in first[2].markdown
-    again = {r.file_id: r for r in report.incident_reports(runs, groups, "2026-03-03 00:00 UTC").collect()}
+    again = {r.file_id: r for r in report.incident_reports(runs, groups, "2026-03-03 00:00 UTC", sample_lines=3, tip_groups=3).collect()}
     assert again[1].report_id == first[1].report_id and again[1].markdown != text
 
 
 def test_report_files_hold_the_assembled_text(spark, groups, runs):
     path = tempfile.mkdtemp(prefix="run-")
-    sinks.write_report_files(runs, groups, "2026-03-02 00:00 UTC", path)
-    expected = report.incident_reports(runs, groups, "2026-03-02 00:00 UTC").select("file_id", "markdown")
+    sinks.write_report_files(runs, groups, "2026-03-02 00:00 UTC", path, sample_lines=3, tip_groups=3)
+    expected = report.incident_reports(runs, groups, "2026-03-02 00:00 UTC", sample_lines=3, tip_groups=3).select("file_id", "markdown")
     assert sorted(report.assemble(sinks.read_report_files(spark, path)).collect()) == sorted(expected.collect())
 
 
@@ -107,3 +107,14 @@ def test_a_trace_takes_further_steps(spark):
     assert [s["agent"] for s in steps] == ["planner", "investigator", "verifier", "reviewer"]
     assert steps[3]["content"] == {"note": "n"}
     assert incident.trace_steps(found, max_steps=2).count() == 2
+
+
+def test_limits_are_arguments(spark):
+    rows = [(1, f"g{i}", f"f{i}", f"template {i}", "high", 9 - i, datetime(2026, 3, 1, 8, i)) for i in range(8)]
+    events = spark.createDataFrame(rows, "file_id long, group_id string, fingerprint string, label string, severity string, count long, first_seen timestamp")
+    runs = spark.createDataFrame([(1,)], "file_id long")
+    whole = incident.investigate(runs, events).first()
+    assert len(whole.plan) == 8 and "template 7" in whole.findings[1]
+    cut = incident.investigate(runs, events, subjects=5, downstream_labels=2).first()
+    assert len(cut.plan) == 5 and "template 2" in cut.findings[1] and "template 3" not in cut.findings[1]
+    assert whole.conclusion == cut.conclusion

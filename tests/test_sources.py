@@ -79,9 +79,13 @@ def test_uploaded_files_manifest(spark):
     path = folder()
     (path / "a.log").write_text("hello\n")
     (path / "b.log").write_text("")
+    (path / "odd name %20=.log").write_text("")
+    (path / "odd %41.log").write_text("x")
     rows = {Path(r.file_id).name: r for r in manifest.manifest_of_files(spark, str(path), "u").collect()}
     assert rows["a.log"].size_bytes == 6 and rows["a.log"].reason is None
-    assert "b.log" not in rows  # the file source never lists empty files, so none is accepted
+    assert rows["b.log"].size_bytes == 0 and rows["b.log"].reason == "empty"
+    assert rows["odd name %20=.log"].reason == "empty" and rows["odd %41.log"].reason is None
+    assert len(rows) == 4
 
 
 def test_batch_sink_replaces_a_replayed_batch(spark):
@@ -98,3 +102,12 @@ def test_cuts_go_to_the_configured_folder(spark):
     assert stored.count() == 3
     assert shared_dir(spark) in stored.inputFiles()[0]
     assert new_path(spark, "a") != new_path(spark, "a")
+
+
+def test_reports_leave_as_markdown_files(spark):
+    path = str(folder())
+    parts = spark.createDataFrame([(r, s, q, f"run {r} section {s} part {q}\nend") for r in (1, 2) for s in (2, 1) for q in (1, 0)], "file_id long, section int, seq long, text string")
+    sinks.write_report_markdown(parts, path)
+    shown = {int(r.file_id): r.markdown for r in sinks.read_report_markdown(spark, path).collect()}
+    assert shown[2] == "".join(f"run 2 section {s} part {q}\nend\n" for s in (1, 2) for q in (0, 1)) and len(shown) == 2
+    assert len(list(Path(path, "file_id=1").glob("*.txt"))) == 1
