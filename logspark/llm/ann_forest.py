@@ -16,7 +16,10 @@ with all rows, in blocks, and walk their queues until their true nearest are fou
 queries then visit as many leaves as find the share ``RECALL`` of those, and ``PROBES`` at
 least, so recall does not fall as the table grows; the work of a query grows instead.
 
-Vectors that are null, empty, zero, without id, of another width than the commonest, or with null or
+Vectors of each width have a forest of their own and find one another only.  A forest's sample is drawn
+by a hash of id and vector and holds ``SAMPLE`` rows at most.
+
+Vectors that are null, empty, zero, without id, or with null or
 non-finite components neither query nor are found.  Ties go to the smaller id.  Rows with
 equal ids count once, with their best score, and never answer their own id.  An empty
 table gives an empty result.  Other columns are ignored.
@@ -48,6 +51,8 @@ NODE_SAMPLE = 4
 ROW_BLOCK = 1024
 QUERY_BLOCK = 256
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
+MET_SCHEMA = "query_id long, vec_id long, score double, leaves array<long>"
+LEAF_KEY = ["width", "tree", "leaf"]
 
 
 class Forest(NamedTuple):
@@ -135,14 +140,15 @@ def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, see
     return Forest(directions, thresholds, spare)
 
 
-def _place(batches, forest: Forest):
-    for batch in batches:
-        if len(batch):
-            found = forest.leaves(vectors.directions(vectors.matrix(batch.column("embedding"))))
+def _place(batches, forests: dict[int, Forest]):
+    for whole in batches:
+        for width, batch in vectors.by_width(whole):
+            found = forests[width].leaves(vectors.directions(vectors.matrix(batch.column("embedding"))))
             n, trees = found.shape
             rows = pa.array(np.repeat(np.arange(n), trees))
             yield pa.record_batch(
                 {
+                    "width": pa.array(np.full(n * trees, width, np.int32)),
                     "tree": pa.array(np.tile(np.arange(trees, dtype=np.int32), n)),
                     "leaf": pa.array(found.ravel()),
                     "vec_id": batch.column("vec_id").take(rows),
@@ -151,22 +157,24 @@ def _place(batches, forest: Forest):
             )
 
 
-def _probe(batches, forest: Forest, probes: int):
-    step = max(1, VISIT_ROWS // probes)
-    for whole in batches:
-        for start in range(0, len(whole), step):
-            batch = whole.slice(start, step)
-            unit = vectors.directions(vectors.matrix(batch.column("embedding")))
-            visits = [forest.best_leaves(v, probes) for v in unit]
-            rows = pa.array(np.repeat(np.arange(len(batch)), [len(v) for v in visits]))
-            yield pa.record_batch(
-                {
-                    "tree": pa.array([t for v in visits for t, _ in v], pa.int32()),
-                    "leaf": pa.array([x for v in visits for _, x in v], pa.int64()),
-                    "query_id": batch.column("vec_id").take(rows),
-                    "query": batch.column("embedding").take(rows),
-                }
-            )
+def _probe(batches, forests: dict[int, Forest], probes: dict[int, int]):
+    for every in batches:
+        for width, whole in vectors.by_width(every):
+            step = max(1, VISIT_ROWS // probes[width])
+            for start in range(0, len(whole), step):
+                batch = whole.slice(start, step)
+                unit = vectors.directions(vectors.matrix(batch.column("embedding")))
+                visits = [forests[width].best_leaves(v, probes[width]) for v in unit]
+                rows = pa.array(np.repeat(np.arange(len(batch)), [len(v) for v in visits]))
+                yield pa.record_batch(
+                    {
+                        "width": pa.array(np.full(len(rows), width, np.int32)),
+                        "tree": pa.array([t for v in visits for t, _ in v], pa.int32()),
+                        "leaf": pa.array([x for v in visits for _, x in v], pa.int64()),
+                        "query_id": batch.column("vec_id").take(rows),
+                        "query": batch.column("embedding").take(rows),
+                    }
+                )
 
 
 def _nearest(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
@@ -198,43 +206,57 @@ def _needed(batches, forest: Forest):
             yield pa.record_batch({"needed": pa.array(forest.needed(np.array(unit), targets), pa.int64())})
 
 
+def _compared(batches, asked: pa.Table, forest: Forest, k: int):
+    """Each query's ``k`` nearest of a batch of rows, with the leaves that the row of that score lies in."""
+    queries = vectors.directions(vectors.matrix(asked.column("query")))
+    place = {q: i for i, q in enumerate(asked.column("query_id").to_pylist())}
+    for batch in batches:
+        if len(batch):
+            found = _nearest(pa.Table.from_batches([batch]), asked, k)
+            unit = vectors.directions(vectors.matrix(batch.column("embedding")))
+            ids = batch.column("vec_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            rows = []
+            for query, i in zip(found.column("query_id").to_pylist(), found.column("vec_id").to_pylist(), strict=True):
+                own = order[np.searchsorted(ids[order], i) : np.searchsorted(ids[order], i, "right")]
+                rows.append(own[np.argmax(unit[own] @ queries[place[query]])])
+            leaves = forest.leaves(unit[rows]) if rows else np.zeros((0, len(forest.directions)), np.int64)
+            yield from found.append_column("leaves", pa.array(list(leaves), pa.list_(pa.int64()))).combine_chunks().to_batches()
+
+
 def measured_probes(rows: DataFrame, is_query: Column, k: int, forest: Forest, recall: float = RECALL) -> int:
-    """Leaves to visit so that ``MEASURED`` of the queries find the share ``recall`` of their ``k`` nearest of all rows."""
+    """Leaves to visit so that ``MEASURED`` of the queries find the share ``recall`` of their ``k`` nearest of all rows.
+
+    ``rows`` are of one width.
+    """
     spark = rows.sparkSession
     picked = rows.where(is_query).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(1)), "embedding").limit(MEASURED)
     asked = picked.dropDuplicates(["vec_id"]).toArrow().rename_columns(["query_id", "query"])
     if not asked.num_rows:
         return PROBES
-
-    def compare(batches):
-        for batch in batches:
-            if len(batch):
-                yield from _nearest(pa.Table.from_batches([batch]), asked, k).to_batches()
-
-    found = rows.select("vec_id", "embedding").mapInArrow(compare, FOUND_SCHEMA)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id").toArrow().to_pylist()
-    ids = spark.createDataFrame([(i,) for i in sorted({r["vec_id"] for r in best})], "vec_id long")
-    known = rows.select("vec_id", "embedding").join(F.broadcast(ids), "vec_id").distinct().toArrow()
-    copies: dict[int, list[int]] = {}
-    for n, i in enumerate(known.column("vec_id").to_pylist()):
-        copies.setdefault(i, []).append(n)
-    if not best:
+    found = rows.select("vec_id", "embedding").mapInArrow(lambda batches: _compared(batches, asked, forest, k), MET_SCHEMA)
+    once = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaves")).alias("best"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("best.score"), "vec_id")
+    best = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    targets = best.groupBy("query_id").agg(F.flatten(F.collect_list("best.leaves")).alias("leaves")).toArrow().to_pylist()
+    if not targets:
         return PROBES
-    unit = vectors.directions(vectors.matrix(known.column("embedding")))
-    leaves = forest.leaves(unit)
     queries = dict(zip(asked.column("query_id").to_pylist(), vectors.directions(vectors.matrix(asked.column("query"))), strict=True))
-    targets: dict[int, list[int]] = {}
-    for r in best:  # of rows with one id, the one that gives the score
-        row = max(copies[r["vec_id"]], key=lambda n: float(unit[n] @ queries[r["query_id"]]))
-        targets.setdefault(r["query_id"], []).extend(leaves[row].tolist())
-    walks = spark.createDataFrame([(queries[q].tolist(), at) for q, at in targets.items()], "unit array<double>, leaves array<long>")
+    walks = [(queries[r["query_id"]].tolist(), r["leaves"]) for r in targets]
+    walks = spark.createDataFrame(walks, "unit array<double>, leaves array<long>")
     needed = walks.mapInArrow(lambda batches: _needed(batches, forest), "needed long").toArrow()
     ranks = np.sort(needed.column("needed").to_numpy())
     return max(PROBES, int(ranks[ceil(recall * len(ranks)) - 1]))
 
 
+def _fitted(rows: DataFrame, n: int, trees: int, leaf: int) -> Forest:
+    """A forest for ``n`` rows of one width, from a sample that does not grow with them."""
+    draw = F.xxhash64("vec_id", "embedding")
+    share = int(min(1.0, 1.2 * SAMPLE / max(n, 1)) * (1 << 30))
+    picked = rows.where(F.pmod(draw, F.lit(1 << 30)) < share).orderBy(draw, "vec_id").limit(SAMPLE)
+    return fit(vectors.directions(vectors.matrix(picked.select("embedding").toArrow().column(0))), n, trees, leaf)
+
+
 def search(
     embeddings: DataFrame, is_query: Column, k: int, probes: int | None = None, trees: int = TREES, leaf: int = LEAF
 ) -> DataFrame:
@@ -244,30 +266,27 @@ def search(
     """
     kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
     named = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind))
-    rows, width, n = vectors.one_width(named.where(vectors.usable()))
-    rows = common.stored(rows, "ann-vectors")
-    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("embedding").toArrow()
-    sample = vectors.directions(vectors.matrix(picked.column(0))) if picked.num_rows else np.zeros((1, max(width, 1)))
-    forest = fit(sample, n, trees, leaf)
-    if probes is None:
-        probes = measured_probes(rows, is_query, k, forest)
-
-    index = common.stored(
-        rows.mapInArrow(lambda batches: _place(batches, forest), f"tree int, leaf long, vec_id long, embedding {kind}"), "ann-index"
-    )
-    visits = rows.where(is_query).mapInArrow(
-        lambda batches: _probe(batches, forest, probes), f"tree int, leaf long, query_id long, query {kind}"
-    )
+    rows = common.stored(named.where(vectors.usable()), "ann-vectors")
+    forests, visited = {}, {}
+    for width, n in sorted(vectors.widths(rows).items()):
+        own = rows.where(F.size("embedding") == width)
+        forests[width] = _fitted(own, n, trees, leaf)
+        deep = forests[width].directions.shape[1] > 0  # else one leaf a tree holds all rows
+        visited[width] = probes or (measured_probes(own, is_query, k, forests[width]) if deep else PROBES)
+
+    placed = f"width int, tree int, leaf long, vec_id long, embedding {kind}"
+    index = common.stored(rows.mapInArrow(lambda batches: _place(batches, forests), placed), "ann-index")
+    probed = f"width int, tree int, leaf long, query_id long, query {kind}"
+    visits = rows.where(is_query).mapInArrow(lambda batches: _probe(batches, forests, visited), probed)
     visits = common.stored(visits, "ann-visits")
-    sizes = index.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("row_blocks"))
-    asked = visits.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("query_blocks"))
-    shape = common.stored(sizes.join(asked, ["tree", "leaf"]), "ann-leaves")
-    left = index.join(shape, ["tree", "leaf"]).withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")))
+    sizes = index.groupBy(*LEAF_KEY).agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("row_blocks"))
+    asked = visits.groupBy(*LEAF_KEY).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("query_blocks"))
+    shape = common.stored(sizes.join(asked, LEAF_KEY), "ann-leaves")
+    left = index.join(shape, LEAF_KEY).withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")))
     left = left.withColumn("query_block", F.explode(F.expr("sequence(0L, query_blocks - 1)"))).drop("row_blocks", "query_blocks")
-    right = visits.join(shape, ["tree", "leaf"]).withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")))
+    right = visits.join(shape, LEAF_KEY).withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")))
     right = right.withColumn("row_block", F.explode(F.expr("sequence(0L, row_blocks - 1)"))).drop("row_blocks", "query_blocks")
-    keys = ["tree", "leaf", "row_block", "query_block"]
+    keys = [*LEAF_KEY, "row_block", "query_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k), FOUND_SCHEMA)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -6,11 +6,12 @@ the number of tables follows from the bits, so that a pair at the threshold
 is missed with at most ``MISS``.  Equal vectors are one class that counts as
 many.  A bucket is dealt into blocks of ``BLOCK`` classes and each pair of blocks is one
 matrix product; pairs never leave the task, only counts and a spanning forest of their
-links do.  A pair that meets in several tables counts in the first one.
+links do.  A pair that meets in several tables counts in the first one.  Vectors of each width have
+hyperplanes and buckets of their own.  What goes through the shuffle for each table is a vector's components and
+its signs as packed bytes.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-do rows without id and rows of another width than the commonest.  They are returned as
-their own component.  Rows with equal ids are separate vectors of one node.  An empty table
+do rows without id.  They are returned as their own component.  Rows with equal ids are separate vectors of one node.  An empty table
 gives an empty result.  Other columns are ignored.
 """
 
@@ -28,6 +29,7 @@ from logspark.llm import common, vectors
 MISS = 1e-5
 BLOCK = 256
 LEAST_BITS = 6
+SIGNED_SCHEMA = "rep long, copies long, width int, packed binary, signs array<long>, marks binary"
 LINK_SCHEMA = "rep long, links long, root long"
 
 
@@ -48,15 +50,34 @@ def signatures(rows: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _sign(batches, width: int, bits: int, tables: int):
-    planes = hyperplanes(width, bits, tables)
-    for batch in batches:
-        if not len(batch):
-            continue
-        found = signatures(vectors.matrix(batch.column("embedding")), planes, bits)
-        at = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables)
-        signs = pa.ListArray.from_arrays(at, pa.array(found.ravel()))
-        yield pa.record_batch({**{c: batch.column(c) for c in ("rep", "copies", "embedding")}, "signs": signs})
+def _sign(batches, bits: int, tables: int):
+    planes: dict[int, np.ndarray] = {}
+    for whole in batches:
+        for width, batch in vectors.by_width(whole):
+            if width not in planes:
+                planes = {width: hyperplanes(width, bits, tables)}  # one width's at a time
+            rows = vectors.matrix(batch.column("embedding"))
+            found = signatures(rows, planes[width], bits)
+            with np.errstate(over="ignore"):
+                single = rows.astype(np.float32)
+            exact = single if (single == rows).all() else rows
+            at = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables)
+            yield pa.record_batch(
+                {
+                    "rep": batch.column("rep"),
+                    "copies": batch.column("copies"),
+                    "width": pa.array(np.full(len(batch), width, np.int32)),
+                    "packed": pa.array([r.tobytes() for r in exact], pa.binary()),
+                    "signs": pa.ListArray.from_arrays(at, pa.array(found.ravel())),
+                    "marks": pa.array([r.tobytes() for r in found.astype(np.int32)], pa.binary()),
+                }
+            )
+
+
+def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of packed components; single precision where that holds a row exactly."""
+    rows = [np.frombuffer(b.as_buffer(), np.float32 if len(b.as_buffer()) == 4 * width else np.float64) for b in column]
+    return np.stack(rows).astype(np.float64)
 
 
 def _links(group: pa.Table, threshold: float) -> pa.Table:
@@ -66,13 +87,13 @@ def _links(group: pa.Table, threshold: float) -> pa.Table:
     table = int(group.column("table")[0].as_py())
     low, high, block = (group.column(c).to_numpy() for c in ("low", "high", "block"))
     rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-    unit = vectors.directions(vectors.matrix(group.column("embedding")))
+    unit = vectors.directions(_unpacked(group.column("packed"), int(group.column("width")[0].as_py())))
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
     if low[0] != high[0]:
         linked &= block[:, None] != block[None, :]
     a, b = np.nonzero(linked)
-    signs = vectors.matrix(group.column("signs")).astype(np.int64)
+    signs = np.stack([np.frombuffer(b.as_buffer(), np.int32) for b in group.column("marks")])
     for earlier in range(table):
         fresh = signs[a, earlier] != signs[b, earlier]
         a, b = a[fresh], b[fresh]
@@ -92,22 +113,20 @@ def _classes(rows: DataFrame) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row; links have a cosine of at least ``threshold``."""
     named = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    rows, width, _ = vectors.one_width(named.where(vectors.usable()))
-    classes = common.stored(_classes(rows), "vector-classes")
+    classes = common.stored(_classes(named.where(vectors.usable())), "vector-classes")
     n = classes.count()
     bits, tables = shape(n, threshold)
-    signed = classes.mapInArrow(
-        lambda batches: _sign(batches, width, bits, tables), "rep long, copies long, embedding array<double>, signs array<long>"
-    )
+    signed = classes.mapInArrow(lambda batches: _sign(batches, bits, tables), SIGNED_SCHEMA)
     signed = common.stored(signed, "vector-signs")
-    buckets = signed.select("rep", F.posexplode("signs").alias("table", "sign"))
-    sizes = buckets.groupBy("table", "sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = sizes.select("table", "sign", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = signed.select("*", F.posexplode("signs").alias("table", "sign")).join(sizes, ["table", "sign"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", "embedding"), F.col("blocks")))
+    bucket = ["width", "table", "sign"]
+    buckets = signed.select("width", F.posexplode("signs").alias("table", "sign"))
+    sizes = buckets.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select(*bucket, F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = signed.select("rep", "copies", "width", "packed", "marks", F.posexplode("signs").alias("table", "sign")).join(sizes, bucket)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", "packed"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
-    grouped = dealt.groupBy("table", "sign", "low", "high")
+    grouped = dealt.groupBy(*bucket, "low", "high")
     found = common.stored(grouped.applyInArrow(lambda group: _links(group, threshold), LINK_SCHEMA), "vector-links")
     labels = common.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-rounds")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +18,17 @@ def usable() -> Column:
     return F.coalesce(F.col("vec_id").isNotNull() & ~bad & some, F.lit(False))
 
 
-def one_width(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """(rows of the commonest width, that width, their number); others have no cosine with them."""
-    widths = rows.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("w")).first()
-    width, n = (widths["w"], widths["n"]) if widths else (0, 0)
-    return rows.where(F.size("embedding") == width), width, n
+def widths(rows: DataFrame) -> dict[int, int]:
+    """How many rows have vectors of each width.  There are at most as many widths as the widest vector has components."""
+    counts = rows.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return {r["w"]: r["n"] for r in counts.collect()}
+
+
+def by_width(batch: pa.RecordBatch, column: str = "embedding") -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(width, its rows) for each width that a batch holds; vectors of different widths have no cosine."""
+    sizes = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for width in np.unique(sizes).tolist():
+        yield width, batch if (sizes == width).all() else batch.filter(pa.array(sizes == width))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

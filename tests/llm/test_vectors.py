@@ -16,24 +16,31 @@ def usable(vector):
 
 
 def unit_rows(rows):
-    width = max((len(v) for _, v in rows if usable(v)), key=lambda w: (sum(len(v) == w for _, v in rows if usable(v)), w))
-    kept = [(i, v) for i, v in rows if i is not None and usable(v) and len(v) == width]
-    x = np.array([v for _, v in kept], np.float64)
-    return [i for i, _ in kept], x / np.linalg.norm(x, axis=1, keepdims=True)
+    """(ids, unit vectors) of the usable rows of one width."""
+    x = np.array([v for _, v in rows], np.float64)
+    return [i for i, _ in rows], x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+
+
+def widths(rows):
+    kept = [(i, v) for i, v in rows if i is not None and usable(v)]
+    return [[(i, v) for i, v in kept if len(v) == w] for w in sorted({len(v) for _, v in kept})]
 
 
 def brute_links(rows, threshold):
-    ids, x = unit_rows(rows)
-    linked = x @ x.T >= threshold
-    np.fill_diagonal(linked, False)
-    a, b = np.nonzero(linked)
-    label = smallest([(ids[i], ids[j]) for i, j in zip(a, b, strict=True)], set(ids))
-    used = [(i, int(n), label[i], label[i] == i) for i, n in zip(ids, linked.sum(1), strict=True)]
+    used, edges, degree = [], [], []
+    for own in widths(rows):
+        ids, x = unit_rows(own)
+        linked = x @ x.T >= threshold
+        np.fill_diagonal(linked, False)
+        edges += [(ids[a], ids[b]) for a, b in zip(*np.nonzero(linked), strict=True)]
+        degree += zip(ids, linked.sum(1).tolist(), strict=True)
+        used += own
+    label = smallest(edges, {i for i, _ in degree})
     rest = list(rows)
-    for i, v in rows:
-        if i is not None and usable(v) and len(v) == x.shape[1]:
-            rest.remove((i, v))
-    return sorted(used + [(i, 0, label.get(i, i), label.get(i, i) == i) for i, v in rest], key=repr)
+    for row in used:
+        rest.remove(row)
+    out = [(i, n, label[i], label[i] == i) for i, n in degree]
+    return sorted(out + [(i, 0, label.get(i, i), label.get(i, i) == i) for i, v in rest], key=repr)
 
 
 def read(spark):
@@ -52,7 +59,9 @@ def odd_vectors():
     rows = [(i, [float(x) for x in base[i % 30] + source.normal(size=16) * 0.02 * (1 + i % 4)]) for i in range(900)]
     rows += [(1000 + i, [float(x) for x in base[0]]) for i in range(700)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [None] + [1.0] * 15), (2004, [math.nan] * 16), (2005, [math.inf] + [1.0] * 15)]
-    return rows + [(2006, [1.0, 2.0]), (None, rows[0][1]), (2007, [float(x) * 1e-30 for x in base[1]])]
+    rows += [(2006, [1.0, 2.0]), (None, rows[0][1]), (2007, [float(x) * 1e-30 for x in base[1]])]
+    # Two more widths: two equal vectors, near ones, one with nothing near it, one alone.
+    return rows + [(2010, [1.0, 2.0]), (2020, [2.0, 4.01]), (2040, [-1.0, 0.5]), (2060, [3.0])]
 
 
 def test_dedup_of_groups_and_odd_rows(spark):
@@ -64,14 +73,14 @@ def test_dedup_of_groups_and_odd_rows(spark):
 
 
 def brute_nearest(rows, is_query, k):
-    ids, x = unit_rows(rows)
     out = {}
-    for n, i in enumerate(ids):
-        if is_query(i):
-            score = x @ x[n]
-            order = sorted((-s, j) for s, j in zip(score, ids, strict=True) if j != i)
-            out[i] = [(j, -s) for s, j in order[:k]]
-    return out
+    for own in widths(rows):
+        ids, x = unit_rows(own)
+        for n, i in enumerate(ids):
+            if is_query(i):
+                order = sorted((-s, j) for s, j in zip(x @ x[n], ids, strict=True) if j != i)
+                out[i] = [(j, -s) for s, j in order[:k]]
+    return {i: nearest for i, nearest in out.items() if nearest}
 
 
 def recall(found, expected):
@@ -109,6 +118,7 @@ def test_search_of_groups_and_odd_rows(spark):
     found = by_query(ann_forest.search(frame, F.col("vec_id") % 20 == 0, k=5))
     expected = brute_nearest(rows, lambda i: i % 20 == 0, 5)
     assert set(found) == set(expected) and recall(found, expected) >= 0.9
+    assert [r["vec_id"] for r in found[2020]] == [2006, 2010, 2040] and 2060 not in found
     # Among hundreds of copies the smallest ids win.
     assert [r["vec_id"] for r in found[1100]] == [1000, 1001, 1002, 1003, 1004]
     few = by_query(ann_forest.search(frame.where("vec_id < 3"), F.lit(True), k=5))
