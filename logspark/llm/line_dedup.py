@@ -8,11 +8,11 @@ them, never all pairs, and no line is too frequent to count.  Lines of fewer tha
 none, so the shortest runs of lines with ``min_words`` words are paired in the same way,
 at most two for each line.  A pair is aligned with patience
 diff: lines that occur once on both sides, in their longest common order, are anchors;
-the gaps between them are aligned the same way, and where no line is unique the rarest
-common one is taken.  What stays unaligned is aligned again until nothing new is
-found, so blocks in another order count too.  Aligned blocks of at least ``min_words``
+the gaps between them are aligned the same way, and where no line is unique lines with a unique
+neighbourhood are taken.  Aligned blocks of at least ``min_words``
 words are deleted from the later document, and so are runs of as many words that stand in
-the first one but were not aligned.
+the first one but were not aligned, as blocks in another order.  A pair takes time in proportion to its
+lines, but for sorting, however often lines repeat.
 
 Documents are ordered by id, nulls last.  Rows with equal id and text are one document
 and are treated alike; rows with equal id and other text follow each other by a hash.
@@ -23,7 +23,7 @@ empty text.  An empty table gives an empty result.  Other columns stay as they a
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from logspark.llm import common, words
 
 MIN_WORDS = 10
+DEPTH = 32
 LINES_SCHEMA = "id long, version long, lines array<long>, sizes array<int>, runs array<long>"
 DELETED_SCHEMA = "id long, version long, deleted array<int>"
 _LAST = (1 << 63) - 1
@@ -118,40 +119,56 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """Pairs of positions to hold on to in two ranges; blank lines (0) never are."""
-    in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-    common_lines = [x for x in in_a if x and x in in_b]
-    if not common_lines:
-        return []
-    unique = {x for x in common_lines if in_a[x] == 1 and in_b[x] == 1}
-    if not unique:
-        rarest = min(common_lines, key=lambda x: (in_a[x] + in_b[x], x))
-        return [(a.index(rarest, a0, a1), b.index(rarest, b0, b1))]
-    at = {x: j for j, x in enumerate(b[b0:b1], b0) if x in unique}
-    return _longest_rising([(i, at[x]) for i, x in enumerate(a[a0:a1], a0) if x in unique])
+def _paired(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Places in two ranges of values that occur once in each, and the first with the first, second with the second and so on of all others."""
+    in_a, in_b = defaultdict(list), defaultdict(list)
+    for places, values, start, end in ((in_a, a, a0, a1), (in_b, b, b0, b1)):
+        for i in range(start, end):
+            if values[i]:
+                places[values[i]].append(i)
+    once, several = [], []
+    for x, own in in_a.items():
+        if x in in_b:
+            (once if len(own) == len(in_b[x]) == 1 else several).extend(zip(own, in_b[x], strict=False))
+    return once, several
+
+
+def _in_context(lines: list[int]) -> list[tuple[int, ...] | int]:
+    """Each line with its two neighbours; blank lines stay 0."""
+    return [x and (before, x, after) for before, x, after in zip([0, *lines], lines, [*lines[1:], 0], strict=False)]
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs (place in a, place in b) of equal lines in common order."""
-    found, open_ranges = [], [(0, len(a), 0, len(b))]
+    """Pairs (place in a, place in b) of equal lines in common order; blank lines (0) are never held on to.
+
+    Where no line is unique, lines whose neighbourhood is take their place.  Where that is
+    not either, or after ``DEPTH`` gaps inside one another, equal lines are paired in their
+    order and what lies between is left as it is, so the time is linear but for sorting.
+    """
+    found, open_ranges = [], [(0, len(a), 0, len(b), 0)]
+    contexts = None
     while open_ranges:
-        a0, a1, b0, b1 = open_ranges.pop()
+        a0, a1, b0, b1, depth = open_ranges.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             found.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+        if a0 == a1 or b0 == b1 or depth > DEPTH:
             continue
-        anchors = _anchors(a, b, a0, a1, b0, b1)
+        once, several = _paired(a, b, a0, a1, b0, b1)
+        if several and not once:
+            contexts = contexts or (_in_context(a), _in_context(b))
+            once, _ = _paired(*contexts, a0, a1, b0, b1)
+        anchors = _longest_rising(sorted(once or several))
+        below = depth + 1 if once and depth < DEPTH else DEPTH + 1
         for i, j in anchors:
-            open_ranges.append((a0, i, b0, j))
+            open_ranges.append((a0, i, b0, j, below))
             found.append((i, j))
             a0, b0 = i + 1, j + 1
         if anchors:
-            open_ranges.append((a0, a1, b0, b1))
+            open_ranges.append((a0, a1, b0, b1, below))
     return sorted(found)
 
 
@@ -168,34 +185,46 @@ def _runs(lines: list[int], size_of: dict[int, int], min_words: int) -> Iterator
                 j += step
 
 
+def _blocks(pairs: list[tuple[int, int]], sizes: list[int], min_words: int) -> set[int]:
+    """Second places of the runs of pairs that follow each other on both sides and have ``min_words`` words."""
+    gone: set[int] = set()
+    block: list[int] = []
+    before = None
+    for pair in [*pairs, None]:
+        if before is None or pair is None or (pair[0] - before[0], pair[1] - before[1]) != (1, 1):
+            if sum(sizes[j] for j in block) >= min_words:
+                gone.update(block)
+            block = []
+        if pair is not None:
+            block.append(pair[1])
+        before = pair
+    return gone
+
+
+def _neighbours(lines: list[int]) -> Iterator[tuple[int, int]]:
+    """(begin, end) from each line to the next one across blank lines."""
+    begin = None
+    for i, x in enumerate(lines):
+        if x:
+            if begin is not None and i > begin + 1:
+                yield begin, i + 1
+            begin = i
+
+
 def shared_lines(first: list[int], later: list[int], sizes: list[int], min_words: int) -> set[int]:
     """Places in ``later`` that lie in blocks of at least ``min_words`` words, aligned or at least in ``first`` as they stand."""
-    gone: set[int] = set()
-    rest = list(later)
-    while True:
-        new: set[int] = set()
-        block: list[int] = []
-        before = None
-        for pair in [*aligned(first, rest), None]:
-            if before is None or pair is None or (pair[0] - before[0], pair[1] - before[1]) != (1, 1):
-                if sum(sizes[j] for j in block) >= min_words:
-                    new.update(block)
-                block = []
-            if pair is not None:
-                block.append(pair[1])
-            before = pair
-        if not new:
-            break
-        gone |= new
-        for j in new:
-            rest[j] = -2  # hashes of lines are odd or 0, so this equals none
-    # Repeated lines can lead an alignment past a block, and a block can overlap one that went.
+    gone = _blocks(aligned(first, later), sizes, min_words)
+    # Blocks in another order, and blocks that repeated lines have led the alignment past.
     if {x for j, x in enumerate(later) if x and j not in gone}.intersection(first):
         size_of = dict(zip(later, sizes, strict=True))
         held = {tuple(first[a:b]) for a, b in _runs(first, size_of, min_words)}
         for a, b in _runs(later, size_of, min_words):
             if tuple(later[a:b]) in held:
                 gone.update(range(a, b))
+        apart = {tuple(first[a:b]) for a, b in _neighbours(first)}
+        for a, b in _neighbours(later):
+            if a in gone and b - 1 in gone and tuple(later[a:b]) in apart:
+                gone.update(range(a, b))
     return gone
 
 

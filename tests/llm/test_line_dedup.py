@@ -1,6 +1,7 @@
 """Line dedup against a plain alignment of all documents with the first holders of their lines."""
 
 import random
+import time
 
 import numpy as np
 
@@ -113,3 +114,47 @@ def test_blocks_of_lines_first_held_elsewhere_go(spark):
     found = {r["doc_id"]: [norm(x) for x in r["text"].split("\n") if norm(x)] for r in line_dedup.deduplicate_lines(docs).collect()}
     assert found == common_blocks(rows, line_dedup.MIN_WORDS)
     assert found[1004] == [("2",), ("3",)]
+
+
+def covered(first, later, sizes, min_words):
+    """Lines with words of ``later`` in any run of ``min_words`` words that ``first`` holds, by all pairs of places."""
+    gone, match = set(), [0] * (len(first) + 1)
+    for j, x in enumerate(later):
+        row = [0] * (len(first) + 1)
+        for i, y in enumerate(first):
+            row[i + 1] = match[i] + 1 if x == y else 0
+        match = row
+        n = max(row)
+        if sum(sizes[j - n + 1 : j + 1]) >= min_words:
+            gone.update(k for k in range(j - n + 1, j + 1) if later[k])
+    return gone
+
+
+def test_shared_lines_equal_all_common_runs():
+    pick = random.Random(8)
+    for _ in range(400):
+        values = pick.choice([[0, 1, 3], [0, 1, 3, 5, 7, 9], list(range(1, 60, 2))])
+        size_of = {x: 0 if x == 0 else 1 + x % 5 for x in values}
+        first, later = ([pick.choice(values) for _ in range(pick.randint(0, 30))] for _ in range(2))
+        if pick.random() < 0.5:
+            a, b = sorted(pick.choices(range(len(first) + 1), k=2))
+            later[pick.randint(0, len(later)) :] = first[a:b] + later[:5]
+        sizes = [size_of[x] for x in later]
+        gone = line_dedup.shared_lines(first, later, sizes, 10)
+        assert {j for j in gone if later[j]} == covered(first, later, sizes, 10)
+
+
+def test_long_repetitive_documents_take_little_time():
+    pick = random.Random(5)
+    cases = {
+        "three kinds": [pick.choice([1, 3, 5]) for _ in range(40_000)],
+        "one kind": [7] * 40_000,
+        "table": [x for i in range(13_333) for x in (1, 3, 2 * i + 11)],
+        "short cycle": [2 * (i % 97) + 1 for i in range(40_000)],
+    }
+    for name, lines in cases.items():
+        blocks = [lines[20_000:][i : i + 20] for i in range(0, 20_000, 20)]
+        for later in (lines[20_000:40_000], lines[19_990:39_990], [x for b in reversed(blocks) for x in b]):
+            started = time.process_time()
+            line_dedup.shared_lines(lines[:20_000], later, [4] * len(later), 10)
+            assert time.process_time() - started < 2, name
