@@ -6,8 +6,10 @@ words.  Two permutations make the whole signature: the first scatters hashes ove
 each further coordinate.  Coordinates are cut into bands; the number of bands follows
 from the threshold, so that a pair at the threshold is missed with at most ``MISS``.
 
-Texts with equal sets form one class, which its smallest document id stands for.  In a
-band's bucket every class is tied to the smallest one only, and what these ties connect is
+Texts with equal sets form one class, which its smallest document id stands for.  The classes of a
+band's bucket are compared by ``MARKS`` coordinates, of which a byte each is kept; those whose estimate lies
+so far below the threshold that chance explains it for ``FAR`` deviations at most are not tied, so texts that only share
+boilerplate do not meet.  Buckets of more than ``MEMBERS`` classes tie all to the smallest.  What the ties connect is
 a cluster.  A cluster is dealt into blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES``
 hashes; a task compares the full sets of one pair of blocks by counting what they share, and
 returns a spanning forest of the links.  So the candidate pairs of a large group of near copies
@@ -21,7 +23,7 @@ id are one node.  An empty table gives an empty result.  Other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,14 @@ from pyspark.sql import functions as F
 from logspark.llm import common, words
 
 SHINGLE_WORDS = 5
-ROWS = 4
+ROWS = 6
+MARKS = 96
+FAR = 5.5
+MEMBERS = 256
 MISS = 1e-5
 POSITIONS = 1 << 20
 _CHUNK = 1 << 14
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
+SIGNATURE_SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, marks binary"
 SET_SCHEMA = "doc_id long, cluster long, blocks long, shingles binary"
 LINK_SCHEMA = "a long, b long"
 BLOCK = 128
@@ -47,6 +52,11 @@ def bands_for(threshold: float) -> int:
     return ceil(log(MISS) / log(1 - threshold**ROWS))
 
 
+def least_agreement(threshold: float) -> int:
+    """Equal marks out of ``MARKS`` that a pair at the threshold has for all but a chance of about a ten-millionth."""
+    return max(1, int(MARKS * threshold - FAR * sqrt(MARKS * threshold * (1 - threshold))))
+
+
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each text) for runs of texts."""
     for row, data, offsets in words.text_groups(column):
@@ -71,6 +81,10 @@ class Circulant:
 
     def bands_of(self, sets: list[np.ndarray]) -> np.ndarray:
         """Band keys of each set; the number of the band is part of its key."""
+        return self.signed(sets)[0]
+
+    def signed(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(band keys, a byte of each of the first ``MARKS`` coordinates) of each set."""
         sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -85,7 +99,7 @@ class Circulant:
         key = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), (len(sets), self.bands)).copy()
         for i in range(ROWS):
             key = words.mix(key + rows[:, :, i])
-        return key.view(np.int64)
+        return key.view(np.int64), (words.mix(least[:, :MARKS].astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
@@ -93,14 +107,15 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Re
     other = np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         for row, sets in shingle_sets(batch.column("text")):
-            keys = circulant.bands_of(sets).ravel()
+            keys, marks = circulant.signed(sets)
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id").slice(row, len(sets)),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "key1": pa.array(np.array([words.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                     "key2": pa.array(np.array([words.mix(s ^ other).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                    "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys)),
+                    "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
+                    "marks": pa.array([m.tobytes() for m in marks], pa.binary()),
                 }
             )
 
@@ -142,6 +157,53 @@ def _links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(ids[ids != root]), "b": pa.array(root[ids != root])})
 
 
+def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Forest ties inside each bucket, of classes with ``least`` equal marks; rows come ordered by bucket and id."""
+    held = None
+    for batch in _and_last(batches):
+        table = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+        if table is None or not len(table):
+            continue
+        band = table.column("band").to_numpy()
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        done = len(table) if batch is None else int(starts[-1])
+        held = None if batch is None else table.slice(done)
+        starts = starts[starts < done]
+        if not len(starts):
+            continue
+        ids = table.column("doc_id").to_numpy()[:done]
+        marks = np.frombuffer(b"".join(table.column("marks").slice(0, done).to_pylist()), np.uint8).reshape(done, -1)
+        sizes = np.diff(starts, append=done)
+        two = starts[sizes == 2]
+        two = two[(marks[two] == marks[two + 1]).sum(1) >= least]
+        a, b = [ids[two + 1]], [ids[two]]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            own, members = marks[start : start + size], ids[start : start + size]
+            linked = np.stack([(own == one).sum(1) >= least for one in own])
+            root = members[common.smallest_reachable(linked)]
+            a.append(members[members != root])
+            b.append(root[members != root])
+        yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _ties(classes: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) of classes that share a bucket, such that every pair at the threshold that does is connected."""
+    sizes = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = common.stored(sizes, "minhash-buckets")  # as a table of its own it lets Spark split a frequent band's rows
+    small = classes.select("doc_id", "marks", F.explode("bands").alias("band")).join(sizes.where(F.col("n") <= MEMBERS).select("band"), "band")
+    dealt = small.repartition("band").sortWithinPartitions("band", "doc_id")
+    alike = dealt.mapInArrow(lambda batches: _alike(batches, least_agreement(percent / 100)), LINK_SCHEMA)
+    banded = classes.select("doc_id", F.explode("bands").alias("band")).join(sizes.where(F.col("n") > MEMBERS).select("band"), "band")
+    leaders = common.stored(banded.groupBy("band").agg(F.min("doc_id").alias("leader")), "minhash-leaders")
+    led = banded.join(leaders, "band").where("doc_id > leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    return common.stored(alike.union(led).distinct(), "minhash-ties")
+
+
 def _verified(ties: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold on full sets and connect all that is linked inside the clusters of ``ties``."""
     clusters = common.components(ties, "minhash-ties").toDF("doc_id", "cluster")
@@ -169,19 +231,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     signed = docs.mapInArrow(lambda batches: _signatures(batches, bands), SIGNATURE_SCHEMA)
     signed = common.stored(signed, "minhash")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("one"))
+    classes = full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "marks")).alias("one"))
     classes = common.stored(classes.select("key1", "key2", "one.*"), "minhash-classes")
 
-    banded = classes.select("doc_id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
-    leaders = common.stored(leaders, "minhash-leaders")  # as a table of its own it lets Spark split a frequent band's rows
-    ties = banded.join(leaders.drop("last"), "band").where("doc_id > leader")
-    ties = ties.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _verified(ties, classes, docs, percent)
+    links = _verified(_ties(classes, percent), classes, docs, percent)
     labels = common.components(links, "minhash-rounds").toDF("doc_id", "component")
     everyone = classes.select("key1", "key2", "doc_id").join(labels, "doc_id", "left")
     everyone = everyone.select("key1", "key2", F.coalesce("component", "doc_id").alias("found"), F.lit(True).alias("known"))
-    result = signed.drop("bands").withColumn("known", F.expr("n_shingles > 0 and doc_id is not null"))
+    result = signed.drop("bands", "marks").withColumn("known", F.expr("n_shingles > 0 and doc_id is not null"))
     result = result.join(everyone, ["key1", "key2", "known"], "left")
     result = result.withColumn("component_id", F.coalesce("found", "doc_id"))
     return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -104,3 +104,31 @@ def test_components_of_chains_and_stars(spark):
     expected = {**{i: 0 for i in range(201)}, **{500 + i: 500 for i in range(100)}, 900: 900, 901: 900}
     assert {r["node"]: r["component"] for r in rows} == expected
     assert len(rows) == len(expected)
+
+
+def test_texts_that_share_a_template_do_not_meet(spark):
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(5))
+    template = [word() for _ in range(100)]
+    # 96 shared shingles of 316 in the union: a similarity of 0.3.
+    rows = [(i, " ".join(template + [word() for _ in range(110)])) for i in range(1000)]
+    near = rows[17][1].split()
+    near[150] = "changed"
+    rows += [(5000, rows[3][1].upper()), (5001, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = docs.mapInArrow(lambda batches: minhash._signatures(batches, minhash.bands_for(0.8)), minhash.SIGNATURE_SCHEMA)
+    ties = minhash._ties(common.stored(signed, "signed"), 80)
+    sizes = common.components(ties, "template").groupBy("component").count().collect()
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in sizes) < 5000
+    kept = {r["doc_id"] for r in minhash.near_duplicates(docs, 80).collect() if not r["kept"]}
+    assert kept == {5000, 5001}
+
+
+def test_marks_of_a_pair_at_the_threshold_agree():
+    circulant = minhash.Circulant(minhash.bands_for(0.8))
+    low = []
+    for n in range(200):
+        base = minhash.words.mix(np.arange(n * 5000, n * 5000 + 1125, dtype=np.uint64))
+        marks = circulant.signed([base[:1000], base[125 : 125 + 1000]])[1]  # 875 of 1,125 shared: 0.78
+        low.append(int((marks[0] == marks[1]).sum()))
+    assert min(low) >= minhash.least_agreement(0.78) and minhash.least_agreement(0.8) > 0.5 * minhash.MARKS
