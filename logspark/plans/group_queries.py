@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from logspark import fixed
 from logspark.functions.guards import filter_commands
 from logspark.operators import commands, enrichment, grouping, serving
+from logspark.operators.scale import new_path
 from logspark.plans import inputs
 from logspark.plans.ingest_queries import shown_time
+from logspark.sources import insight_cache as stored_cache
 
 
 def severity_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +58,8 @@ def classify_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def insight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups first seen after mid-month against insights of the earlier ones."""
-    groups = inputs.groups(spark, sf_dir)
+def _early_insights(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Insights of the groups first seen before mid-month, and the groups of after it."""
     middle = F.lit("2024-01-16").cast("timestamp")
     early = groups.filter(F.col("first_seen") < middle)
     scored = enrichment.classify(enrichment.scoring_requests(early))
@@ -66,7 +67,10 @@ def insight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         early.select("group_id", "user_id", "fingerprint", F.col("first_seen").alias("created_at")),
         "group_id",
     ).withColumn("prompt_version", F.lit(fixed.PROMPT_VERSION))
-    looked_up = enrichment.with_cache(groups.filter(F.col("first_seen") >= middle), cache)
+    return cache, groups.filter(F.col("first_seen") >= middle)
+
+
+def _shown_cache(looked_up: DataFrame) -> DataFrame:
     return looked_up.select(
         "group_id",
         F.col("cached_payload").isNotNull().alias("from_cache"),
@@ -75,6 +79,21 @@ def insight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def insight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups first seen after mid-month against insights of the earlier ones."""
+    cache, late = _early_insights(inputs.groups(spark, sf_dir))
+    return _shown_cache(enrichment.with_cache(late, cache))
+
+
+def stored_insight_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored cache, whose batch is delivered twice."""
+    cache, late = _early_insights(inputs.groups(spark, sf_dir))
+    path = new_path(spark, "insight-cache")
+    for _ in range(2):
+        stored_cache.write_cache(cache, path)
+    return _shown_cache(stored_cache.with_stored_cache(late, path))
+
+
 def enriched_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = inputs.groups(spark, sf_dir)
     insights = enrichment.enrich(groups)
@@ -238,6 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_history_page": run_history_page,
     "classify_groups": classify_groups,
     "insight_cache": insight_cache,
+    "stored_insight_cache": stored_insight_cache,
     "enriched_groups": enriched_groups,
     "insight_validation": insight_validation,
     "token_cost": token_cost,

@@ -7,6 +7,7 @@ from logspark.plans.group_queries import OFFERED_COMMANDS
 from logspark.plans.incident_queries import GENERATED_AT
 from logspark.plans.oracle import (
     NEWLINE_SPLIT,
+    QUERIES,
     case_of,
     part,
     q,
@@ -174,6 +175,8 @@ WHERE g.first_seen >= TIMESTAMP '2024-01-16'
 """.replace("FROM groups g", "FROM classified g"),
 )
 
+QUERIES["stored_insight_cache"] = QUERIES["insight_cache"]
+
 
 def safe(command: str) -> str:
     text = strip(command)
@@ -543,6 +546,14 @@ UNION ALL SELECT file_id, 2, 'verifier', 'verify', 3 FROM checked
 )
 for _name in ("read_large_logs", "read_small_logs"):
     query(_name, ["log_lines"], "SELECT file_id, line_no, md5(raw) AS raw_md5 FROM log_lines")
+query(
+    "cited_lines",
+    ["long_log_lines"],
+    """
+WITH f AS (SELECT file_id, max(line_no) AS n FROM long_log_lines GROUP BY file_id ORDER BY n DESC, file_id LIMIT 1)
+SELECT file_id, line_no, md5(raw) AS raw_md5 FROM long_log_lines JOIN f USING (file_id) WHERE line_no BETWEEN n // 4 + 1 AND n // 4 + 40
+""",
+)
 query("ingested_batches", ["groups"], "SELECT group_id, user_id, file_id, level, n AS count FROM groups")
 query("tenant_groups", ["groups"], "SELECT group_id, file_id, level, n AS count FROM groups WHERE user_id = 3")
 query("versioned_severities", ["enriched"], "SELECT group_id, severity FROM enriched")

@@ -12,6 +12,7 @@ from logspark.operators import incident, report, retrieval, serving, telemetry
 from logspark.operators.scale import new_path
 from logspark.plans import inputs
 from logspark.plans.incident_queries import GENERATED_AT, newest_trace, report_inputs
+from logspark.sources import line_ranges
 from logspark.sources import lines as line_source
 from logspark.sources import manifest, sinks
 
@@ -39,6 +40,19 @@ def read_small_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_lines(line_source.read_small_files(spark, _written_logs(spark, sf_dir)))
 
 
+def cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty lines after a quarter of the longest file, found through the line index."""
+    folder, index = new_path(spark, "long-files"), new_path(spark, "line-index")
+    lines = inputs.long_log_lines(spark, sf_dir)
+    ordered = lines.repartition("file_id").sortWithinPartitions("file_id", "line_no")
+    ordered.select("file_id", F.col("raw").alias("value")).write.partitionBy("file_id").text(folder)
+    line_ranges.write_line_index(spark, folder, index)
+    longest = lines.groupBy("file_id").agg(F.max("line_no").alias("n")).orderBy(F.desc("n"), "file_id").first()
+    path = spark.read.format("binaryFile").load(f"{folder}/file_id={longest['file_id']}").select("path").first()["path"]
+    first = longest["n"] // 4 + 1
+    return _shown_lines(line_ranges.read_lines(spark, index, path, first, first + 39))
+
+
 def _stored_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of even and odd files as two batches; the first is delivered twice."""
     path = new_path(spark, "ingested")
@@ -130,6 +144,7 @@ def metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_large_logs": read_large_logs,
     "read_small_logs": read_small_logs,
+    "cited_lines": cited_lines,
     "ingested_batches": ingested_batches,
     "tenant_groups": tenant_groups,
     "versioned_severities": versioned_severities,
