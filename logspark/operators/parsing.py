@@ -2,6 +2,7 @@
 
 A format is a registry entry of Column builders:
 
+- ``may_match(line)`` is a cheap test that every line of the format passes;
 - ``extract(line)`` does the heavy work once, as one intermediate column;
 - ``matched(extracted)`` tells whether the line is of the format;
 - ``fields(line, raw, extracted, year)`` picks level, time text, message and text;
@@ -31,6 +32,10 @@ def _same(text: Column) -> Column:
     return text
 
 
+def _always(line: Column) -> Column:
+    return F.lit(True)
+
+
 @dataclass(frozen=True)
 class LogFormat:
     name: str
@@ -38,6 +43,7 @@ class LogFormat:
     matched: Callable[[Column], Column]
     fields: Callable[[Column, Column, Column, int], Column]
     clean: Callable[[Column], Column] = _same
+    may_match: Callable[[Column], Column] = _always
 
 
 def _fields(level: Column, time: Column, message: Column, text: Column) -> Column:
@@ -181,13 +187,16 @@ def _plain_fields(line: Column, raw: Column, fields: Column, year: int) -> Colum
 # --- registry ---------------------------------------------------------------------
 
 REGISTRY: list[LogFormat] = [
-    LogFormat("json", _json_pairs, lambda pairs: pairs.isNotNull(), _json_fields),
-    LogFormat("logfmt", _logfmt_pairs, _logfmt_matched, _logfmt_fields, clean=_logfmt_unquote),
+    LogFormat("json", _json_pairs, lambda pairs: pairs.isNotNull(), _json_fields, may_match=lambda line: line.startswith("{")),
+    LogFormat(
+        "logfmt", _logfmt_pairs, _logfmt_matched, _logfmt_fields, clean=_logfmt_unquote, may_match=lambda line: line.contains("=")
+    ),
     LogFormat(
         "syslog",
         lambda line: _captured(line, fixed.SYSLOG_LINE, 7),
         lambda fields: fields.isNotNull(),
         _syslog_fields,
+        may_match=lambda line: F.substring(line, 1, 3).isin(*fixed.MONTHS),
     ),
     LogFormat(
         "plain",
@@ -209,6 +218,11 @@ def _best_format(scores: list[tuple[str, Column]], fallback: str) -> Column:
     return F.when(best >= fixed.MIN_FORMAT_SCORE, ladder).otherwise(F.lit(fallback))
 
 
+def _matches(fmt: LogFormat, line: Column) -> Column:
+    """Whether the line is of the format; most lines of other formats fail the cheap test already."""
+    return F.when(fmt.may_match(line), F.coalesce(fmt.matched(fmt.extract(line)), F.lit(False))).otherwise(F.lit(False))
+
+
 def detect_formats(
     lines: DataFrame, registry: list[LogFormat] = REGISTRY, head_lines: int | None = None
 ) -> DataFrame:
@@ -219,9 +233,7 @@ def detect_formats(
     """
     specific = registry[:-1]
     line = strip(F.col("raw"))
-    sample = head_sample(lines, head_lines).select(
-        "file_id", *[f.matched(f.extract(line)).cast("int").alias(f.name) for f in specific]
-    )
+    sample = head_sample(lines, head_lines).select("file_id", *[_matches(f, line).cast("int").alias(f.name) for f in specific])
     scored = sample.groupBy("file_id").agg(*[F.avg(f.name).alias(f.name) for f in specific])
     scores = [(f.name, F.col(f.name)) for f in specific]
     return scored.select(
