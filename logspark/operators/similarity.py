@@ -72,12 +72,12 @@ def _bucket_ranks(vectors: DataFrame, dim: int) -> Column:
 
 
 def _prefix(ranks: Column, threshold: float) -> Column:
-    """Buckets a vector must share with any vector at or above the threshold.
+    """Entries ``bucket, rank, n, rest2`` that a vector must share with any vector at or above the threshold.
 
     Order the buckets from rare to frequent and drop the longest tail whose norm
     stays below ``threshold`` times the vector's norm.  Two vectors that share
     no bucket outside their tails have a smaller cosine, because the whole dot
-    product then lies in one vector's tail.
+    product then lies in one vector's tail.  ``rest2`` is the squared norm of what follows an entry.
     """
     ordered = F.array_sort(
         F.transform(
@@ -87,16 +87,17 @@ def _prefix(ranks: Column, threshold: float) -> Column:
             ),
         )
     )
+    kind = "array<struct<bucket:int,rank:int,n:bigint,rest2:bigint>>"
+    start = F.struct(F.col("norm2").alias("rest2"), F.array().cast(kind).alias("kept"))
     bound = F.lit(threshold * threshold - 1e-9) * F.col("norm2")
 
-    def kept(items: Column) -> Column:
-        def tail(i: Column) -> Column:
-            rest = F.slice(items, i + 1, F.size(items))
-            return F.aggregate(rest, F.lit(0).cast("long"), lambda acc, c: acc + c["n"] * c["n"])
+    def add(acc: Column, c: Column) -> Column:
+        rest2 = acc["rest2"] - c["n"] * c["n"]
+        entry = F.struct(c["bucket"].alias("bucket"), c["rank"].alias("rank"), c["n"].alias("n"), rest2.alias("rest2"))
+        kept = F.when(acc["rest2"] >= bound, F.array_append(acc["kept"], entry)).otherwise(acc["kept"])
+        return F.struct(rest2.alias("rest2"), kept.alias("kept"))
 
-        return F.filter(items, lambda c, i: tail(i) >= bound)
-
-    return F.transform(let(ordered, kept), lambda c: c["bucket"])
+    return F.aggregate(ordered, start, add, lambda acc: acc["kept"])
 
 
 def _dot(left: Column, right: Column) -> Column:
@@ -121,33 +122,43 @@ def similar_pairs(
 ) -> DataFrame:
     """All pairs of the same ``group`` with cosine at or above a positive threshold.
 
-    Both sides have ``group, item, counts, norm2``.  Only pairs that share a
-    prefix bucket are formed, and each is formed at its first shared bucket only,
-    so no distinct is needed and no pair is missed.
+    Both sides have ``group, item, counts, norm2``.  Rows that share a prefix bucket meet as ids and
+    numbers only, and are added up per pair.  What two vectors can still share lies behind the last bucket they met in, so the norms
+    of the two rests bound it; a pair that cannot reach the threshold goes before any vector is looked at.
     """
     ranks = _bucket_ranks(right, dim)
 
-    def keyed(side: DataFrame, tag: str) -> DataFrame:
-        prefixed = side.filter(F.col("norm2") > 0).withColumn("prefix", _prefix(ranks, threshold))
-        return prefixed.select(
-            group,
-            F.explode("prefix").alias("bucket"),
-            F.col(item).alias(f"{tag}_{item}"),
-            F.col("counts").alias(f"{tag}_counts"),
-            F.col("norm2").alias(f"{tag}_norm2"),
-            F.col("prefix").alias(f"{tag}_prefix"),
-        )
-
-    joined = keyed(left, "left").join(keyed(right, "right"), [group, "bucket"])
-    first_shared = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0))
-    at_first = joined.filter(first_shared == F.col("bucket"))
+    def numbered(side: DataFrame, tag: str) -> DataFrame:
+        kept = side.filter(F.col("norm2") > 0).select(group, item, "counts", "norm2", F.monotonically_increasing_id().alias("id"))
+        return cut(kept, f"similar_{tag}")
+
+    def postings(side: DataFrame, tag: str) -> DataFrame:
+        entries = side.select(group, "id", "norm2", F.explode(_prefix(ranks, threshold)).alias("e"))
+        named = [F.col(f"e.{c}").alias(f"{tag}_{c}") for c in ("n", "rest2")]
+        return entries.select(group, "e.bucket", "e.rank", F.col("id").alias(f"{tag}_id"), F.col("norm2").alias(f"{tag}_norm2"), *named)
+
+    lefts, rights = numbered(left, "left"), numbered(right, "right")
+    joined = postings(lefts, "left").join(postings(rights, "right").drop("rank"), [group, "bucket"])
+    rest = F.sqrt(F.col("left_rest2").cast("double") * F.col("right_rest2"))
+    met = joined.groupBy("left_id", "right_id").agg(
+        F.sum(F.col("left_n") * F.col("right_n")).alias("dot"),
+        F.max(F.struct("rank", rest.alias("rest"))).alias("last"),
+        F.max(F.col("left_norm2").cast("double") * F.col("right_norm2")).alias("norms"),
+    )
+    able = met.filter(F.col("dot") + F.col("last.rest") >= F.lit(threshold) * F.sqrt("norms") - 1e-6).select("left_id", "right_id")
+    both = able.join(_tagged(lefts, "left", group, item), "left_id").join(_tagged(rights.drop(group), "right", None, item), "right_id")
     score = cosine(
         _dot(F.col("left_counts"), F.col("right_counts")), F.col("left_norm2"), F.col("right_norm2")
     )
-    scored = at_first.select(group, f"left_{item}", f"right_{item}", score.alias("score"))
+    scored = both.select(group, f"left_{item}", f"right_{item}", score.alias("score"))
     return scored.filter(F.col("score") >= threshold)
 
 
+def _tagged(side: DataFrame, tag: str, group: str | None, item: str) -> DataFrame:
+    own = [F.col(c).alias(f"{tag}_{c}") for c in ("id", item, "counts", "norm2")]
+    return side.select(*([group] if group else []), *own)
+
+
 # --- similar incidents ---------------------------------------------------------------------
 
 
