@@ -25,9 +25,10 @@ def embed(texts: DataFrame, key: list[str], text: str, dim: int = fixed.VECTOR_D
 def template_index(groups: DataFrame) -> DataFrame:
     """Vector points of groups: one per group, with the columns a search returns.
 
-    Each distinct template is embedded once and joined back.
+    Each distinct template is embedded once and joined back from a table of its own, so that Spark
+    can split the rows of a template that a large share of all groups has.
     """
-    templates = embed(groups.select("template").distinct(), ["template"], "template")
+    templates = cut(embed(groups.select("template").distinct(), ["template"], "template"), "embedded_templates")
     return groups.select(
         F.col("group_id").alias("id"),
         "user_id",
