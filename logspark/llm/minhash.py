@@ -193,14 +193,17 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _ties(classes: DataFrame, percent: int) -> DataFrame:
     """Ties (a, b) of classes that share a bucket, such that every pair at the threshold that does is connected."""
-    sizes = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    banded = classes.select("doc_id", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = common.stored(sizes, "minhash-buckets")  # as a table of its own it lets Spark split a frequent band's rows
-    small = classes.select("doc_id", "marks", F.explode("bands").alias("band")).join(sizes.where(F.col("n") <= MEMBERS).select("band"), "band")
-    dealt = small.repartition("band").sortWithinPartitions("band", "doc_id")
+    # Ids and bands meet first, by one plan at every size; marks join the few rows that share a bucket.
+    members = common.stored(banded.join(sizes.hint("merge"), "band"), "minhash-members")
+    small = members.where(F.col("n") <= MEMBERS).join(classes.select("doc_id", "marks").hint("merge"), "doc_id")
+    dealt = small.select("band", "doc_id", "marks").repartition("band").sortWithinPartitions("band", "doc_id")
     alike = dealt.mapInArrow(lambda batches: _alike(batches, least_agreement(percent / 100)), LINK_SCHEMA)
-    banded = classes.select("doc_id", F.explode("bands").alias("band")).join(sizes.where(F.col("n") > MEMBERS).select("band"), "band")
-    leaders = common.stored(banded.groupBy("band").agg(F.min("doc_id").alias("leader")), "minhash-leaders")
-    led = banded.join(leaders, "band").where("doc_id > leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    large = members.where(F.col("n") > MEMBERS)
+    leaders = common.stored(large.groupBy("band").agg(F.min("doc_id").alias("leader")), "minhash-leaders")
+    led = large.join(leaders, "band").where("doc_id > leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     return common.stored(alike.union(led).distinct(), "minhash-ties")
 
 
