@@ -74,10 +74,21 @@ def _sign(batches, bits: int, tables: int):
             )
 
 
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column and the length of each row."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
 def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of packed components; single precision where that holds a row exactly."""
-    rows = [np.frombuffer(b.as_buffer(), np.float32 if len(b.as_buffer()) == 4 * width else np.float64) for b in column]
-    return np.stack(rows).astype(np.float64)
+    data, sizes = _bytes(column)
+    if (sizes == 4 * width).all():
+        return data.view(np.float32).reshape(-1, width).astype(np.float64)
+    rows = np.split(data, np.cumsum(sizes)[:-1])
+    return np.stack([r.view(np.float32 if len(r) == 4 * width else np.float64).astype(np.float64) for r in rows])
 
 
 def _links(group: pa.Table, threshold: float) -> pa.Table:
@@ -93,7 +104,7 @@ def _links(group: pa.Table, threshold: float) -> pa.Table:
     if low[0] != high[0]:
         linked &= block[:, None] != block[None, :]
     a, b = np.nonzero(linked)
-    signs = np.stack([np.frombuffer(b.as_buffer(), np.int32) for b in group.column("marks")])
+    signs = _bytes(group.column("marks"))[0].view(np.int32).reshape(len(rep), -1)
     for earlier in range(table):
         fresh = signs[a, earlier] != signs[b, earlier]
         a, b = a[fresh], b[fresh]
