@@ -39,7 +39,7 @@ FAR = 5.5
 MEMBERS = 256
 MISS = 1e-5
 POSITIONS = 1 << 20
-_CHUNK = 1 << 14
+_CHUNK = 1 << 12
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, marks binary"
 SET_SCHEMA = "doc_id long, cluster long, blocks long, shingles binary"
 LINK_SCHEMA = "a long, b long"
@@ -95,10 +95,10 @@ class Circulant:
             starts = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
             part = np.minimum.reduceat(self.shifted[place[a : a + _CHUNK]], starts, axis=0)
             least[whose[starts]] = np.minimum(least[whose[starts]], part)
-        rows = least.reshape(len(sets), self.bands, ROWS).astype(np.uint64)
+        rows = least.reshape(len(sets), self.bands, ROWS)
         key = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), (len(sets), self.bands)).copy()
         for i in range(ROWS):
-            key = words.mix(key + rows[:, :, i])
+            key = words.mix(key + rows[:, :, i].astype(np.uint64))
         return key.view(np.int64), (words.mix(least[:, :MARKS].astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
