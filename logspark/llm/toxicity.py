@@ -34,21 +34,24 @@ from logspark.llm import common, words
 
 BUCKETS = 1 << 18
 MAX_ROWS = 40_000
-SHARD_ROWS = 5_000
-ROUNDS, PASSES = 2, 4
+SHARD_ROWS = 4_000
+SHARD_BYTES = 16 << 20
+ROUNDS, PASSES = 10, 1
 _SHARES = 1 << 30
-ROW_SCHEMA = "shard int, draw long, label int, buckets binary, values binary"
+ROW_SCHEMA = "shard int, draw long, label int, buckets binary, times binary"
+SHARD_SCHEMA = "shard int, labels binary, sizes binary, buckets binary, times binary"
 CHANGE_SCHEMA = "bucket int, z double, n double"
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double"
 
 
 class Rates(NamedTuple):
-    """Learning rate scale and offset, and the L1 and L2 weights of FTRL-proximal."""
+    """Learning rate scale and offset, the L1 and L2 weights of FTRL-proximal, and the weight of a toxic row's loss."""
 
     alpha: float = 30.0
     beta: float = 0.1
-    l1: float = 0.4
+    l1: float = 0.7
     l2: float = 0.0
+    positive: float = 2.0
 
 
 RATES = Rates()
@@ -78,7 +81,7 @@ def learn(state: State, rows: Iterator[tuple[int, np.ndarray, np.ndarray]], rate
     for label, bucket, value in rows:
         at, x = np.append(bucket, BUCKETS), np.append(value, 1.0)
         w = weights(z[at], n[at], rates, at == BUCKETS)
-        gradient = (chance(w @ x) - label) * x
+        gradient = (chance(w @ x) - label) * x * (rates.positive if label else 1.0)
         grown = n[at] + gradient**2
         z[at] += gradient - (np.sqrt(grown) - np.sqrt(n[at])) / rates.alpha * w
         n[at] = grown
@@ -116,17 +119,33 @@ def scores(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> np.ndar
     return chance(total / np.sqrt(count) + weight[-1])
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, values) of each text."""
+def counts(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, how often each occurs) of each text."""
     text, bucket = occurrences(data, offsets)
     key, times = np.unique(text * BUCKETS + bucket, return_counts=True)
     first = np.searchsorted(key, np.arange(len(offsets)) * BUCKETS)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append((key[a:b] % BUCKETS, times[a:b] / np.sqrt(max(times[a:b].sum(), 1))))
+        out.append((key[a:b] % BUCKETS, times[a:b]))
     return out
 
 
+def values(times: np.ndarray) -> np.ndarray:
+    """Counts over the square root of their sum."""
+    return times / np.sqrt(max(int(times.sum()), 1))
+
+
+def _narrow(times: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return times.astype(np.min_scalar_type(int(times.max(initial=0)))).tobytes()
+
+
+def _wide(data: bytes | np.ndarray, n: int) -> np.ndarray:
+    """``n`` counts as they were before ``_narrow``."""
+    raw = np.frombuffer(data, np.uint8)
+    return raw.view(f"u{max(len(raw) // max(n, 1), 1)}").astype(np.int64)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
@@ -154,41 +173,57 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = batch.select(["shard", "draw", "label"])
         for row, data, offsets in words.text_groups(batch.column("text")):
-            found = features(data, offsets)
+            found = counts(data, offsets)
             buckets = pa.array([b.astype(np.int32).tobytes() for b, _ in found], pa.binary())
-            values = pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())
+            times = pa.array([_narrow(t) for _, t in found], pa.binary())
             own = kept.slice(row, len(found))
-            yield pa.RecordBatch.from_arrays([*own.columns, buckets, values], ["shard", "draw", "label", "buckets", "values"])
+            yield pa.RecordBatch.from_arrays([*own.columns, buckets, times], ["shard", "draw", "label", "buckets", "times"])
 
 
-def training_rows(drawn: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 29) -> DataFrame:
-    """Stored (shard, draw, label, buckets, values): the features of each drawn row, its shard and place there."""
-    dealt = common.stored(drawn.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text", "label")), "toxicity-drawn")
-    shards = max(1, -(-dealt.count() // shard_rows))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
-    return common.stored(dealt.select("shard", "draw", "label", "text").mapInArrow(_rows, ROW_SCHEMA), "toxicity-rows")
+def _packed(table: pa.Table) -> pa.Table:
+    """A shard's rows in the order of their draw as one row, so that later passes read it without a shuffle."""
+    table = table.sort_by([("draw", "ascending"), ("label", "ascending")])
+    sizes = np.array([len(b.as_buffer()) // 4 for b in table.column("buckets")], np.int64)
+    times = [_wide(t.as_buffer(), n) for t, n in zip(table.column("times"), sizes.tolist(), strict=True)]
+    joined = {"buckets": b"".join(table.column("buckets").to_pylist()), "times": _narrow(np.concatenate(times))}
+    labels = table.column("label").to_numpy().astype(np.int8)
+    shard = table.column("shard")[0].as_py()
+    row = {"labels": labels.tobytes(), "sizes": sizes.tobytes(), **joined}
+    return pa.table({"shard": pa.array([shard], pa.int32()), **{c: pa.array([v], pa.binary()) for c, v in row.items()}})
 
 
-def _changes(table: pa.Table, state: State, rates: Rates) -> pa.Table:
-    """What a shard's passes change in the state."""
-    table = table.sort_by("draw")
-    labels = table.column("label").to_pylist()
-    buckets = [np.frombuffer(b.as_buffer(), np.int32) for b in table.column("buckets")]
-    values = [np.frombuffer(v.as_buffer(), np.float32) for v in table.column("values")]
-    now, seen = state, np.zeros(len(state.z), bool)
-    for _ in range(PASSES):
-        now, once = learn(now, zip(labels, buckets, values, strict=True), rates)
-        seen |= once
-    at = np.flatnonzero(seen)
-    return pa.table({"bucket": pa.array(at, pa.int32()), "z": now.z[at] - state.z[at], "n": now.n[at] - state.n[at]})
+def training_shards(drawn: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 29) -> DataFrame:
+    """The features of all drawn rows, a stored row per shard; a shard has ``shard_rows`` rows and ``SHARD_BYTES`` of text on average at most."""
+    dealt = common.stored(drawn.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text", "label")), "toxicity-drawn")
+    rows, size = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-rows // shard_rows), -(-size // SHARD_BYTES))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
+    features_of = dealt.select("shard", "draw", "label", "text").mapInArrow(_rows, ROW_SCHEMA)
+    return common.stored(features_of.groupBy("shard").applyInArrow(_packed, SHARD_SCHEMA), "toxicity-shards")
 
 
-def fit(rows: DataFrame, rates: Rates = RATES, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of all coordinates after ``rounds`` rounds; the driver receives at most ``BUCKETS`` short rows a round."""
+def _changes(batches: Iterator[pa.RecordBatch], state: State, rates: Rates) -> Iterator[pa.RecordBatch]:
+    """What the passes of each shard change in the state."""
+    for batch in batches:
+        for i in range(len(batch)):
+            read = lambda name, kind, i=i: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+            labels, sizes = read("labels", np.int8).tolist(), read("sizes", np.int64)
+            times = _wide(read("times", np.uint8), int(sizes.sum())).astype(np.int32)
+            buckets, times = (np.split(part, np.cumsum(sizes)[:-1]) for part in (read("buckets", np.int32), times))
+            now, seen = state, np.zeros(len(state.z), bool)
+            for _ in range(PASSES):
+                now, once = learn(now, zip(labels, buckets, map(values, times), strict=True), rates)
+                seen |= once
+            at = np.flatnonzero(seen)
+            yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "z": now.z[at] - state.z[at], "n": now.n[at] - state.n[at]})
+
+
+def fit(shards: DataFrame, rates: Rates = RATES, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of all coordinates after ``rounds`` rounds over stored shards; the driver receives at most ``BUCKETS`` short rows a round."""
     state = empty_state()
     for _ in range(rounds):
         start = state
-        changes = rows.groupBy("shard").applyInArrow(lambda table: _changes(table, start, rates), CHANGE_SCHEMA)
+        changes = shards.mapInArrow(lambda batches: _changes(batches, start, rates), CHANGE_SCHEMA)
         mean = changes.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         at = mean.column("bucket").to_numpy()
         z, n = start.z.copy(), start.n.copy()
@@ -210,8 +245,8 @@ def _score(batches: Iterator[pa.RecordBatch], at: np.ndarray, kept: np.ndarray)
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; ``labels`` has (doc_id, toxic)."""
-    rows = training_rows(draw(docs, labels, max_rows))
-    weight = fit(rows) if not rows.isEmpty() else np.zeros(BUCKETS + 1)
+    shards = training_shards(draw(docs, labels, max_rows))
+    weight = fit(shards) if not shards.isEmpty() else np.zeros(BUCKETS + 1)
     at = np.flatnonzero(weight)
     kept = weight[at]
     texts = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
