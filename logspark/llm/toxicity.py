@@ -31,16 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import common, words
+from logspark.operators.scale import new_path
 
 BUCKETS = 1 << 18
 MAX_ROWS = 40_000
-SHARD_ROWS = 4_000
-SHARD_BYTES = 16 << 20
+SHARD_ROWS = 2_500
+SHARD_BYTES = 10 << 20
 ROUNDS, PASSES = 10, 1
 _SHARES = 1 << 30
 ROW_SCHEMA = "shard int, draw long, label int, buckets binary, times binary"
 SHARD_SCHEMA = "shard int, labels binary, sizes binary, buckets binary, times binary"
-CHANGE_SCHEMA = "bucket int, z double, n double"
+CHANGE_SCHEMA = "z binary, n binary, seen binary"
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double"
 
 
@@ -49,9 +50,9 @@ class Rates(NamedTuple):
 
     alpha: float = 30.0
     beta: float = 0.1
-    l1: float = 0.7
+    l1: float = 0.6
     l2: float = 0.0
-    positive: float = 2.0
+    positive: float = 1.5
 
 
 RATES = Rates()
@@ -199,7 +200,11 @@ def training_shards(drawn: DataFrame, shard_rows: int = SHARD_ROWS, seed: int =
     shards = max(1, -(-rows // shard_rows), -(-size // SHARD_BYTES))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
     features_of = dealt.select("shard", "draw", "label", "text").mapInArrow(_rows, ROW_SCHEMA)
-    return common.stored(features_of.groupBy("shard").applyInArrow(_packed, SHARD_SCHEMA), "toxicity-shards")
+    packed = features_of.groupBy("shard").applyInArrow(_packed, SHARD_SCHEMA)
+    path = new_path(drawn.sparkSession, "toxicity-shards")
+    # A file per shard keeps Spark from reading many of them into one batch.
+    packed.write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
+    return drawn.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
 
 def _changes(batches: Iterator[pa.RecordBatch], state: State, rates: Rates) -> Iterator[pa.RecordBatch]:
@@ -214,22 +219,25 @@ def _changes(batches: Iterator[pa.RecordBatch], state: State, rates: Rates) -> I
             for _ in range(PASSES):
                 now, once = learn(now, zip(labels, buckets, map(values, times), strict=True), rates)
                 seen |= once
-            at = np.flatnonzero(seen)
-            yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "z": now.z[at] - state.z[at], "n": now.n[at] - state.n[at]})
+            changed = {"z": (now.z - state.z).astype(np.float32), "n": (now.n - state.n).astype(np.float32), "seen": np.packbits(seen)}
+            yield pa.record_batch({c: pa.array([v.tobytes()], pa.binary()) for c, v in changed.items()})
 
 
 def fit(shards: DataFrame, rates: Rates = RATES, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of all coordinates after ``rounds`` rounds over stored shards; the driver receives at most ``BUCKETS`` short rows a round."""
+    """Weights of all coordinates after ``rounds`` rounds over stored shards.
+
+    The driver receives about eight bytes a coordinate from each shard; the bound on drawn rows bounds the shards.
+    """
     state = empty_state()
     for _ in range(rounds):
         start = state
         changes = shards.mapInArrow(lambda batches: _changes(batches, start, rates), CHANGE_SCHEMA)
-        mean = changes.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        at = mean.column("bucket").to_numpy()
-        z, n = start.z.copy(), start.n.copy()
-        z[at] += mean.column("z").to_numpy()
-        n[at] += mean.column("n").to_numpy()
-        state = State(z, n)
+        z, n, seen = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1, np.int64)
+        for row in changes.collect():
+            z += np.frombuffer(row["z"], np.float32)
+            n += np.frombuffer(row["n"], np.float32)
+            seen += np.unpackbits(np.frombuffer(row["seen"], np.uint8), count=BUCKETS + 1)
+        state = State(start.z + z / np.maximum(seen, 1), start.n + n / np.maximum(seen, 1))
     return weights(state.z, state.n, rates, np.arange(BUCKETS + 1) == BUCKETS)
 
 
