@@ -34,7 +34,7 @@ from logspark.llm import common, words
 from logspark.operators.scale import new_path
 
 BUCKETS = 1 << 18
-MAX_ROWS = 40_000
+MAX_ROWS = 32_000
 SHARD_ROWS = 2_500
 SHARD_BYTES = 10 << 20
 ROUNDS, PASSES = 10, 1
