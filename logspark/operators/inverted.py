@@ -27,7 +27,7 @@ from logspark import fixed
 from logspark.functions.text import question_tokens
 from logspark.functions.vectors import bucket_counts, squared_norm
 from logspark.operators.retrieval import window_shapes
-from logspark.operators.scale import cut, new_path
+from logspark.operators.scale import cut, new_path, unsized
 
 BLOCK_WINDOWS = 256
 QUESTIONS_A_BATCH = 256
@@ -112,7 +112,7 @@ def index_blocks(lines: DataFrame, max_chunks: int | None = None) -> DataFrame:
     high = F.least(F.col("last_chunk"), F.floor(at / F.col("stride")))
     # A line lies in at most two windows unless ``max_chunks`` widened them, so in at most two blocks.
     blocks = F.array_distinct(F.transform(F.array(low, high), lambda c: F.floor(c / BLOCK_WINDOWS)))
-    placed = lines.join(shapes, "file_id").where(low <= high)
+    placed = lines.join(unsized(shapes), "file_id").where(low <= high)
     placed = placed.select("file_id", "line_no", F.lower("raw").alias("text"), "stride", "window", "total", "last_chunk", F.explode(blocks).alias("block"))
     kind = dict(lines.dtypes)["file_id"]
     schema = f"file_id {kind}, block long, {_PLACE}, {_TERMS}, {_VECTORS}"
@@ -203,7 +203,7 @@ def _scores(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 def _batched(asked: DataFrame, key: list[str]) -> DataFrame:
     """Questions of each key in batches of about ``QUESTIONS_A_BATCH``: (key, asked)."""
     sizes = asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUESTIONS_A_BATCH).alias("batches"))
-    dealt = asked.join(sizes, key).withColumn("batch", F.pmod(F.xxhash64("question_id"), F.col("batches")))
+    dealt = asked.join(unsized(sizes), key).withColumn("batch", F.pmod(F.xxhash64("question_id"), F.col("batches")))
     one = F.struct("question_id", "tokens", "buckets", "n", "norm2", "floor")
     return dealt.groupBy(*key, "batch").agg(F.collect_list(one).alias("asked")).drop("batch")
 
@@ -232,26 +232,26 @@ def search(
     index = spark.read.parquet(path)
     asked = cut(_questions(questions, min_score), "index-questions")
     files = asked.select("file_id").distinct()
-    long_files = index.where("block = 1").select("file_id").join(files, "file_id", "left_semi")
+    long_files = index.where("block = 1").select("file_id").join(unsized(files), "file_id", "left_semi")
     kinds = dict(questions.dtypes)
     found_schema = f"question_id {kinds['question_id']}, file_id {kinds['file_id']}, stride long, window long, total long, chunk_no long, score double"
 
     def scored(pairs: DataFrame, name: str) -> DataFrame:
-        met = index.join(_batched(pairs, BLOCK), BLOCK)
+        met = index.join(unsized(_batched(pairs, BLOCK)), BLOCK)
         return cut(_best(met.mapInArrow(lambda batches: _scores(batches, k), found_schema), k), name)
 
-    short = asked.join(long_files, "file_id", "left_anti").withColumn("block", F.lit(0).cast("long"))
-    in_long = asked.join(long_files, "file_id", "left_semi")
-    summaries = index.select(*BLOCK, "terms", "bucket_max").join(_batched(in_long, ["file_id"]), "file_id")
+    short = asked.join(unsized(long_files), "file_id", "left_anti").withColumn("block", F.lit(0).cast("long"))
+    in_long = asked.join(unsized(long_files), "file_id", "left_semi")
+    summaries = index.select(*BLOCK, "terms", "bucket_max").join(unsized(_batched(in_long, ["file_id"])), "file_id")
     bound_schema = f"question_id {kinds['question_id']}, file_id {kinds['file_id']}, block long, bound double"
     bounds = cut(summaries.mapInArrow(lambda batches: _bounds(batches, min_score), bound_schema), "index-bounds")
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("bound"), "block"))
     promising = bounds.withColumn("turn", turn).where("turn = 1").select("question_id", "block")
-    first = scored(short.unionByName(in_long.join(promising, "question_id")), "index-first")
+    first = scored(short.unionByName(in_long.join(unsized(promising), "question_id")), "index-first")
     weakest = first.where(F.col("rank") == k).select("question_id", F.col("score").alias("weakest"))
-    rest = bounds.join(promising.withColumnRenamed("block", "done"), "question_id").where("block != done")
-    rest = rest.join(weakest, "question_id", "left").where(F.col("bound") >= F.coalesce("weakest", F.lit(min_score)))
-    again = in_long.drop("floor").join(rest.select("question_id", "block", F.coalesce("weakest", F.lit(min_score)).alias("floor")), "question_id")
+    rest = bounds.join(unsized(promising.withColumnRenamed("block", "done")), "question_id").where("block != done")
+    rest = rest.join(unsized(weakest), "question_id", "left").where(F.col("bound") >= F.coalesce("weakest", F.lit(min_score)))
+    again = in_long.drop("floor").join(unsized(rest.select("question_id", "block", F.coalesce("weakest", F.lit(min_score)).alias("floor"))), "question_id")
     found = first.drop("rank").unionByName(scored(again, "index-rest").drop("rank"))
     start: Column = F.col("chunk_no") * F.col("stride")
     return _best(found, k).select(

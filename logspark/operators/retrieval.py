@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logspark import fixed
 from logspark.functions.text import is_blank, question_tokens, retrieval_tokens, scrub
 from logspark.functions.vectors import bucket_counts, cosine, squared_norm
-from logspark.operators.scale import cut, join_to_many
+from logspark.operators.scale import cut, join_to_many, unsized
 
 CHUNK = ["file_id", "chunk_no"]
 
@@ -124,16 +124,16 @@ def _term_matches(terms: DataFrame, wanted: DataFrame) -> DataFrame:
     usable = F.filter("lengths", lambda n: n <= F.length("term"))
     heads = (
         vocabulary.withColumn("head", F.substring("term", 1, 2))
-        .join(lengths, ["file_id", "head"])
+        .join(unsized(lengths), ["file_id", "head"])
         .select("file_id", "term", F.explode(usable).alias("n"))
         .select("file_id", "term", F.expr("substring(term, 1, n)").alias("token"))
     )
-    longer_terms = heads.join(wanted, ["file_id", "token"])
+    longer_terms = heads.join(unsized(wanted), ["file_id", "token"])
     cuts = F.when(F.length("token") > 2, F.sequence(F.lit(2), F.length("token") - 1))
     token_heads = wanted.select("file_id", "token", F.explode(cuts).alias("n")).select(
         "file_id", "token", F.expr("substring(token, 1, n)").alias("term")
     )
-    longer_tokens = token_heads.join(vocabulary, ["file_id", "term"])
+    longer_tokens = token_heads.join(unsized(vocabulary), ["file_id", "term"])
     columns = ["file_id", "token", "term"]
     return longer_terms.select(*columns).union(longer_tokens.select(*columns))
 
@@ -155,17 +155,17 @@ def score_chunks(windowed: DataFrame, questions: DataFrame) -> DataFrame:
     terms = cut(chunk_terms(windowed), "chunk_terms")
     matches = _term_matches(terms, tokens.select("file_id", "token").distinct())
     token_chunks = (
-        terms.join(matches, ["file_id", "term"]).select(*CHUNK, "token").distinct()
+        terms.join(unsized(matches), ["file_id", "term"]).select(*CHUNK, "token").distinct()
     )
     zero = F.lit(0).cast("long")
-    covered = token_chunks.join(tokens, ["file_id", "token"]).select(
+    covered = token_chunks.join(unsized(tokens), ["file_id", "token"]).select(
         "question_id", *CHUNK, F.lit(1).cast("long").alias("hits"), zero.alias("dot")
     )
     buckets = cut(chunk_buckets(windowed), "chunk_buckets")
     question_buckets = asked.select("question_id", "file_id", F.explode("counts").alias("c")).select(
         "question_id", "file_id", "c.bucket", F.col("c.n").alias("question_n")
     )
-    products = buckets.join(question_buckets, ["file_id", "bucket"]).select(
+    products = buckets.join(unsized(question_buckets), ["file_id", "bucket"]).select(
         "question_id", *CHUNK, zero.alias("hits"), (F.col("n") * F.col("question_n")).alias("dot")
     )
     sums = (
@@ -175,7 +175,7 @@ def score_chunks(windowed: DataFrame, questions: DataFrame) -> DataFrame:
     )
     norms = buckets.groupBy(*CHUNK).agg(F.sum(F.col("n") * F.col("n")).alias("chunk_norm2"))
     sizes = asked.select("question_id", "file_id", F.size("tokens").alias("n_tokens"), "question_norm2")
-    joined = sums.join(norms, CHUNK, "left").join(sizes, ["question_id", "file_id"])
+    joined = sums.join(unsized(norms), CHUNK, "left").join(unsized(sizes), ["question_id", "file_id"])
     coverage = F.when(F.col("n_tokens") > 0, F.col("hits") / F.col("n_tokens")).otherwise(F.lit(0.0))
     likeness = cosine(
         F.col("dot"), F.coalesce("chunk_norm2", F.lit(0)), F.col("question_norm2")
@@ -187,7 +187,7 @@ def score_chunks(windowed: DataFrame, questions: DataFrame) -> DataFrame:
 def asked_windows(lines: DataFrame, questions: DataFrame, max_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Window shapes and windowed lines of the files that have a question."""
     asked = questions.select("file_id").distinct()
-    shapes = window_shapes(lines, max_chunks).join(asked, "file_id", "left_semi")
+    shapes = window_shapes(lines, max_chunks).join(unsized(asked), "file_id", "left_semi")
     return shapes, windowed_lines(lines, shapes)
 
 
@@ -203,7 +203,7 @@ def retrieve(
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_no"))
     ranked = strong.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     start = F.col("chunk_no") * F.col("stride")
-    return ranked.join(shapes, "file_id").select(
+    return ranked.join(unsized(shapes), "file_id").select(
         "question_id",
         *CHUNK,
         "rank",
@@ -219,8 +219,8 @@ def retrieve(
 def retrieved_texts(windowed: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Add the text to retrieved windows; other windows are dropped before grouping."""
     needed = retrieved.select(*CHUNK).distinct()
-    texts = windowed.join(needed, CHUNK, "left_semi").groupBy(*CHUNK).agg(_joined_text().alias("text"))
-    return retrieved.join(texts, CHUNK)
+    texts = windowed.join(unsized(needed), CHUNK, "left_semi").groupBy(*CHUNK).agg(_joined_text().alias("text"))
+    return retrieved.join(unsized(texts), CHUNK)
 
 
 def answers(windowed: DataFrame, retrieved: DataFrame, questions: DataFrame, quote_chars: int | None = None) -> DataFrame:
@@ -234,7 +234,7 @@ def answers(windowed: DataFrame, retrieved: DataFrame, questions: DataFrame, quo
     shown = retrieved_texts(windowed, kept).withColumn("text", scrub(F.col("text")))
     entry = F.struct("rank", "start_line", "end_line", "text")
     ranked = shown.groupBy("question_id").agg(F.array_sort(F.collect_list(entry)).alias("found"))
-    joined = questions.join(ranked, "question_id", "left")
+    joined = questions.join(unsized(ranked), "question_id", "left")
 
     def section(c: Column) -> Column:
         header = F.format_string(fixed.CITATION, c["start_line"], c["end_line"])

@@ -84,6 +84,15 @@ def checked_broadcast(df: DataFrame, name: str, max_bytes: int = BROADCAST_BYTES
     return table, False
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """Mark a side whose size Spark cannot know before it runs, so that it is not broadcast on a guess.
+
+    What is exploded or put together from a small stored table is guessed as small as that table, and
+    repeated texts take almost no room in its files: rows of many times that size would pass through the driver.
+    """
+    return df.hint("merge")
+
+
 def join_to_many(
     many: DataFrame,
     one: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.vectors import bucket_counts, squared_norm
 from logspark.operators import knn, retrieval, similarity
+from logspark.operators.scale import cut
 
 
 def plain_vector(text):
@@ -185,3 +186,18 @@ def test_knn_takes_string_ids(spark):
     assert sorted((r["rank"], r["match_id"]) for r in found) == [(1, "p09"), (2, "p11")] or sorted(
         r["match_id"] for r in found
     ) == ["p09", "p11"]
+
+
+def test_questions_are_not_broadcast_on_a_guess(spark):
+    """A small file of files with questions explodes into rows of any number; only measured tables are broadcast."""
+    lines = spark.range(200).selectExpr("id % 20 as file_id", "id div 20 + 1 as line_no", "concat('database timeout ', id) as raw")
+    files = cut(spark.range(20).withColumnRenamed("id", "file_id"), "files")
+    asked = files.select("file_id", F.explode(F.array(F.lit("why did the database time out?"), F.lit("redis"))).alias("question"))
+    questions = asked.withColumn("question_id", F.xxhash64("file_id", "question"))
+    shapes, windowed = retrieval.asked_windows(lines, questions)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(shapes)
+    found = retrieval.retrieve(cut(windowed, "windowed"), cut(shapes, "shapes"), questions)
+    assert "Broadcast" not in plan(found)
+    answers = retrieval.answers(cut(windowed, "windowed"), found, questions)
+    assert "Broadcast" not in plan(answers) and answers.where("answered").count() == 20
