@@ -12,38 +12,18 @@ One writer at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from logspark.operators import knn
-from logspark.operators.scale import cut
+from logspark.operators.scale import cut, unsized
 
 ROWS_A_BUCKET = 1_000_000
 LEAST_BUCKETS = 16
 KEY = ["tenant", "id"]
 
 
-def with_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add ``cell``, the nearest pivot, and ``angle`` to it; other columns stay."""
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                angles = np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
-                cell = angles.argmin(axis=1)
-                added = [pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "cell", "angle"])
-
-    schema = StructType([*rows.schema.fields, StructField("cell", IntegerType()), StructField("angle", DoubleType())])
-    return rows.mapInArrow(placed, schema)
-
-
 def _newest(points: DataFrame) -> DataFrame:
     """The last version of each point; equal versions are settled by a hash of the vector."""
     order = Window.partitionBy(*KEY).orderBy(F.desc("version"), F.desc(F.xxhash64("vector")))
@@ -71,7 +51,7 @@ class VectorStore:
         pivots = [(i, [float(x) for x in v], buckets) for i, v in enumerate(knn._pivots(first, cells))]
         spark.createDataFrame(pivots, "cell int, vector array<double>, buckets long").write.mode("overwrite").parquet(f"{path}/pivots")
         store = cls(spark, path)
-        placed = cut(with_cells(first, store.pivots), "store-placed")
+        placed = cut(knn.with_cells(first, store.pivots), "store-placed")
         store._replace(placed, store._located(placed))
         return store
 
@@ -80,13 +60,13 @@ class VectorStore:
 
     def upsert(self, new: DataFrame) -> int:
         """Write points; a stored point of a later version stays.  Returns the number of cells that were replaced."""
-        newest = cut(with_cells(_newest(new), self.pivots), "store-new")
-        buckets = self._values(newest.select(self._bucket().alias("bucket")), "bucket")
+        newest = cut(knn.with_cells(_newest(new), self.pivots), "store-new")
+        buckets = knn.distinct_values(newest.select(self._bucket().alias("bucket")), "bucket")
         known = self._table("ids").where(F.col("bucket").isin(buckets))
         old = known.select(*KEY, F.col("version").alias("old_version"), F.col("cell").alias("old_cell"))
         met = newest.join(old, KEY, "left").where("old_version is null or old_version <= version")
         accepted = cut(met, "store-accepted")
-        cells = self._values(accepted.select(F.explode(F.array_compact(F.array("cell", "old_cell"))).alias("cell")), "cell")
+        cells = knn.distinct_values(accepted.select(F.explode(F.array_compact(F.array("cell", "old_cell"))).alias("cell")), "cell")
         if not cells:
             return 0
         entering = accepted.drop("old_version", "old_cell")
@@ -96,26 +76,17 @@ class VectorStore:
         self._replace(content, cut(kept_ids, "store-ids"), cells)
         return len(cells)
 
-    def search(self, queries: DataFrame, k: int, skip_same_id: bool = False, block_rows: int = 512) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, skip_same_id: bool = False, block_rows: int | None = None) -> DataFrame:
         """``tenant, query_id, match_id, score, rank``: the exact ``k`` nearest points of each query (tenant, id, vector).
 
         Only cells that hold a query, or may hold a point nearer than the ``k``-th found there, are read.
         """
-        kinds = (dict(self.points().dtypes)["tenant"], dict(queries.dtypes)["id"], dict(self.points().dtypes)["id"])
-        asked = cut(with_cells(queries.select("id", "tenant", "vector"), self.pivots), "store-queries")
-
-        def found(visits: DataFrame, name: str) -> DataFrame:
-            read = self.points().where(F.col("cell").isin(self._values(visits.select("cell"), "cell")))
-            blocks = knn._packed(read.select("id", "tenant", "vector", "cell"), block_rows, "p")
-            met = knn._packed(visits.select("id", "tenant", "vector", "cell"), block_rows, "q").join(blocks, knn.CELL)
-            return cut(knn._ranked(knn._best_in_blocks(met, k, skip_same_id, kinds), k), name)
-
-        first = found(asked, "store-own")
-        bounds = first.where(F.col("rank") == k).select("tenant", F.col("query_id").alias("id"), F.col("score").alias("bound"))
-        radii = self._table("radii").where("tenant is not null").select("tenant", "cell", "nearest", "farthest")
-        visits = cut(knn._cells_to_visit(asked, radii, bounds, self.pivots), "store-visits")
-        rest = found(visits, "store-rest")
-        return knn._ranked(first.drop("rank").unionByName(rest.drop("rank")), k)
+        placed = knn.with_cells(queries.select("id", "tenant", "vector").where("tenant is not null"), self.pivots)
+        asked = cut(placed, "store-queries")
+        sizes = self.points().groupBy(*knn.CELL).agg(F.count(F.lit(1)).alias("n"))
+        cells = self._table("radii").select("tenant", "cell", "nearest", "farthest").join(unsized(sizes), knn.CELL)
+        read = lambda some: self.points().where(F.col("cell").isin(some))
+        return knn.search_cells(asked, read, cells, self.pivots, k, skip_same_id, block_rows)
 
     def _bucket(self):
         return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.buckets)).cast("int")
@@ -123,10 +94,6 @@ class VectorStore:
     def _located(self, placed: DataFrame) -> DataFrame:
         return placed.select(*KEY, "version", "cell", self._bucket().alias("bucket"))
 
-    def _values(self, rows: DataFrame, name: str) -> list[int]:
-        """Distinct cells or buckets: a bounded number of them, whatever the number of rows."""
-        return sorted(r[name] for r in rows.distinct().collect())
-
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 

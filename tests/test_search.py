@@ -188,6 +188,35 @@ def test_knn_takes_string_ids(spark):
     ) == ["p09", "p11"]
 
 
+def noted_cuts(monkeypatch, *modules):
+    """Rows of every table that a module stores, by its name."""
+    sizes = {}
+
+    def noted(df, name):
+        table = cut(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    for module in modules:
+        monkeypatch.setattr(module, "cut", noted)
+    return sizes
+
+
+def test_a_query_is_not_copied_for_every_cell(spark, monkeypatch):
+    sizes = noted_cuts(monkeypatch, knn)
+    vectors = np.random.default_rng(6).normal(size=(200, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, 0, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, tenant long, vector array<double>")
+    found = knn.nearest_neighbours(points, points, 3, skip_same_id=True, n_pivots=40, block_rows=64)
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -1)
+    assert sorted((r["query_id"], r["rank"], r["match_id"]) for r in found.collect()) == [
+        (q, n, int(m)) for q in range(200) for n, m in enumerate(np.argsort(-scores[q])[:3], 1)
+    ]
+    # Such vectors visit nearly all of the 40 cells; a result has at most a row for each of the 4 blocks and ranks.
+    assert max(sizes.values()) <= 200 * 4 * 3
+
+
 def test_questions_are_not_broadcast_on_a_guess(spark):
     """A small file of files with questions explodes into rows of any number; only measured tables are broadcast."""
     lines = spark.range(200).selectExpr("id % 20 as file_id", "id div 20 + 1 as line_no", "concat('database timeout ', id) as raw")

@@ -4,7 +4,8 @@ from pathlib import Path
 
 import numpy as np
 
-from logspark.operators.scale import new_path
+from logspark.operators import knn, vector_store
+from logspark.operators.scale import cut, new_path
 from logspark.operators.vector_store import VectorStore
 
 SCHEMA = "id string, tenant long, version int, vector array<double>"
@@ -79,3 +80,23 @@ def test_a_cell_that_loses_all_points_is_empty(spark):
     store.upsert(table(spark, vectors[[1]], 2, [0]))
     assert sorted((r["id"], r["vector"][1]) for r in store.points().collect()) == [("p000", 1.0), ("p001", 1.0), ("p002", 0.0)]
     assert store.upsert(table(spark, vectors[:0], 2, [])) == 0
+
+
+def test_a_search_does_not_copy_queries_for_every_cell(spark, monkeypatch):
+    sizes = {}
+
+    def noted(df, name):
+        stored = cut(df, name)
+        sizes[name] = stored.count()
+        return stored
+
+    vectors = unit(np.random.default_rng(7).normal(size=(200, 16)))
+    store = VectorStore.create(table(spark, vectors), new_path(spark, "store"), cells=30)
+    for module in (knn, vector_store):
+        monkeypatch.setattr(module, "cut", noted)
+    # Matrices of a task hold some rows at a time, whatever the number of cells and points.
+    monkeypatch.setattr(knn, "MATRIX", 256, raising=False)
+    points = {f"p{i:03}": (int(i % 3 == 0), v) for i, v in enumerate(vectors)}
+    queries = table(spark, vectors[:100])
+    assert found(store, queries, 2) == brute(points, [(r["id"], r["tenant"], np.array(r["vector"])) for r in queries.collect()], 2)
+    assert max(sizes.values()) <= 100 * 2
