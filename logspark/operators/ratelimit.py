@@ -11,6 +11,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,16 +78,23 @@ def _by_chunk(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFra
             current = keys[a]
 
 
-def _fold(frames: Iterator[pd.DataFrame], times: int, seconds: int) -> Iterator[pd.DataFrame]:
-    """Admit the instants of each chunk, whose first row holds the times carried into it."""
+def _fold(batches: Iterator[pa.RecordBatch], times: int, seconds: int) -> Iterator[pa.RecordBatch]:
+    """Admit the instants of each chunk, whose first row holds the times carried into it.
+
+    Most chunks are a hit or two, so a batch is one pass over plain numbers, whatever the number of its chunks.
+    """
     log = SlidingLog(times, seconds)
-    for begins, rows in _by_chunk(frames):
-        if begins:
-            log = SlidingLog(times, seconds, list(rows["carry"].iloc[0]))
-            rows = rows.iloc[1:]
-        admitted = [log.admit(us, hits) for us, hits in zip(rows["us"].tolist(), rows["hits"].tolist(), strict=True)]
-        rows = rows[[*KEY, "us", "hits"]].assign(admitted=admitted)
-        yield rows.assign(rejected=rows["hits"] - rows["admitted"])
+    for batch in batches:
+        admitted: list[int] = []
+        for us, hits, carry in zip(*(batch.column(c).to_pylist() for c in ("us", "hits", "carry")), strict=True):
+            if carry is not None:
+                log = SlidingLog(times, seconds, carry)
+            else:
+                admitted.append(log.admit(us, hits))
+        rows = batch.filter(pc.is_null(batch.column("carry")))
+        taken = pa.array(admitted, pa.int64())
+        columns = [*(rows.column(c) for c in (*KEY, "us", "hits")), taken, pc.subtract(rows.column("hits"), taken)]
+        yield pa.RecordBatch.from_arrays(columns, [*KEY, "us", "hits", "admitted", "rejected"])
 
 
 def _end_states(frames: Iterator[pd.DataFrame], times: int, seconds: int) -> Iterator[pd.DataFrame]:
@@ -174,4 +183,5 @@ def admitted_hits(requests: DataFrame, times: int, seconds: int, chunk_instants:
     parts = cut(_independent_parts(instants, seconds, chunk_instants), "rate_parts")
     empty = F.lit(None).cast("array<long>")
     marks = _carried(parts, times, seconds).select(*PART, "carry", empty.alias("old"), empty.alias("end"))
-    return _dealt(parts, marks).mapInPandas(lambda frames: _fold(frames, times, seconds), ADMITTED)
+    rows = _dealt(parts, marks).select(*KEY, "us", "hits", "carry")
+    return rows.mapInArrow(lambda batches: _fold(batches, times, seconds), ADMITTED)

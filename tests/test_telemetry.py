@@ -1,6 +1,7 @@
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,15 @@ def test_live_windows_group_errors(spark, lines_of):
     )
     state = final_state(spark, run_to_table(stream, "live_groups"), ["window", *streams.GROUP_KEYS])
     assert [r["count"] for r in state.collect()] == [1, 1]
+
+
+def test_keys_of_one_hit_are_decided_in_one_batch():
+    """A batch of many short chunks leaves as one batch, not as one for each of them."""
+    rows = [(f"/p{i}", "c", us, 1, [] if us < 0 else None) for i in range(500) for us in (-1, 5, 6, 7)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)],
+        ["path", "client_ip", "us", "hits", "carry"],
+    )
+    (found,) = ratelimit._fold([batch], 2, 10)
+    assert found.num_rows == 1500 and found.column("admitted").to_pylist() == [1, 1, 0] * 500
+    assert found.column("rejected").to_pylist() == [0, 0, 1] * 500
