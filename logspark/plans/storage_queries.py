@@ -20,8 +20,7 @@ from logspark.sources import manifest, sinks
 def _written_logs(spark: SparkSession, sf_dir: str) -> str:
     """The log lines as text files, one folder per log."""
     path = new_path(spark, "log-files")
-    lines = inputs.log_lines(spark, sf_dir).repartition("file_id").sortWithinPartitions("file_id", "line_no")
-    lines.select("file_id", F.col("raw").alias("value")).write.partitionBy("file_id").text(path)
+    sinks.write_text_folders(inputs.log_lines(spark, sf_dir), path, "file_id", ["line_no"], "raw")
     return path
 
 
@@ -44,8 +43,7 @@ def cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first forty lines after a quarter of the longest file, found through the line index."""
     folder, index = new_path(spark, "long-files"), new_path(spark, "line-index")
     lines = inputs.long_log_lines(spark, sf_dir)
-    ordered = lines.repartition("file_id").sortWithinPartitions("file_id", "line_no")
-    ordered.select("file_id", F.col("raw").alias("value")).write.partitionBy("file_id").text(folder)
+    sinks.write_text_folders(lines, folder, "file_id", ["line_no"], "raw", long_files=True)
     line_ranges.write_line_index(spark, folder, index)
     longest = lines.groupBy("file_id").agg(F.max("line_no").alias("n")).orderBy(F.desc("n"), "file_id").first()
     path = spark.read.format("binaryFile").load(f"{folder}/file_id={longest['file_id']}").select("path").first()["path"]

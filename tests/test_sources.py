@@ -111,3 +111,29 @@ def test_reports_leave_as_markdown_files(spark):
     shown = {int(r.file_id): r.markdown for r in sinks.read_report_markdown(spark, path).collect()}
     assert shown[2] == "".join(f"run 2 section {s} part {q}\nend\n" for s in (1, 2) for q in (0, 1)) and len(shown) == 2
     assert len(list(Path(path, "file_id=1").glob("*.txt"))) == 1
+
+
+def test_text_folders_are_files_as_spark_names_them(spark):
+    for long_files in (False, True):
+        path = str(folder() / "logs")
+        rows = spark.range(3000).selectExpr("id % 3 as f", "id as n", "if(id = 4, null, concat('line ', id)) as t").repartition(7)
+        sinks.write_text_folders(rows.union(spark.sql("select null, 1L, 'é'")), path, "f", ["n"], "t", long_files)
+        expected = {str(f): "".join(f"line {n}\n" if n != 4 else "\n" for n in range(f, 3000, 3)) for f in range(3)}
+        found = {p.parent.name: p.read_text() for p in Path(path).glob("*/*")}
+        assert found == {f"f={f}": text for f, text in expected.items()} | {"f=__HIVE_DEFAULT_PARTITION__": "é\n"}
+        sinks.write_text_folders(rows.where("f = 1"), path, "f", ["n"], "t", long_files)
+        assert [(r.f, r.value) for r in spark.read.text(path, wholetext=True).collect()] == [(1, expected["1"])]
+
+
+def test_a_long_file_is_not_sorted_in_one_task(spark, monkeypatch):
+    """Lines of one file leave through as many sorted pieces as there are tasks."""
+    pieces = []
+    monkeypatch.setattr(sinks, "cut", lambda df, name: pieces.append(cut(df, name)) or pieces[-1])
+    path = str(folder() / "logs")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_text_folders(spark.range(4000).selectExpr("1 as f", "id as n", "string(id) as t"), path, "f", ["n"], "t", long_files=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pieces[0].count() > 1
+    assert Path(path, "f=1", "part-0.txt").read_text() == "".join(f"{n}\n" for n in range(4000))
