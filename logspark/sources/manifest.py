@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logspark import fixed
 from logspark.functions.text import is_blank
-from logspark.operators.scale import join_to_many
+from logspark.operators.scale import cut, join_to_many
 
 
 def _suffix(filename: Column) -> Column:
@@ -52,9 +52,10 @@ def manifest_of_files(spark: SparkSession, path: str, user_id: str) -> DataFrame
     within = F.col("length") <= fixed.MAX_UPLOAD_BYTES
     accepted = files.filter(within).withColumn("content_hash", F.sha2("content", 256)).drop("content")
     oversized = files.filter(~within).drop("content").withColumn("content_hash", F.lit(None).cast("string"))
+    read = cut(accepted.unionByName(oversized), "manifest")  # the files are opened once, for the rows and to find empty ones
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     reason = F.when(~within, F.lit("too large")).when(F.col("length") == 0, F.lit("empty"))
-    rows = accepted.unionByName(oversized).unionByName(_empty_files(spark, files))
+    rows = read.unionByName(_empty_files(spark, files, read))
     return rows.select(
         F.col("path").alias("file_id"),
         F.lit(user_id).alias("user_id"),
@@ -67,12 +68,12 @@ def manifest_of_files(spark: SparkSession, path: str, user_id: str) -> DataFrame
     )
 
 
-def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Rows of the listed files that the reader of ``files`` passes over."""
+def _empty_files(spark: SparkSession, files: DataFrame, read: DataFrame) -> DataFrame:
+    """Rows of the listed files that the reader of ``files`` has passed over: those not in ``read``."""
     # The listing writes local paths with three slashes and escapes, the reader with one and none.
     names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
     listed = spark.createDataFrame(names, "path string")
-    empty = listed.join(files.select("path"), "path", "left_anti")
+    empty = listed.join(read.select("path"), "path", "left_anti")
     return empty.select(
         "path",
         F.lit(None).cast("timestamp").alias("modificationTime"),
