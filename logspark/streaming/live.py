@@ -21,6 +21,7 @@ from logspark.operators import telemetry
 from logspark.operators.ratelimit import SlidingLog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+KEY_BUCKETS = 1024  # states that the keys of a stream share; it must not change while a checkpoint is in use
 ERROR_RATIO, MEAN_LATENCY = "error_ratio", "mean_latency"
 
 
@@ -253,10 +254,12 @@ RATE_KEY = ["path", "client_ip"]
 
 
 class RateProcessor(StatefulProcessor):
-    """Admits the hits of one key in order of time, instant by instant.
+    """Admits the hits of the keys of one bucket in order of time, instant by instant.
 
-    Rows are closed instants: all before the watermark, each once.  The state holds the
-    times of admitted hits that may still matter, at most ``times`` of them, and a timer drops it when none does.
+    Rows are closed instants: all before the watermark, each once.  The state holds, for each key, the
+    times of admitted hits that may still matter, at most ``times`` of them; keys without any are dropped, with
+    the next rows or by a timer.  Most keys are hit once or twice, and a state of its own for each would be some calls to the
+    state store a key; a bucket takes its keys in one.
     """
 
     def __init__(self, times: int, seconds: int):
@@ -264,41 +267,54 @@ class RateProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getValueState("recent", "us array<long>")
+        self.recent = handle.getValueState("recent", "keys array<struct<path: string, client_ip: string, us: array<long>>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        log = SlidingLog(self.times, self.seconds, list(self.recent.get()[0]) if self.recent.exists() else None)
-        for us, hits in sorted((row["us"], row["hits"]) for row in rows):
+        logs = {(k[0], k[1]): SlidingLog(self.times, self.seconds, list(k[2])) for k in self._held()}
+        for us, path, client, hits in sorted(((r["us"], r["path"], r["client_ip"], r["hits"]) for r in rows), key=lambda r: r[0]):
+            log = logs.get((path, client))
+            if log is None:
+                log = logs[path, client] = SlidingLog(self.times, self.seconds)
             admitted = log.admit(us, hits)
-            yield Row(path=key[0], client_ip=key[1], us=us, hits=hits, admitted=admitted, rejected=hits - admitted)
-        self.recent.update((list(log.recent),))
-        if log.recent:
-            self.handle.registerTimer(self._end_ms(log.recent[-1]))
+            yield Row(path=path, client_ip=client, us=us, hits=hits, admitted=admitted, rejected=hits - admitted)
+        self._keep([(*k, list(log.recent)) for k, log in logs.items()], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.recent.exists():
-            recent = self.recent.get()[0]
-            if not recent or self._end_ms(recent[-1]) <= timerValues.getCurrentWatermarkInMs():
-                self.recent.clear()
+        self._keep(self._held(), timerValues)
         yield from ()
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> list:
+        return self.recent.get()[0] if self.recent.exists() else []
+
+    def _keep(self, keys: list, timerValues) -> None:
+        """Store the keys that a later hit may still meet, and come back when none is left."""
+        now = timerValues.getCurrentWatermarkInMs()
+        open_keys = [tuple(k) for k in keys if k[2] and self._end_ms(k[2][-1]) > now]
+        if open_keys:
+            self.recent.update((open_keys,))
+            self.handle.registerTimer(max(self._end_ms(k[2][-1]) for k in open_keys))
+        else:
+            self.recent.clear()
+
     def _end_ms(self, us: int) -> int:
         return us // 1000 + self.seconds * 1000 + 1
 
 
 def rate_decisions(
-    requests: DataFrame, times: int, seconds: int, watermark: str = fixed.WATERMARK
+    requests: DataFrame, times: int, seconds: int, watermark: str = fixed.WATERMARK, buckets: int = KEY_BUCKETS
 ) -> DataFrame:
     """(path, client_ip, us, hits, admitted, rejected) once the watermark has passed an instant.
 
     Hits that wait for the watermark are counts per (path, client, instant) in the state of an
     aggregation, spread over all tasks whatever their key.  A key's own state is at most
-    ``times`` numbers; its task sees a count per instant of the micro-batch, not its hits.
+    ``times`` numbers, held with those of the other keys of its bucket; its task sees a count per instant of the micro-batch,
+    not its hits.
     """
     counted = requests.withWatermark("ts", watermark).groupBy(*RATE_KEY, "ts").agg(F.count(F.lit(1)).alias("hits"))
     closed = counted.select(*RATE_KEY, F.unix_micros("ts").alias("us"), "hits", "ts")
     schema = "path string, client_ip string, us long, hits long, admitted long, rejected long"
-    return closed.groupBy(*RATE_KEY).transformWithState(RateProcessor(times, seconds), schema, "append", "eventTime")
+    closed = closed.withColumn("bucket", F.pmod(F.xxhash64(*RATE_KEY), F.lit(buckets)).cast("int"))
+    return closed.groupBy("bucket").transformWithState(RateProcessor(times, seconds), schema, "append", "eventTime")
