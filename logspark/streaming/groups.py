@@ -15,7 +15,9 @@ from logspark import fixed
 from logspark.functions.text import fingerprint, severity_of_level
 from logspark.operators import grouping
 
+KEY_BUCKETS = 4096  # states that the groups of a stream share; it must not change while a checkpoint is in use
 GROUP = "count long, first_us long, last_us long, lines array<struct<line_no:bigint,text:string>>"
+_HELD = "file_id: {}, level: string, template: string, generation: long, touched: long, count: long, first_us: long, last_us: long, lines: array<struct<line_no: bigint, text: string>>"
 _LINE = pa.struct([("line_no", pa.int64()), ("text", pa.string())])
 
 
@@ -44,47 +46,65 @@ def partial_groups(errors: DataFrame, k: int = fixed.SAMPLES_PER_GROUP) -> DataF
 
 
 class GroupProcessor(StatefulProcessor):
-    """Running totals of one group and its first ``k`` lines by line number.
+    """Running totals of the groups of one bucket and their first ``k`` lines by line number.
 
     Event time is the time of arrival, so no line is late, and the watermark follows it at a distance.  When it
     has passed a group's last line, the group is dropped from the state.  If lines of it
     come later, they start another generation, known by the time of its first row; generations of a
-    group add up to what one would have held.
+    group add up to what one would have held.  The groups of a bucket are read and stored at once, as a
+    state of its own for each would be some calls to the state store a group.
     """
 
-    def __init__(self, k: int):
-        self.k = k
+    def __init__(self, k: int, file_kind: str = "bigint"):
+        self.k, self.file_kind = k, file_kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", f"generation long, touched long, {GROUP}")
+        self.total = handle.getValueState("total", f"groups array<struct<{_HELD.format(self.file_kind)}>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        generation, now, count, first, last, lines = self.total.get() if self.total.exists() else (None, 0, 0, None, None, [])
-        held = [(line[0], line[1]) for line in lines]
+        width = len(grouping.IDENTITY)
+        held = {g[:width]: list(g[width:]) for g in self._held()}
+        touched = {}
         for row in rows:
-            now = max(now, row["arrived_ms"])
-            generation = row["arrived_ms"] if generation is None else generation
-            count += row["count"]
+            name = tuple(row[c] for c in grouping.IDENTITY)
+            generation, now, count, first, last, lines = held.get(name) or (row["arrived_ms"], 0, 0, None, None, [])
             first = min((t for t in (first, row["first_us"]) if t is not None), default=None)
             last = max((t for t in (last, row["last_us"]) if t is not None), default=None)
-            held = nsmallest(self.k, held + [(line["line_no"], line["text"]) for line in row["lines"]])
-        self.total.update((generation, now, count, first, last, held))
-        self.handle.registerTimer(now + 1)
-        lines = [Row(line_no=n, text=text) for n, text in held]
-        named = dict(zip(grouping.IDENTITY, key, strict=True))
-        yield Row(**named, generation=generation, count=count, first_us=first, last_us=last, lines=lines)
+            lines = nsmallest(self.k, lines + [(line["line_no"], line["text"]) for line in row["lines"]])
+            held[name] = touched[name] = [generation, max(now, row["arrived_ms"]), count + row["count"], first, last, lines]
+        for name, (generation, _, count, first, last, lines) in touched.items():
+            named = dict(zip(grouping.IDENTITY, name, strict=True))
+            shown = [Row(line_no=n, text=text) for n, text in lines]
+            yield Row(**named, generation=generation, count=count, first_us=first, last_us=last, lines=shown)
+        self._keep([(*name, *total) for name, total in held.items()], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.total.exists() and self.total.get()[1] < timerValues.getCurrentWatermarkInMs():
-            self.total.clear()
+        self._keep(self._held(), timerValues)
         yield from ()
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> list[tuple]:
+        """The stored groups as plain tuples: rows out of the state cannot be stored again."""
+        groups = self.total.get()[0] if self.total.exists() else []
+        return [(*g[:-1], [(line[0], line[1]) for line in g[-1]]) for g in groups]
+
+    def _keep(self, groups: list[tuple], timerValues) -> None:
+        """Store the groups that the watermark has not passed, and come back when it has passed all of them."""
+        touched = len(grouping.IDENTITY) + 1
+        kept = [g for g in groups if g[touched] >= timerValues.getCurrentWatermarkInMs()]
+        if kept:
+            self.total.update((kept,))
+            self.handle.registerTimer(max(g[touched] for g in kept) + 1)
+        else:
+            self.total.clear()
+
 
-def streaming_sampled_groups(errors: DataFrame, k: int = fixed.SAMPLES_PER_GROUP, idle_s: int = 86_400) -> DataFrame:
+def streaming_sampled_groups(
+    errors: DataFrame, k: int = fixed.SAMPLES_PER_GROUP, idle_s: int = 86_400, buckets: int = KEY_BUCKETS
+) -> DataFrame:
     """Totals and samples of every group that a micro-batch touches, from a stream of error lines.
 
     The state of a group is five numbers and ``k`` lines, and is dropped after about ``idle_s`` seconds
@@ -94,7 +114,8 @@ def streaming_sampled_groups(errors: DataFrame, k: int = fixed.SAMPLES_PER_GROUP
     schema = f"file_id {kind}, level string, template string, generation long, {GROUP}"
     arrived = partial_groups(errors, k).withColumn("arrived", F.current_timestamp())
     arrived = arrived.withColumn("arrived_ms", F.unix_millis("arrived")).withWatermark("arrived", f"{idle_s} seconds")
-    return arrived.groupBy(*grouping.IDENTITY).transformWithState(GroupProcessor(k), schema, "update", "eventTime")
+    arrived = arrived.withColumn("bucket", F.pmod(F.xxhash64(*grouping.IDENTITY), F.lit(buckets)).cast("int"))
+    return arrived.groupBy("bucket").transformWithState(GroupProcessor(k, kind), schema, "update", "eventTime")
 
 
 def finish_sampled_groups(spark: SparkSession, path: str, k: int = fixed.SAMPLES_PER_GROUP) -> DataFrame:

@@ -157,3 +157,28 @@ def test_log_files_that_arrive_in_parts(spark):
     key = lambda frame: sorted(map(str, frame.select(batch.columns).collect()))
     assert key(again.lines()) == key(batch)
     assert {r.file_id for r in again.lines(waiting=False).collect()} == {"a", "b"}
+
+
+def state_rows(query):
+    return max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"] if op["operatorName"].startswith("transformWithState"))
+
+
+def run_noted(spark, stream, mode):
+    path = new_path(spark, "noted")
+    query = stream.writeStream.option("checkpointLocation", new_path(spark, "c")).trigger(availableNow=True).outputMode(mode)
+    query = query.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch_id={n}")).start()
+    query.awaitTermination()
+    return path, query
+
+
+def test_keys_of_a_bucket_share_a_state(spark, lines_of):
+    rows = [(i, f"/p{i % 97}", 200, 0.1, f"c{i % 5}") for i in range(600)]
+    table = in_time_files(request_table(spark, rows), "ts", 3, "hits")
+    parsed = parsing.parse_log(lines_of({f: [f"2026-03-01 08:00:00 ERROR job of kind{'abcdefghij'[i % 10]} lost" for i in range(40)] for f in range(20)}), 2026)
+    errors = in_files(grouping.error_lines(parsed), "line_no", 3, "errors")
+    with live.timers(spark):
+        path, query = run_noted(spark, live.rate_decisions(read_table_stream(spark, table, 1), 2, 60, "60 seconds", buckets=4), "append")
+        assert 0 < state_rows(query) <= 4 * 2  # a state and its timer
+        path, query = run_noted(spark, groups.streaming_sampled_groups(read_table_stream(spark, errors, 1), buckets=4), "update")
+        assert 0 < state_rows(query) <= 4 * 4
+    assert sorted(map(tuple, groups.finish_sampled_groups(spark, path).collect())) == sorted(map(tuple, grouping.error_groups(parsed).collect()))
