@@ -20,6 +20,7 @@ from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,66 +47,125 @@ def _bucket(token: str) -> int:
     return int.from_bytes(sha1(token.encode()).digest()[:4], "big") % DIM
 
 
-def _pairs(found: list[list[int]], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, entry) of every entry of every line, once for each of the line's windows."""
-    sizes = np.array([len(x) for x in found])
-    entries = np.fromiter((e for x in found for e in x), np.int64, int(sizes.sum()))
-    first, last = np.repeat(low, sizes), np.repeat(high, sizes)
-    twice = last > first
-    return np.concatenate([first, last[twice]]), np.concatenate([entries, entries[twice]])
+def _pairs(line: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``line``, window) of every entry, once for each window of its line."""
+    first, last = low[line], high[line]
+    twice = np.flatnonzero(last > first)
+    return np.concatenate([np.arange(len(line)), twice]), np.concatenate([first, last[twice]])
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """The index row of one block from its lines."""
-    stride, window, total, last_chunk, block = (table.column(c)[0].as_py() for c in ("stride", "window", "total", "last_chunk", "block"))
-    first_chunk = block * BLOCK_WINDOWS
-    size = min(BLOCK_WINDOWS, last_chunk + 1 - first_chunk)
-    at = table.column("line_no").to_numpy() - 1
-    low = np.maximum(-(-(at - window + 1) // stride), 0) - first_chunk
-    high = np.minimum(at // stride, last_chunk) - first_chunk
-    low, high = np.maximum(low, 0), np.minimum(high, size - 1)
-    vocabulary: dict[str, int] = {}
-    buckets: dict[str, int] = {}
+def _lists(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where a block begins, in lines ordered by block."""
+    if not len(table):
+        return np.zeros(0, np.int64)
+    other = np.ones(len(table), bool)
+    columns = [table.column(c).combine_chunks() for c in BLOCK]
+    other[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns], axis=0)
+    return np.flatnonzero(other)
+
+
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(line, number) of every term, the terms in order, and the buckets of all terms with their count per term.
+
+    A run of letters never leaves the term around it, so a text's buckets are those of its terms.
+    """
     term_re, vector_re = re.compile(fixed.RETRIEVAL_TOKEN), re.compile(fixed.VECTOR_TOKEN)
-    terms, counted = [], []
-    for text in table.column("text").to_pylist():
-        terms.append([vocabulary.setdefault(t, len(vocabulary)) for t in set(term_re.findall(text))])
-        own = []
-        for token in vector_re.findall(text):
-            if token not in buckets:
-                buckets[token] = _bucket(token)
-            own.append(buckets[token])
-        counted.append(own)
-    order = sorted(vocabulary)
-    rank = np.zeros(len(order), np.int64)
-    rank[[vocabulary[t] for t in order]] = np.arange(len(order))
-    windows, entry = _pairs(terms, low, high)
-    held = np.unique(rank[entry] * size + windows) if len(entry) else entry
-    counts = np.zeros((DIM, size), np.int64)
-    windows, entry = _pairs(counted, low, high)
-    np.add.at(counts, (entry, windows), 1)
-    norm2 = (counts * counts).sum(axis=0)
-    bucket, where = np.nonzero(counts)
-    largest = (counts / np.sqrt(np.maximum(norm2, 1))).max(axis=1)
-    row = {
-        "file_id": table.column("file_id").slice(0, 1).combine_chunks(),
-        "block": [block], "stride": [stride], "window": [window], "total": [total], "first_chunk": [first_chunk],
-        "terms": [order],
-        "term_first": [np.searchsorted(held // size, np.arange(len(order) + 1)).astype(np.int32)],
-        "term_windows": [(held % size).astype(np.int32)],
-        "norm2": [norm2],
-        "bucket_first": [np.searchsorted(bucket, np.arange(DIM + 1)).astype(np.int32)],
-        "bucket_windows": [where.astype(np.int32)],
-        "bucket_n": [counts[bucket, where]],
-        "bucket_max": [largest],
-    }
-    lists = {"terms": pa.list_(pa.string()), "bucket_max": pa.list_(pa.float64()), "norm2": pa.list_(pa.int64()), "bucket_n": pa.list_(pa.int64())}
-    lists |= {c: pa.list_(pa.int32()) for c in ("term_first", "term_windows", "bucket_first", "bucket_windows")}
-    return pa.table({c: pa.array(v, lists[c]) if c in lists else v for c, v in row.items()})
+    found = [term_re.findall(x or "") for x in texts]
+    line = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    coded = pa.array([t for x in found for t in x], pa.string()).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    terms = coded.dictionary.take(pa.array(order))
+    known: dict[str, int] = {}
+    buckets = []
+    for term in terms.to_pylist():
+        own = vector_re.findall(term)
+        for token in own:
+            if token not in known:
+                known[token] = _bucket(token)
+        buckets.append([known[token] for token in own])
+    flat = np.fromiter((x for own in buckets for x in own), np.int64)
+    return line, rank[coded.indices.to_numpy()], terms, flat, np.array([len(x) for x in buckets], np.int64)
+
+
+def _build(table: pa.Table) -> pa.RecordBatch:
+    """The index rows of whole blocks from their lines, which are ordered by block."""
+    starts = _starts(table)
+    n_blocks, n_lines = len(starts), np.diff(np.append(starts, len(table)))
+    of = np.repeat(np.arange(n_blocks), n_lines)
+    stride, window, last_chunk, block, line_no = (table.column(c).to_numpy() for c in ("stride", "window", "last_chunk", "block", "line_no"))
+    first_chunk = block * BLOCK_WINDOWS
+    size = np.minimum(BLOCK_WINDOWS, last_chunk + 1 - first_chunk)
+    at = line_no - 1
+    low = np.maximum(np.maximum(-(-(at - window + 1) // stride), 0) - first_chunk, 0)
+    high = np.minimum(np.minimum(at // stride, last_chunk) - first_chunk, size - 1)
+
+    line, rank, order, flat, n_flat = _tokens(table.column("text").to_pylist())
+    entry, where = _pairs(line, low, high)
+    n_terms = max(len(order), 1)
+    held = np.unique((of[line[entry]] * n_terms + rank[entry]) * BLOCK_WINDOWS + where)
+    pair, first = np.unique(held // BLOCK_WINDOWS, return_index=True)
+    held_by, terms_by = (np.bincount(x // n_terms, minlength=n_blocks) for x in (held // BLOCK_WINDOWS, pair))
+    term_first = np.zeros(len(pair) + n_blocks, np.int64)
+    term_first[np.arange(len(pair)) + pair // n_terms] = first - (np.cumsum(held_by) - held_by)[pair // n_terms]
+    term_first[np.cumsum(terms_by) + np.arange(n_blocks)] = held_by
+
+    begins, times = (np.cumsum(n_flat) - n_flat)[rank], n_flat[rank]
+    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    counted, counted_line = flat[np.repeat(begins, times) + within], np.repeat(line, times)
+    entry, where = _pairs(counted_line, low, high)
+    key, n = np.unique((of[counted_line[entry]] * DIM + counted[entry]) * BLOCK_WINDOWS + where, return_counts=True)
+    bucket, where = key // BLOCK_WINDOWS, key % BLOCK_WINDOWS
+    windows_by = size[starts]
+    at_window = (np.cumsum(windows_by) - windows_by)[bucket // DIM] + where
+    norm2 = np.zeros(int(windows_by.sum()), np.int64)
+    np.add.at(norm2, at_window, n * n)
+    largest = np.zeros(n_blocks * DIM)
+    np.maximum.at(largest, bucket, n / np.sqrt(np.maximum(norm2, 1))[at_window])
+    entries_by = np.bincount(bucket // DIM, minlength=n_blocks)
+    bucket_first = np.searchsorted(bucket, np.arange(n_blocks)[:, None] * DIM + np.arange(DIM + 1)) - (np.cumsum(entries_by) - entries_by)[:, None]
+
+    own = pa.array(starts)
+    columns = {c: table.column(c).combine_chunks().take(own) for c in ("file_id", "block", "stride", "window", "total")} | {
+        "first_chunk": pa.array(first_chunk[starts]),
+        "terms": _lists(order.take(pa.array(pair % n_terms)), terms_by),
+        "term_first": _lists(term_first.astype(np.int32), terms_by + 1),
+        "term_windows": _lists((held % BLOCK_WINDOWS).astype(np.int32), held_by),
+        "norm2": _lists(norm2, windows_by),
+        "bucket_first": _lists(bucket_first.ravel().astype(np.int32), np.full(n_blocks, DIM + 1)),
+        "bucket_windows": _lists(where.astype(np.int32), entries_by),
+        "bucket_n": _lists(n.astype(np.int64), entries_by),
+        "bucket_max": _lists(largest, np.full(n_blocks, DIM)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _build_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of ordered lines, many blocks at once; the last block of a batch waits for the rest of its lines."""
+    waiting: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if waiting is None else pa.concat_tables([waiting, table])
+        starts = _starts(table)
+        whole = int(starts[-1]) if len(starts) else 0
+        if whole:
+            yield _build(table.slice(0, whole))
+        waiting = table.slice(whole)
+    if waiting is not None and len(waiting):
+        yield _build(waiting)
 
 
 def index_blocks(lines: DataFrame, max_chunks: int | None = None) -> DataFrame:
-    """One row per file and block of windows.  A block has a bounded number of lines, so a long file is many tasks' work."""
+    """One row per file and block of windows, in their order.
+
+    A block has a bounded number of lines, so a long file is many tasks' work.  The lines are ordered, not
+    the index, so that no block is built for a sample of the order or as a group of its own.
+    """
     shapes = window_shapes(lines, max_chunks)
     at = F.col("line_no") - 1
     low = F.greatest(F.lit(0), F.ceil((at - F.col("window") + 1) / F.col("stride")).cast("long"))
@@ -116,14 +176,13 @@ def index_blocks(lines: DataFrame, max_chunks: int | None = None) -> DataFrame:
     placed = placed.select("file_id", "line_no", F.lower("raw").alias("text"), "stride", "window", "total", "last_chunk", F.explode(blocks).alias("block"))
     kind = dict(lines.dtypes)["file_id"]
     schema = f"file_id {kind}, block long, {_PLACE}, {_TERMS}, {_VECTORS}"
-    return placed.groupBy(*BLOCK).applyInArrow(_build, schema)
+    return placed.repartitionByRange(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_build_all, schema)
 
 
 def write_index(lines: DataFrame, path: str | None = None, max_chunks: int | None = None) -> str:
     """Store the index in order of file and block, so that a question's file is found by the files' minima and maxima."""
     path = path or new_path(lines.sparkSession, "window-index")
-    blocks = index_blocks(lines, max_chunks)
-    blocks.repartitionByRange(*BLOCK).sortWithinPartitions(*BLOCK).write.mode("overwrite").parquet(path)
+    index_blocks(lines, max_chunks).write.mode("overwrite").parquet(path)
     return path
 
 

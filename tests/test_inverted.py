@@ -62,3 +62,36 @@ def test_a_line_is_indexed_by_prefixes_both_ways():
     run = lambda token: sorted({terms[i] for a, b in inverted._matching(terms, token) for i in range(a, b)})
     assert run("timeout") == ["ti", "time", "timeout", "timeouts"]
     assert run("ti") == ["ti", "time", "timeout", "timeouts", "tip"] and run("xx") == []
+
+
+def test_blocks_are_built_once_and_many_at_a_time(spark):
+    """The order of the index used to build every block twice, each as a group of its own."""
+    short = spark.range(400).select((F.col("id") % 100 + 10).alias("file_id"), (F.floor(F.col("id") / 100) + 1).alias("line_no"), F.lit("ab12cd disk").alias("raw"))
+    lines = log_table(spark).unionByName(short)
+    blocks = inverted.index_blocks(lines)
+    assert "FlatMapGroups" not in blocks._jdf.queryExecution().toString()
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+    at_once = [r for batch in inverted._build_all(lines_in_order(lines, 7)) for r in batch.to_pylist()]
+    one_batch = [r for batch in inverted._build_all(lines_in_order(lines, 1 << 20)) for r in batch.to_pylist()]
+    assert at_once == one_batch and len(at_once) == blocks.count() == 106
+    by_block = {(r["file_id"], r["block"]): r for r in at_once}
+    assert by_block[10, 0]["terms"] == ["ab12cd", "disk"] and by_block[10, 0]["norm2"] != [0]
+    assert by_block[4, 0]["terms"] == [] and by_block[4, 0]["term_first"] == [0]
+
+
+def test_a_line_without_text_has_no_terms():
+    line, rank, terms, buckets, n_buckets = inverted._tokens([None, "disk 7a disk", ""])
+    assert line.tolist() == [1, 1, 1] and [terms[i].as_py() for i in rank] == ["disk", "7a", "disk"]
+    assert len(buckets) == 1 and n_buckets.tolist() == [0, 1]
+    assert inverted._tokens([None])[0].tolist() == []
+
+
+def lines_in_order(lines, rows):
+    shapes = retrieval.window_shapes(lines)
+    at, n = F.col("line_no") - 1, inverted.BLOCK_WINDOWS
+    low = F.greatest(F.lit(0), F.ceil((at - F.col("window") + 1) / F.col("stride")).cast("long"))
+    high = F.least(F.col("last_chunk"), F.floor(at / F.col("stride")))
+    blocks = F.array_distinct(F.transform(F.array(low, high), lambda c: F.floor(c / n)))
+    placed = lines.join(shapes, "file_id").select("*", F.lower("raw").alias("text"), F.explode(blocks).alias("block"))
+    return placed.orderBy("file_id", "block", "line_no").toArrow().combine_chunks().to_batches(max_chunksize=rows)
