@@ -67,11 +67,14 @@ def parse_timestamp(raw: Column) -> Column:
     Two shape checks decide what is accepted, then one cast reads it.  A cast is
     much cheaper than a chain of format attempts, each of which raises inside.
     """
-    text = strip(raw)
-    accepted = text.rlike(fixed.TIMESTAMP_SPACED) | text.rlike(fixed.TIMESTAMP_ISO)
-    dotted = F.replace(text, F.lit(","), F.lit("."))
-    zoned = F.when(text.rlike(fixed.TIMESTAMP_ZONED), dotted).otherwise(F.concat(dotted, F.lit("Z")))
-    return F.when(accepted, zoned.try_cast("timestamp"))
+
+    def read(text: Column) -> Column:
+        accepted = text.rlike(fixed.TIMESTAMP_SPACED) | text.rlike(fixed.TIMESTAMP_ISO)
+        dotted = F.replace(text, F.lit(","), F.lit("."))
+        zoned = F.when(text.rlike(fixed.TIMESTAMP_ZONED), dotted).otherwise(F.concat(dotted, F.lit("Z")))
+        return F.when(accepted, zoned.try_cast("timestamp"))
+
+    return let(strip(raw), read)
 
 
 def template_rules(rule_set: str = "compat") -> list[tuple[str, str]]:

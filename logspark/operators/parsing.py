@@ -113,13 +113,22 @@ def _json_fields(line: Column, raw: Column, pairs: Column, year: int) -> Column:
 # --- logfmt -----------------------------------------------------------------------
 
 
+# fixed.LOGFMT_PAIR with the same matches; a loop over the characters of a quoted value, not over a group of them
+_LOGFMT_PAIR = fixed.LOGFMT_PAIR.replace(r'"(?:[^"\\]|\\.)*"', r'"[^"\\]*(?:\\.[^"\\]*)*"')
+
+
 def _logfmt_pairs(line: Column) -> Column:
-    """Keys and values, last pair first, so that a lookup finds the last duplicate."""
-    pattern = F.lit(fixed.LOGFMT_PAIR)
-    return F.struct(
-        F.reverse(F.regexp_extract_all(line, pattern, 1)).alias("keys"),
-        F.reverse(F.regexp_extract_all(line, pattern, 2)).alias("vals"),
-    )
+    """Keys and values, last pair first, so that a lookup finds the last duplicate.
+
+    A key holds no ``=``, so one pass finds the pairs and the first ``=`` cuts each.
+    """
+    def pairs(found: Column) -> Column:
+        return F.struct(
+            F.reverse(F.transform(found, lambda x: F.substring_index(x, "=", 1))).alias("keys"),
+            F.reverse(F.transform(found, lambda x: F.substring(x, F.instr(x, "=") + 1, F.length(x)))).alias("vals"),
+        )
+
+    return let(F.regexp_extract_all(line, F.lit(_LOGFMT_PAIR), 0), pairs)
 
 
 def _logfmt_matched(pairs: Column) -> Column:
@@ -220,7 +229,8 @@ def _best_format(scores: list[tuple[str, Column]], fallback: str) -> Column:
 
 def _matches(fmt: LogFormat, line: Column) -> Column:
     """Whether the line is of the format; most lines of other formats fail the cheap test already."""
-    return F.when(fmt.may_match(line), F.coalesce(fmt.matched(fmt.extract(line)), F.lit(False))).otherwise(F.lit(False))
+    matched = let(fmt.extract(line), lambda extracted: F.coalesce(fmt.matched(extracted), F.lit(False)))
+    return F.when(fmt.may_match(line), matched).otherwise(F.lit(False))
 
 
 def detect_formats(
@@ -285,18 +295,17 @@ def parse_lines(
 
     The picked fields leave through ``inline``.  A later filter on the level then
     tests a plain column, instead of dragging a second copy of the parsers below.
+    They are picked inside ``let``, because the generated code of all formats together
+    is one method, which is too long for the JVM to compile.
     """
     line = F.col("_line")
     staged = counted_lines(lines).withColumn("_line", strip(F.col("raw")))
-    for fmt in registry:
-        mine = F.when(F.col("format") == fmt.name, fmt.extract(line))
-        staged = staged.withColumn(f"_{fmt.name}", mine)
 
     def picked(fmt: LogFormat) -> Column:
-        extracted = F.col(f"_{fmt.name}")
-        return F.when(
-            fmt.matched(extracted), fmt.fields(line, F.col("raw"), extracted, year)
-        )
+        def fields(extracted: Column) -> Column:
+            return F.when(fmt.matched(extracted), fmt.fields(line, F.col("raw"), extracted, year))
+
+        return let(fmt.extract(line), fields)
 
     rows = staged.select(*lines.columns, F.inline(F.array(_by_format(registry, picked))))
 
