@@ -9,6 +9,7 @@ from test_telemetry import T0, as_result, limiter_rows, request_table, simulate
 
 from logspark.operators import grouping, parsing, ratelimit, telemetry
 from logspark.operators.scale import new_path
+from logspark.sources.sinks import write_text_folders
 from logspark.streaming import groups, ingest, live
 from logspark.streaming.runner import all_rows, append_marker, in_files, in_time_files, read_table_stream, run_to_table
 
@@ -159,6 +160,35 @@ def test_log_files_that_arrive_in_parts(spark):
     assert {r.file_id for r in again.lines(waiting=False).collect()} == {"a", "b"}
 
 
+def test_many_parts_are_listed_in_few_tasks(spark, monkeypatch):
+    """Spark would take a task for each of the folders, and again for each of the parts of a micro-batch."""
+    folder, parts = new_path(spark, "arriving"), 5 * spark.sparkContext.defaultParallelism + 40
+    names = ["spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"]
+    before, groups_of_jobs = [spark.conf.get(name) for name in names], {"listing"}
+    rows = spark.range(2 * parts).selectExpr("id div 2 as f", "id as n", "concat('2026-03-01 08:00:00 ERROR job ', id, ' lost') as t")
+    write_text_folders(rows, folder, "f", ["n"], "t")
+    stream = ingest.LogFileStream(spark, folder, 2026, head_lines=1, file_of=F.regexp_extract("path", "f=([0-9]+)", 1))
+    batch = stream._batch
+
+    def noted(rows, number):
+        groups_of_jobs.update(query.runId for query in spark.streams.active)
+        batch(rows, number)
+
+    monkeypatch.setattr(stream, "_batch", noted)
+    spark.sparkContext.setJobGroup("listing", "the stream's folder")
+    try:
+        stream.run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for group in groups_of_jobs for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert len(groups_of_jobs) == 2 and 4 * spark.sparkContext.defaultParallelism in tasks and max(tasks) < parts
+    assert [spark.conf.get(name) for name in names] == before
+    found = stream.lines(waiting=False).selectExpr("cast(file_id as long)", "line_no", "raw")
+    assert sorted(map(tuple, found.collect())) == [(i // 2, i % 2 + 1, f"2026-03-01 08:00:00 ERROR job {i} lost") for i in range(2 * parts)]
+
+
 def state_rows(query):
     return max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"] if op["operatorName"].startswith("transformWithState"))
 
